@@ -74,14 +74,14 @@ def first_by_hash(
 
     With ``strict`` a table of fewer than n rows is an error, otherwise all of it is returned.
     """
+    if n <= 0:
+        return df.where(F.lit(False))
     cutoff = hash_cutoff(df, n, keys, seed).scalar()
     if strict:
         message = F.lit(f"cannot sample {n} rows: the table has fewer")
         cutoff = F.when(cutoff.isNull(), F.raise_error(message).cast("string")).otherwise(cutoff)
     else:
         cutoff = F.coalesce(cutoff, F.lit("~"))  # above every hex digit
-    if n <= 0:
-        return df.where(F.lit(False))
     return df.where(hash_key(seed, *keys) <= cutoff)
 
 

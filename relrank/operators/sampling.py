@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relrank.functions.hashing import first_by_hash, hash_cutoff, hash_key, hash_number, hash_position
@@ -129,28 +129,27 @@ def split_train_test(
     return df.withColumn("part", F.when(test, "test").otherwise("train"))
 
 
-def _triple_candidates(
+def _wanted_rank(seed: int, ranks: int) -> Column:
+    return F.col("rank") == 1 + hash_number(seed, "qid") % ranks
+
+
+def _triple_rows(
     run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, seed: int, ranks: int
 ) -> DataFrame:
-    """Every run row with its status; kept ones with the drawn positive."""
-    wanted = F.col("rank") == 1 + hash_number(seed, "qid") % ranks
+    """The run row at the drawn rank of each query, with the drawn positive and a status."""
     judged = positives(qrels).select("qid", "docid").distinct()
-    drawn = _draw_doc(judged, seed).withColumnRenamed("docid", "p_docid")
+    drawn = _draw_doc(judged, seed).join(docs.select("docid"), "docid", "left_semi")
     rows = (
-        run.select("qid", "docid", "rank")
+        run.where(_wanted_rank(seed, ranks))
+        .select("qid", "docid")
         .join(queries.select("qid", F.lit(1).alias("_query")), "qid", "left")
-        .join(drawn, "qid", "left")
-        .join(docs.select("docid", F.lit(1).alias("_doc")), "docid", "left")
+        .join(drawn.withColumnRenamed("docid", "p_docid"), "qid", "left")
         .join(judged.withColumn("_judged", F.lit(1)), ["qid", "docid"], "left")
+        .join(docs.select("docid", F.lit(1).alias("_doc")), "docid", "left")
     )
     missing = F.col("_query").isNull() | F.col("p_docid").isNull() | F.col("_doc").isNull()
-    status = (
-        F.when(~wanted, "skipped")
-        .when(missing, "missing_data")
-        .when(F.col("_judged").isNotNull(), "docid_collision")
-        .otherwise("kept")
-    )
-    return rows.select("qid", F.col("docid").alias("n_docid"), "p_docid", status.alias("status"))
+    status = F.when(missing, "missing_data").when(F.col("_judged").isNotNull(), "docid_collision")
+    return rows.select("qid", F.col("docid").alias("n_docid"), "p_docid", status.otherwise("kept").alias("status"))
 
 
 def make_triples(
@@ -161,7 +160,7 @@ def make_triples(
 
     The negative is the candidate at a random rank, the positive a random judged document.
     """
-    kept = _triple_candidates(run, queries, qrels, docs, seed, ranks).where(F.col("status") == "kept")
+    kept = _triple_rows(run, queries, qrels, docs, seed, ranks).where(F.col("status") == "kept")
     kept = kept.orderBy("qid").limit(n).select("qid", "p_docid", "n_docid")
 
     def side(prefix: str, name: str) -> DataFrame:
@@ -189,8 +188,9 @@ def triple_stats(
     run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, seed: int = 0, ranks: int = 100
 ) -> DataFrame:
     """Run rows by status: skipped, missing_data, docid_collision, kept."""
-    rows = _triple_candidates(run, queries, qrels, docs, seed, ranks)
-    return rows.groupBy("status").agg(F.count("*").alias("rows"))
+    drawn = _triple_rows(run, queries, qrels, docs, seed, ranks).select("status")
+    skipped = run.where(~_wanted_rank(seed, ranks)).select(F.lit("skipped").alias("status"))
+    return drawn.union(skipped).groupBy("status").agg(F.count("*").alias("rows"))
 
 
 def pair_prompts(triples: DataFrame) -> DataFrame:
@@ -246,8 +246,9 @@ def qrels_negative_ids(
     _, others = _selected_queries(qrels, top_k, max_pos, seed)
     asking = first_by_hash(others, top_k, ["qid"], seed)
     ring = hash_position(docs.select("docid"), ["docid"], seed)
-    size = docs.agg(F.count("*").alias("ring_size"))
-    starts = asking.join(F.broadcast(size)).withColumn("start", hash_number(seed, "qid") % F.col("ring_size"))  # one row
+    starts = asking.withColumn("ring_size", docs.agg(F.count("*")).scalar()).withColumn(
+        "start", hash_number(seed, "qid") % F.col("ring_size")
+    )
     relevant = positives(qrels).select("qid", "docid").distinct().join(ring, "docid").join(starts, "qid")
     steps = relevant.select("qid", F.pmod(F.col("position") - F.col("start"), F.col("ring_size")).alias("step"))
     tries = starts.select("qid", F.lit(0).cast("bigint").alias("step")).union(
