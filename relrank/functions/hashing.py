@@ -58,11 +58,12 @@ def hash_cutoff(
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_rows") < F.col("_want")))
         .select("_slice", (F.col("_want") - F.col("_upto") + F.col("_rows")).alias("_need"))
     )
-    in_slice = Window.partitionBy("_slice").orderBy("_hash")
+    # Equal keys are counted together before they are ordered.
+    hashes = sliced.join(F.broadcast(cut), "_slice").groupBy("_slice", "_need", "_hash").agg(F.count("*").alias("_rows"))
+    upto = Window.partitionBy("_slice").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        sliced.join(F.broadcast(cut), "_slice")  # one row
-        .withColumn("_at", F.row_number().over(in_slice))
-        .where(F.col("_at") == F.col("_need"))
+        hashes.withColumn("_upto", F.sum("_rows").over(upto))
+        .where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_rows") < F.col("_need")))
         .select("_hash")
     )
 
@@ -72,6 +73,7 @@ def first_by_hash(
 ) -> DataFrame:
     """The n rows of smallest hash: two narrow counting passes, then a plain filter of ``df``.
 
+    Rows of equal keys stay together, so the last ones may exceed n unless the keys identify a row.
     With ``strict`` a table of fewer than n rows is an error, otherwise all of it is returned.
     """
     if n <= 0:
