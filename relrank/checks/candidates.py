@@ -45,10 +45,10 @@ def head_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 @check(
     """select qid, docid, rank from (
-      select *, row_number() over (partition by qid, block order by line) at from (
+      select *, row_number() over (partition by qid, block order by line) nth from (
         select *, line - row_number() over (partition by qid order by line) block from (
           select *, row_number() over (order by rank > 50, qid, rank) line from v_run)))
-    where at <= 5"""
+    where nth <= 5"""
 )
 def head_per_query_runs(spark: SparkSession, d: str) -> DataFrame:
     """The run in file order with two blocks of lines per query: ranks up to 50, then the rest."""
