@@ -15,7 +15,7 @@ from relrank.functions import logits as lg
 from relrank.functions.text import point_prompt
 from relrank.operators import pairwise as p
 from relrank.operators import scoring as sc
-from relrank.operators.candidates import map_run
+from relrank.operators.candidates import head_per_query, map_run
 from relrank.plans.flows import rerank_run, score_and_rerank, train
 from relrank.sources import tables
 
@@ -46,8 +46,14 @@ RERANKED = """select qid, docid, cast(row_number() over (partition by qid order
 logit1 - logit0 score, case when logit1 > logit0 then 1 else 0 end prediction from scored"""
 
 
-def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return map_run(tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d))
+def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d)
+
+
+def top_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The compared pairs of the first ten documents of each query."""
+    run, queries, docs = inputs(spark, d)
+    return p.score_doc_pairs(map_run(head_per_query(run, 10), queries, docs))
 
 
 def two_columns(df: DataFrame) -> DataFrame:
@@ -72,13 +78,22 @@ def overlap_model():
 
 
 @check("select * from scored", ctes=LOGITS)
+def score_run(spark: SparkSession, d: str) -> DataFrame:
+    return two_columns(sc.score_run(*inputs(spark, d)).select("qid", "docid", "rank", "logits"))
+
+
+@check(
+    f"""select qid, query, docid, relevance, n - found logit0, found logit1 from (
+      select *, cast(len({words('query')}) as double) n,
+        cast(len(list_intersect({words('query')}, {words('doc')})) as double) found from v_fair)"""
+)
 def score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return two_columns(sc.score_pairs(mapped(spark, d)).select("qid", "docid", "rank", "logits"))
+    return two_columns(sc.score_pairs(tables.fair(spark, d)).select("qid", "query", "docid", "relevance", "logits"))
 
 
 @check("select * from scored", ctes=LOGITS)
 def score_prompts(spark: SparkSession, d: str) -> DataFrame:
-    scored = sc.score_pairs(mapped(spark, d), sc.PromptScorer(overlap_model))
+    scored = sc.score_pairs(map_run(*inputs(spark, d)), sc.PromptScorer(overlap_model))
     return two_columns(scored.select("qid", "docid", "rank", "logits"))
 
 
@@ -99,7 +114,7 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
 
 @check(RERANKED, ctes=LOGITS)
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    return rerank_run(tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d))
+    return rerank_run(*inputs(spark, d))
 
 
 @check(
@@ -115,7 +130,7 @@ def rerank_fair(spark: SparkSession, d: str) -> DataFrame:
 
 @check("select * from pairs", ctes=PAIRS)
 def score_doc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return two_columns(p.score_doc_pairs(mapped(spark, d)))
+    return two_columns(top_pairs(spark, d))
 
 
 @check(
@@ -124,7 +139,7 @@ def score_doc_pairs(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
-    return p.rank_by_wins(tables.run(spark, d), p.score_doc_pairs(mapped(spark, d)))
+    return p.rank_by_wins(tables.run(spark, d), top_pairs(spark, d))
 
 
 @check(
@@ -133,7 +148,7 @@ def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def win_probability(spark: SparkSession, d: str) -> DataFrame:
-    wins = p.rank_by_wins(tables.run(spark, d), p.score_doc_pairs(mapped(spark, d)))
+    wins = p.rank_by_wins(tables.run(spark, d), top_pairs(spark, d))
     return p.win_probability(wins).select("qid", "docid", "wins", "probability")
 
 
@@ -144,7 +159,7 @@ def win_probability(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def rank_by_mean_logit(spark: SparkSession, d: str) -> DataFrame:
-    ranked = p.rank_by_mean_logit(tables.run(spark, d), p.score_doc_pairs(mapped(spark, d)))
+    ranked = p.rank_by_mean_logit(tables.run(spark, d), top_pairs(spark, d))
     return ranked.withColumn("score", F.round("score", 6))
 
 

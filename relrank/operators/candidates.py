@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,10 +115,11 @@ def map_run(
     docs: DataFrame,
     k: int | None = None,
     only: DataFrame | None = None,
+    prepare: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
     """Each run row with its query and document text, where both exist.
 
-    ``k`` limits the documents to those among the first k of some query; a row further down stays if
+    ``prepare`` is applied to every text once, before the join repeats it. ``k`` limits the documents to those among the first k of some query; a row further down stays if
     another query needs its document. ``only`` restricts the run to some queries.
     """
     if only is not None:
@@ -126,8 +127,8 @@ def map_run(
     if k is not None:
         docs = prune_docs(docs, required_docs(run, k))
     return (
-        run.join(queries.select("qid", clean("query").alias("query")), "qid")
-        .join(doc_contents(docs), "docid")
+        run.join(queries.select("qid", prepare(clean("query")).alias("query")), "qid")
+        .join(doc_contents(docs).withColumn("doc", prepare(F.col("doc"))), "docid")
         .select("qid", "docid", "query", "doc", "rank", F.col("score").alias("run_score"))
     )
 

@@ -51,9 +51,12 @@ def _hits_within(k: int, min_rel: int = 1) -> Column:
     return F.count_if((F.col("rnk") <= k) & (F.col("label") >= min_rel))
 
 
-def _precision_sum(min_rel: int = 1) -> Column:
-    """Sum, over the relevant documents, of the precision at their place."""
-    return F.sum(F.when(F.col("label") >= min_rel, F.col("hits") / F.col("rnk")).otherwise(0.0))
+def _precision_sum(min_rel: int = 1, hits: str = "hits", depth: int | None = None) -> Column:
+    """Sum, over the relevant documents down to ``depth``, of the precision at their place."""
+    counted = F.col("label") >= min_rel
+    if depth is not None:
+        counted &= F.col("rnk") <= depth
+    return F.sum(F.when(counted, F.col(hits) / F.col("rnk")).otherwise(0.0))
 
 
 def _gain(k: int) -> Column:
@@ -113,21 +116,34 @@ def evaluate_by_query(
     run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """precision@10, map and nDCG at 1, 5, 10 and 100 per query, from one ranking of the run."""
-    ranked = _ranked(run, qrels, None, hot_rows=hot_rows)
+    values = _all_values(run, qrels, hot_rows).drop("AP(rel=2)@100")
+    if queries is None:
+        return values
+    with_text = values.join(queries.select("qid", "query"), "qid", "left")
+    return with_text.select("qid", "query", *values.columns[1:])
+
+
+def _all_values(run: DataFrame, qrels: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Every reported metric per query, from one ranking of the run and one of the judgments."""
+    grades = {"hits": 1, "hits_2": 2}
+    judged = join_qrels(run.select("qid", "docid", "score"), qrels)
+    totals = {"rnk": F.lit(1), **{name: (F.col("label") >= g).cast("int") for name, g in grades.items()}}
+    ranked = running_totals(judged, ["qid"], evaluation_order(), totals, hot_rows)
     values = ranked.groupBy("qid").agg(
         (_hits_within(10) / F.lit(10)).alias("precision@10"),
         _precision_sum().alias("_sum"),
+        _precision_sum(2, "hits_2", 100).alias("_sum_2"),
         *[_gain(k).alias(f"_gain_{k}") for k in CUTOFFS],
     )
-    values = _with_ideal(_with_ideal(values, _ideal_gains(qrels, CUTOFFS)), _relevant_counts(qrels))
-    columns = [F.col("qid")]
-    if queries is not None:
-        values = values.join(queries.select("qid", "query"), "qid", "left")
-        columns.append(F.col("query"))
+    relevant = qrels.groupBy("qid").agg(
+        *[F.count_if(F.col("label") >= g).alias(f"_relevant_{g}") for g in grades.values()]
+    )
+    values = _with_ideal(_with_ideal(values, _ideal_gains(qrels, CUTOFFS)), relevant)
     return values.select(
-        *columns,
+        "qid",
+        _ratio(F.col("_sum_2"), "_relevant_2").alias("AP(rel=2)@100"),
         F.col("precision@10"),
-        _ratio(F.col("_sum"), "relevant").alias("map"),
+        _ratio(F.col("_sum"), "_relevant_1").alias("map"),
         *[_ratio(F.col(f"_gain_{k}"), f"_ideal_{k}").alias(f"nDCG@{k}") for k in CUTOFFS],
     )
 
@@ -139,10 +155,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, denominator: str = "qrels", hot_r
     """
     if denominator not in ("qrels", "run"):
         raise ValueError(f"denominator must be 'qrels' or 'run', not {denominator!r}")
-    values = evaluate_by_query(run, qrels, hot_rows=hot_rows).join(
-        average_precision(run, qrels, min_rel=2, depth=100).withColumnRenamed("value", "AP(rel=2)@100"), "qid", "left"
-    )
-    names = ["AP(rel=2)@100", "precision@10", "map", *[f"nDCG@{k}" for k in CUTOFFS]]
+    values = _all_values(run, qrels, hot_rows)
+    names = values.columns[1:]
     if denominator == "qrels":
         values = qrels.select("qid").distinct().join(values, "qid", "left")
     return values.agg(*[F.avg(F.coalesce(n, F.lit(0.0))).alias(n) for n in names])

@@ -18,11 +18,13 @@ from relrank.operators.scoring import LexicalScorer, Scorer
 def score_doc_pairs(mapped: DataFrame, scorer: Scorer | None = None, k: int = 10) -> DataFrame:
     """Logits of every pair among the first k documents. ``mapped`` has qid, docid, query, doc, rank.
 
-    Texts are cut to their first chunk before they are paired.
+    Texts are cut to their first chunk and prepared before they are paired. Cap the run before mapping it
+    to text where it is longer than k.
     """
-    short = mapped.withColumn("query", first_chunk("query")).withColumn("doc", first_chunk("doc"))
+    scorer = scorer or LexicalScorer()
+    short = mapped.withColumns({c: scorer.prepare(first_chunk(c)) for c in ("query", "doc")})
     pairs = pair_candidates(short, k, carry=["query", "doc"]).withColumnRenamed("query_a", "query").drop("query_b")
-    return (scorer or LexicalScorer()).pair(pairs).drop("query", "doc_a", "doc_b")
+    return scorer.pair(pairs).drop("query", "doc_a", "doc_b")
 
 
 def _per_document(pairs: DataFrame, value_a: Column, value_b: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Scoring (query, document) pairs and re-ranking by the scores.
 
-A scorer adds a column ``logits`` = (logit0, logit1) to a table with the text columns query and doc, or
-query, doc_a and doc_b. Three are given: word overlap, any model called on batches of prompts, and a
-classifier trained with Spark.
+A scorer has three parts. ``prepare`` turns a query or document text into what the scorer compares; it can
+run before texts are joined to the pairs that share them. ``point`` adds a column ``logits`` = (logit0,
+logit1) to a table with the prepared columns query and doc, ``pair`` to one with query, doc_a and doc_b.
+Three scorers are given: word overlap, any model called on batches of prompts, and a classifier trained
+with Spark.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import types as T
 
 from relrank.functions.logits import predict, relevance_score
 from relrank.functions.text import WORD, pair_prompt, point_prompt, words
+from relrank.operators.candidates import map_run
 from relrank.operators.ordering import HOT_ROWS, rerank_order, running_totals
 from relrank.schemas import require_columns
 
 
 class Scorer(Protocol):
+    def prepare(self, text: Column) -> Column: ...
+
     def point(self, df: DataFrame) -> DataFrame: ...
 
     def pair(self, df: DataFrame) -> DataFrame: ...
@@ -35,42 +40,55 @@ class Scorer(Protocol):
 class LexicalScorer:
     """Counts query words. Point: found in the document against not found. Pair: found in a against in b."""
 
+    def prepare(self, text: Column) -> Column:
+        return words(text)
+
     @staticmethod
     def _found(doc: str) -> Column:
-        return F.size(F.array_intersect(words("query"), words(doc))).cast("double")
+        return F.size(F.array_intersect("query", doc)).cast("double")
 
     def point(self, df: DataFrame) -> DataFrame:
         found = self._found("doc")
-        return df.withColumn("logits", F.array(F.size(words("query")) - found, found))
+        return df.withColumn("logits", F.array(F.size("query") - found, found))
 
     def pair(self, df: DataFrame) -> DataFrame:
         return df.withColumn("logits", F.array(self._found("doc_b"), self._found("doc_a")))
 
 
 class PromptScorer:
-    """Calls a model on batches of prompts. ``load`` runs once per task and returns the model: a function
-    from a list of texts to an (n, 2) array."""
+    """Calls a model on batches of prompts.
+
+    ``load`` runs once per task and returns the model: a function from a list of texts to an (n, 2) array.
+    Rows are first spread over ``tasks`` tasks, by default one per core, as a few megabytes of text can be
+    hours of work for a model and Spark sizes its tasks by bytes.
+    """
+
+    def __init__(
+        self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32, tasks: int | None = None
+    ):
+        self.load, self.batch_size, self.tasks = load, batch_size, tasks
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32):
-        self.load, self.batch_size = load, batch_size
+    def prepare(self, text: Column) -> Column:
+        return text
 
-    def _logits(self, prompt: Column) -> Column:
+    def _call(self, df: DataFrame, prompt: Column) -> DataFrame:
         load, size = self.load, self.batch_size
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
                 parts = [model(texts.iloc[i : i + size].tolist()) for i in range(0, len(texts), size)]
                 yield pd.Series([row for part in parts for row in np.asarray(part, dtype="float64")])
 
-        return call(prompt)
+        tasks = self.tasks or df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(tasks).withColumn("logits", logits(prompt))
 
     def point(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("logits", self._logits(point_prompt("query", "doc")))
+        return self._call(df, point_prompt("query", "doc"))
 
     def pair(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("logits", self._logits(pair_prompt("query", "doc_a", "doc_b")))
+        return self._call(df, pair_prompt("query", "doc_a", "doc_b"))
 
 
 class TrainedScorer:
@@ -79,6 +97,9 @@ class TrainedScorer:
     def __init__(self, model: PipelineModel):
         self.model = model
 
+    def prepare(self, text: Column) -> Column:
+        return text
+
     def texts(self, df: DataFrame) -> DataFrame:
         """Score a table of prompts in the column ``text``."""
         scored = self.model.transform(df)
@@ -117,8 +138,21 @@ def fit_pair_scorer(train: DataFrame, features: int = 4096, iterations: int = 20
 
 def score_pairs(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Add the logits and drop the document text, so that later shuffles do not carry it."""
+    scorer = scorer or LexicalScorer()
     require_columns(df, "query", "doc")
-    return (scorer or LexicalScorer()).point(df).drop("doc")
+    ready = df.withColumns(
+        {"_text": F.col("query"), "query": scorer.prepare(F.col("query")), "doc": scorer.prepare(F.col("doc"))}
+    )
+    scored = scorer.point(ready).withColumn("query", F.col("_text"))
+    return scored.select(*[c for c in df.columns if c != "doc"], "logits")
+
+
+def score_run(
+    run: DataFrame, queries: DataFrame, docs: DataFrame, scorer: Scorer | None = None, k: int | None = None
+) -> DataFrame:
+    """The logits of every run row: ``map_run`` and ``score_pairs`` in one, preparing each text once."""
+    scorer = scorer or LexicalScorer()
+    return scorer.point(map_run(run, queries, docs, k, prepare=scorer.prepare)).drop("query", "doc")
 
 
 def classify(scored: DataFrame, kind: int = 1) -> DataFrame:

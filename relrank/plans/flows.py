@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relrank.functions.logits import predict
-from relrank.operators.candidates import head_per_query, map_run, project_run
+from relrank.operators.candidates import head_per_query, project_run
 from relrank.operators.classification import class_metrics, cross_entropy
 from relrank.operators.fairness import fairness_by_query, fairness_report
 from relrank.operators.metrics import evaluate, evaluate_by_query
 from relrank.operators.pairwise import rank_by_mean_logit, rank_by_wins, score_doc_pairs, win_probability
 from relrank.operators.sampling import balanced_prompts, sample_negative, sample_positive, split_train_test
-from relrank.operators.scoring import Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs
+from relrank.operators.scoring import Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs, score_run
 from relrank.schemas import require_columns
 from relrank.session import checkpoint
 
@@ -55,13 +55,14 @@ def train(prompts: DataFrame, test_size: float = 0.2, seed: int = 0, iterations:
 
 def score_and_rerank(mapped: DataFrame, scorer: Scorer | None = None, kind: int = 1, fair: bool = False) -> DataFrame:
     """Score (query, document) rows and rank them inside each query."""
-    return project_run(rerank(classify(score_pairs(mapped, scorer), kind)), fair)
+    return project_run(rerank(classify(checkpoint(score_pairs(mapped, scorer)), kind)), fair)
 
 
 def rerank_run(
     run: DataFrame, queries: DataFrame, docs: DataFrame, scorer: Scorer | None = None, k: int | None = None, kind: int = 1
 ) -> DataFrame:
-    return score_and_rerank(map_run(run, queries, docs, k), scorer, kind)
+    """The same from a run. The scores are stored before they are ranked, so that no row is scored twice."""
+    return project_run(rerank(classify(checkpoint(score_run(run, queries, docs, scorer, k)), kind)))
 
 
 @dataclass

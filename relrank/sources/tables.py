@@ -15,12 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a small input of one or two row groups.
+
+    Spark makes as many splits as there are cores of anything above 4 MB per core; that is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _docid(doc_id: str) -> Column:
     return F.concat(F.lit("D"), F.col(doc_id).cast("string"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         _docid("doc_id").alias("docid"),
         F.col("source").alias("url"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
@@ -46,7 +59,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     A passage inside a text shares all its inner words with it, so pairs are found by joining on the longest
     inner word and then checked on the text itself.
     """
-    text = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = documents(spark, sf_dir).select("doc_id", "text")
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     parts = F.split("passage", " ")
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
