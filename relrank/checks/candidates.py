@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.checks.registry import DOC_TEXT, check, clean
+from relrank.checks.registry import DOC_TEXT, check, clean, stored_run
 from relrank.operators import candidates as c
 from relrank.operators.scoring import classify, rerank
+from relrank.session import checkpoint
 from relrank.sources import tables
 
 MAPPED = f"""
@@ -52,7 +53,7 @@ def head_per_query(spark: SparkSession, d: str) -> DataFrame:
 )
 def head_per_query_runs(spark: SparkSession, d: str) -> DataFrame:
     """The run in file order with two blocks of lines per query: ranks up to 50, then the rest."""
-    lines = tables.run(spark, d).withColumn("line", F.struct(F.col("rank") > 50, "qid", "rank"))
+    lines = stored_run(spark, d).withColumn("line", F.struct(F.col("rank") > 50, "qid", "rank"))
     return c.head_per_query(lines, 5, mode="runs").select("qid", "docid", "rank")
 
 
@@ -81,7 +82,7 @@ def with_docno(spark: SparkSession, d: str) -> DataFrame:
     logit1 - logit0 score, case when logit1 > logit0 then 1 else 0 end prediction from v_logits"""
 )
 def project_run(spark: SparkSession, d: str) -> DataFrame:
-    return c.project_run(rerank(classify(tables.logits(spark, d))))
+    return c.project_run(rerank(checkpoint(classify(tables.logits(spark, d)))))
 
 
 @check(
@@ -97,7 +98,7 @@ def project_run_fair(spark: SparkSession, d: str) -> DataFrame:
       select qid from (select distinct qid from v_run) order by qid limit 10)"""
 )
 def skip_queries(spark: SparkSession, d: str) -> DataFrame:
-    return c.skip_queries(tables.run(spark, d), 10).select("qid", "docid", "rank")
+    return c.skip_queries(stored_run(spark, d), 10).select("qid", "docid", "rank")
 
 
 @check("select * from mapped", ctes=MAPPED)
@@ -107,7 +108,7 @@ def map_run(spark: SparkSession, d: str) -> DataFrame:
 
 @check("select * from mapped where docid in (select docid from v_run where rank <= 5)", ctes=MAPPED)
 def map_run_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return c.map_run(tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d), k=5)
+    return c.map_run(stored_run(spark, d), tables.queries(spark, d), tables.docs(spark, d), k=5)
 
 
 @check(

@@ -12,7 +12,7 @@ from relrank.checks.registry import check
 from relrank.checks.sampling import TRIPLES
 from relrank.operators.sampling import make_triples
 from relrank.operators.scoring import classify, rerank
-from relrank.session import shared_dir
+from relrank.session import checkpoint, shared_dir
 from relrank.sources import readers, tables, writers
 
 
@@ -95,7 +95,7 @@ def write_qrels(spark: SparkSession, d: str) -> DataFrame:
 )
 def write_run(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "run.txt")
-    writers.write_run(rerank(classify(tables.logits(spark, d))), "lexical", path)
+    writers.write_run(rerank(checkpoint(classify(tables.logits(spark, d)))), "lexical", path)
     return spark.read.text(path)
 
 

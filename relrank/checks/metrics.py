@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.checks.registry import check, hashed
+from relrank.checks.registry import check, hashed, stored_run
 from relrank.operators import classification as cl
 from relrank.operators import fairness as fa
 from relrank.operators import metrics as m
@@ -84,7 +84,7 @@ def recall_at_1000(spark: SparkSession, d: str) -> DataFrame:
 
 @per_query("ap")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(m.average_precision(*judged(spark, d)))
+    return rounded(m.average_precision(stored_run(spark, d), tables.qrels(spark, d)))
 
 
 @per_query("ap2")

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relrank.session import checkpoint
+from relrank.sources import tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -71,6 +74,11 @@ def hash_number(*columns: str, seed: int = 0) -> str:
     return f"cast(concat('0x', substr({hashed(*columns, seed=seed)}, 1, 8)) as bigint)"
 
 
+def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as a stored table, for operators that read it more than once."""
+    return checkpoint(tables.run(spark, sf_dir))
+
+
 def check(sql: str | None = None, ctes: str = "", name: str | None = None):
     """Register a query under its function's name; ``ctes`` extend the views its SQL can use."""
 

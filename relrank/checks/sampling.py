@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relrank.checks.registry import DOC_TEXT, check, clean, hash_number, hashed
+from relrank.checks.registry import DOC_TEXT, check, clean, hash_number, hashed, stored_run
 from relrank.operators import sampling as s
 from relrank.operators.candidates import to_qrels
 from relrank.plans.flows import training_prompts
@@ -55,7 +55,7 @@ filled as (select docid, {clean('body')} doc from v_docs)
 
 def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """run, queries, qrels, and the labelled documents only, so that some text is missing."""
-    return tables.run(spark, d), tables.queries(spark, d), tables.qrels(spark, d), tables.labelled_docs(spark, d)
+    return stored_run(spark, d), tables.queries(spark, d), tables.qrels(spark, d), tables.labelled_docs(spark, d)
 
 
 def with_text(ids: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.checks.candidates import MAPPED
-from relrank.checks.registry import check, words
+from relrank.checks.registry import check, stored_run, words
 from relrank.checks.text import chunk
 from relrank.functions import logits as lg
 from relrank.functions.text import point_prompt
@@ -50,9 +50,10 @@ def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d)
 
 
-def top_pairs(spark: SparkSession, d: str) -> DataFrame:
+def top_pairs(spark: SparkSession, d: str, run: DataFrame | None = None) -> DataFrame:
     """The compared pairs of the first ten documents of each query."""
-    run, queries, docs = inputs(spark, d)
+    given, queries, docs = inputs(spark, d)
+    run = given if run is None else run
     return p.score_doc_pairs(map_run(head_per_query(run, 10), queries, docs))
 
 
@@ -61,22 +62,6 @@ def two_columns(df: DataFrame) -> DataFrame:
     return df.select(*keep, lg.logit("logits", 0).alias("logit0"), lg.logit("logits", 1).alias("logit1"))
 
 
-def overlap_model():
-    """A model on prompts, as an external one would be plugged in: word overlap of its two parts."""
-    word = re.compile("[a-z]{4,}")
-
-    def call(prompts: list[str]) -> np.ndarray:
-        rows = []
-        for prompt in prompts:
-            query, doc = prompt.split("\nDocument:", 1)
-            wanted = set(word.findall(query.removeprefix("Query:").lower()))
-            found = len(wanted & set(word.findall(doc.lower())))
-            rows.append((len(wanted) - found, found))
-        return np.array(rows, dtype="float64").reshape(-1, 2)
-
-    return call
-
-
 @check("select * from scored", ctes=LOGITS)
 def score_run(spark: SparkSession, d: str) -> DataFrame:
     return two_columns(sc.score_run(*inputs(spark, d)).select("qid", "docid", "rank", "logits"))
@@ -93,7 +78,20 @@ def score_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @check("select * from scored", ctes=LOGITS)
 def score_prompts(spark: SparkSession, d: str) -> DataFrame:
-    scored = sc.score_pairs(map_run(*inputs(spark, d)), sc.PromptScorer(overlap_model))
+    """A Python model on batches of prompts, as an external one is plugged in; here it counts shared words."""
+
+    def load():
+        word = re.compile("[a-z]{4,}")
+
+        def count(prompt: str) -> tuple[int, int]:
+            query, doc = prompt.removeprefix("Query:").split("\nDocument:", 1)
+            wanted = set(word.findall(query.lower()))
+            found = len(wanted & set(word.findall(doc.lower())))
+            return len(wanted) - found, found
+
+        return lambda prompts: np.array([count(p) for p in prompts], dtype="float64")
+
+    scored = sc.score_pairs(map_run(*inputs(spark, d)), sc.PromptScorer(load))
     return two_columns(scored.select("qid", "docid", "rank", "logits"))
 
 
@@ -139,7 +137,8 @@ def score_doc_pairs(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
-    return p.rank_by_wins(tables.run(spark, d), top_pairs(spark, d))
+    run = stored_run(spark, d)
+    return p.rank_by_wins(run, top_pairs(spark, d, run))
 
 
 @check(
@@ -148,7 +147,8 @@ def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def win_probability(spark: SparkSession, d: str) -> DataFrame:
-    wins = p.rank_by_wins(tables.run(spark, d), top_pairs(spark, d))
+    run = stored_run(spark, d)
+    wins = p.rank_by_wins(run, top_pairs(spark, d, run))
     return p.win_probability(wins).select("qid", "docid", "wins", "probability")
 
 
@@ -159,7 +159,8 @@ def win_probability(spark: SparkSession, d: str) -> DataFrame:
     ctes=PAIRS,
 )
 def rank_by_mean_logit(spark: SparkSession, d: str) -> DataFrame:
-    ranked = p.rank_by_mean_logit(tables.run(spark, d), top_pairs(spark, d))
+    run = stored_run(spark, d)
+    ranked = p.rank_by_mean_logit(run, top_pairs(spark, d, run))
     return ranked.withColumn("score", F.round("score", 6))
 
 

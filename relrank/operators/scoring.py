@@ -45,7 +45,7 @@ class LexicalScorer:
 
     @staticmethod
     def _found(doc: str) -> Column:
-        return F.size(F.array_intersect("query", doc)).cast("double")
+        return F.size(F.array_intersect(doc, "query")).cast("double")  # hashes the shorter one
 
     def point(self, df: DataFrame) -> DataFrame:
         found = self._found("doc")

@@ -13,6 +13,8 @@ SETTINGS = {
     # Split a hot docid or qid even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Runs are small in bytes, but each row costs a look at a document: let AQE keep many small tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
