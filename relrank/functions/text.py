@@ -68,35 +68,34 @@ def _last_cut(text: Column, start: Column, separator: Column, size: int) -> Colu
     return F.when((back > 0) & (at > 0), start + at)
 
 
-def _cut_behind_blanks(text: Column, blanks: Column, size: int) -> Column:
-    """The cut of a text that starts with ``blanks`` white characters.
-
-    A cut among them would give a blank chunk: it moves the start instead, and the search goes on with the
-    same separator and then the later ones.
-    """
-
-    def step(state: Column, separator: Column) -> Column:
-        cut = _last_cut(text, state["start"], separator, size)
-        start = F.when(cut <= blanks, cut).otherwise(state["start"])
-        cut = F.when(cut <= blanks, _last_cut(text, cut, separator, size)).otherwise(cut)
-        end = F.coalesce(state["end"], F.when(cut > blanks, cut))
-        return F.struct(F.coalesce(start, state["start"]).alias("start"), end.alias("end"))
-
-    initial = F.struct(F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"))
-    separators = F.array(*[F.lit(s) for s in SEPARATORS])
-    return F.aggregate(separators, initial, step, lambda s: F.coalesce(s["end"], s["start"] + size))
-
-
 def first_chunk(c: str | Column, size: int = CHUNK_SIZE) -> Column:
     """The first chunk of at most ``size`` characters.
 
     A text that fits is only stripped. A longer one is cut before the last occurrence, within ``size``, of
-    the first separator that occurs there, and without any at ``size``.
+    the first separator that occurs there, and without any at ``size``. A cut among leading blanks would
+    give a blank chunk: it moves the start instead, and the search goes on with the same separator and then
+    the later ones.
     """
     text = _text(c)
-    blanks = F.length(text) - F.length(F.ltrim(text, F.lit(STRIPPED)))
-    cuts = [_last_cut(text, F.lit(0), F.lit(s), size) for s in SEPARATORS]
-    end = F.when(blanks > 0, _cut_behind_blanks(text, blanks, size)).otherwise(F.coalesce(*cuts, F.lit(size)))
+
+    def step(state: Column, separator: Column) -> Column:
+        blanks = state["blanks"]
+        cut = _last_cut(text, state["start"], separator, size)
+        behind = F.when(cut <= blanks, _last_cut(text, cut, separator, size)).otherwise(cut)
+        found = F.struct(
+            blanks.alias("blanks"),
+            F.when(cut <= blanks, cut).otherwise(state["start"]).alias("start"),
+            F.when(behind > blanks, behind).alias("end"),
+        )
+        return F.when(state["end"].isNotNull(), state).otherwise(found)
+
+    initial = F.struct(
+        (F.length(text) - F.length(F.ltrim(text, F.lit(STRIPPED)))).alias("blanks"),
+        F.lit(0).alias("start"),
+        F.lit(None).cast("int").alias("end"),
+    )
+    separators = F.lit(list(SEPARATORS))
+    end = F.aggregate(separators, initial, step, lambda s: F.coalesce(s["end"], s["start"] + size))
     return F.when(F.length(text) <= size, clean(text)).otherwise(clean(F.substr(text, F.lit(1), end)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relrank.session import checkpoint
 
 HOT_ROWS = 2_000_000
+GROUP_LIMIT = 1000  # up to here Spark drops rows past k in the map tasks
 BROADCAST_ROWS = 100_000
 
 
@@ -56,12 +57,12 @@ def running_totals(
 
     group = by or ["_all"]
     whole = df if by else df.withColumn("_all", F.lit(0))
-    hot = checkpoint(whole.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows))
+    hot = whole.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
     groups, rows = hot.agg(F.count("*"), F.sum("_size")).first()
     if groups == 0:
         return _cumulate(whole, group, order, totals).select(*df.columns, *totals)
 
-    keys = _small(hot.select(*group), groups)
+    keys = _small(checkpoint(hot.select(*group)), groups)
     pieces = groups + math.ceil(4 * rows / hot_rows)
     placed = checkpoint(
         whole.join(keys, group, "left_semi")
@@ -81,7 +82,18 @@ def running_totals(
     return _cumulate(calm, group, order, totals).select(*df.columns, *totals).unionByName(spread)
 
 
-def head_of_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "_at") -> DataFrame:
-    """The first k rows of each group. Every map task drops rows past k before the shuffle."""
+def head_of_group(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    name: str = "_at",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """The first k rows of each group. Map tasks drop the others before the shuffle; where k is too large for
+    that, huge groups are ranked in pieces."""
+    if k > GROUP_LIMIT:
+        ranked = running_totals(df, by, order, {name: F.lit(1)}, hot_rows).where(F.col(name) <= k)
+        return ranked.withColumn(name, F.col(name).cast("int"))
     at = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(at)).where(F.col(name) <= k)

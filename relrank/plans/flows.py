@@ -45,10 +45,11 @@ class Trained:
 
 
 def train(prompts: DataFrame, test_size: float = 0.2, seed: int = 0, iterations: int = 20) -> Trained:
-    """Fit on the training part of the prompts and judge on the rest. Equal prompts stay in one part."""
-    parts = split_train_test(require_columns(prompts, "text", "label"), ["text", "label"], test_size, seed)
+    """Fit on the training part of the prompts and judge on the rest; both are stored. Equal prompts stay in one part."""
+    parts = checkpoint(split_train_test(require_columns(prompts, "text", "label"), ["text", "label"], test_size, seed))
     scorer = fit_pair_scorer(parts.where(F.col("part") == "train"), iterations=iterations)
-    scored = scorer.texts(parts.where(F.col("part") == "test")).withColumn("prediction", predict("logits"))
+    test = parts.where(F.col("part") == "test")
+    scored = checkpoint(scorer.texts(test).withColumn("prediction", predict("logits")))
     metrics = class_metrics(scored).withColumn("loss", cross_entropy(scored).scalar())
     return Trained(scorer, scored, metrics)
 

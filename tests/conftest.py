@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="relrank-warehouse-"),
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relrank.operators import candidates as c
-from relrank.operators.ordering import running_totals
+from relrank.operators.ordering import head_of_group, running_totals
 
 RUN = "qid string, docid string, rank int"
 
@@ -30,6 +30,32 @@ def test_cap_prunes_before_the_shuffle(frame):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_deep_cap(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 5 as string)) qid", "id")
+    for k in (3, 1200):
+        top = head_of_group(df, ["qid"], [F.col("id")], k, hot_rows=500)
+        counts = table(top.groupBy("qid").count(), "qid")
+        sizes = table(df.groupBy("qid").count(), "qid")
+        assert counts == {q: min(k, n) for q, n in sizes.items()}
+        assert dict(top.dtypes)["_at"] == "int"
+
+
+def test_bucketed_docs_are_not_shuffled(spark, collection):
+    from relrank.sources.readers import store_bucketed
+
+    run, _, docs = collection
+    stored = store_bucketed(docs, "docs_by_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = run.select("qid", "docid").join(stored, "docid")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the run's
+        assert joined.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table docs_by_id")
+
+
 @pytest.mark.parametrize("hot_rows", [None, 10_000, 50, 7, 1])
 def test_running_totals_with_a_hot_group(frame, hot_rows):
     rng = random.Random(1)
