@@ -13,7 +13,7 @@ STRIPPED = (
 )
 # Where a long text may be cut, in order of preference.
 SEPARATORS = ("\n\n", "\n", ".", "!", "?", ",", " ")
-CHUNK_SIZE = 1500
+CHUNK_SIZE = 1500  # fixed value
 WORD = "[a-z]{4,}"
 
 
@@ -35,6 +35,7 @@ def words(c: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_text(c)), F.lit(WORD), F.lit(0)))
 
 
+# The labels of the three templates.
 def doc_text(title: str | Column, body: str | Column) -> Column:
     return F.concat(F.lit("Title: "), _text(title), F.lit(", Context: "), _text(body))
 
@@ -44,7 +45,7 @@ def point_prompt(query: str | Column, doc: str | Column) -> Column:
 
 
 def pair_prompt(query: str | Column, doc1: str | Column, doc2: str | Column, style: str = "score") -> Column:
-    # The two spellings, the misspelt one included.
+    # Both spellings are fixed, the misspelt one included.
     labels = {
         "train": ("Query:", "\nDocument 1:", "\nDocuemt 2:"),
         "score": ("Query: ", "\nDocument 1: ", "\nDocument 2: "),

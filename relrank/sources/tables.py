@@ -109,7 +109,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return documents(spark, sf_dir).join(labels, "doc_id").select(
         F.col("source").alias("qid"),
         _docid("doc_id").alias("docid"),
         F.concat(F.lit("topic "), F.col("source")).alias("query"),
