@@ -77,8 +77,11 @@ def first_chunk(c: str | Column, size: int = CHUNK_SIZE) -> Column:
     give a blank chunk: it moves the start instead, and the search goes on with the same separator and then
     the later ones.
     """
-    text = _text(c)
+    # The one-element array makes Spark evaluate the text once, however long the expression behind it is.
+    return F.get(F.transform(F.array(_text(c)), lambda text: _first_chunk(text, size)), F.lit(0))
 
+
+def _first_chunk(text: Column, size: int) -> Column:
     def step(state: Column, separator: Column) -> Column:
         blanks = state["blanks"]
         cut = _last_cut(text, state["start"], separator, size)
