@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from relrank.llm import byte_bpe
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 
@@ -35,3 +36,13 @@ ranked as (
   from plain)
 select doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 from ranked
 """
+
+
+def byte_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_vocabulary(spark)
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
