@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from relrank.session import shared_dir
 
-SLICE_BYTES = 4 << 20  # text handled at once by vectorised code; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at once by vectorised code; one longer text is a slice of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
