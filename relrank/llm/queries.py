@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relrank.llm import byte_bpe
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
+from relrank.llm.near_dedup import near_duplicates
 from relrank.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,8 +47,7 @@ def byte_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
 
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = byte_vocabulary(spark)
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary(spark))
 
 
 @query
@@ -59,3 +59,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

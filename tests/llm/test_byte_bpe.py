@@ -40,8 +40,12 @@ def test_ids_are_those_of_the_whole_text_and_decode_to_it(documents, vocabulary,
     want = sorted((str(i), own.encode_ordinary(t or "")) for i, t in rows)
     encoded = byte_bpe.encode(docs, vocabulary, chunk=chunk, overlap=overlap)
     assert sorted((str(r.doc_id), list(r.ids)) for r in encoded.collect()) == want
-    found = {(r.doc_id, r.decoded_sha256) for r in byte_bpe.digests(encoded, vocabulary).collect()}
-    assert found == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    back = encoded.select("doc_id", byte_bpe.decoded("ids", vocabulary).alias("raw")).collect()
+    assert {(r.doc_id, bytes(r.raw)) for r in back} == {(i, (t or "").encode()) for i, t in rows}
+    trip = byte_bpe.round_trip(docs, vocabulary, chunk=chunk, overlap=overlap)
+    found = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in trip.collect()}
+    sizes = {(i, len(own.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    assert found == sizes and trip.count() == len(rows)
 
 
 def test_empty_table_and_clashing_columns(hard, vocabulary):
