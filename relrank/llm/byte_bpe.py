@@ -11,6 +11,7 @@ import base64
 import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -26,8 +27,9 @@ from relrank.llm.common import slices, texts
 CHUNK = 32_768  # code points that a chunk adds
 OVERLAP = 1_024
 LOOKAHEAD = 16  # the pattern may look so far past the end of a match; it may not look back
-CACHED = 1 << 18  # pre-tokens whose ids a worker remembers
+CACHED = 1 << 16  # pre-tokens whose ids a worker remembers
 IDS = "doc_id long, ids array<int>"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, pieces)))
 
 
-def _rows(keys: list[int | None], ids: list[list[int]]) -> pa.RecordBatch:
+def _id_rows(vocabulary: Vocabulary, keys: list[int | None], ids: list[list[int]]) -> pa.RecordBatch:
     ends = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=ends[1:])
     flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
@@ -86,6 +88,40 @@ def _rows(keys: list[int | None], ids: list[list[int]]) -> pa.RecordBatch:
     )
 
 
+class Decoder:
+    """The bytes and the decimal form of every id."""
+
+    _made: dict[int, Decoder] = {}
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.raw = {rank: piece for piece, rank in vocabulary.ranks().items()}
+        self.decimal = {rank: str(rank) for rank in self.raw}
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Decoder:
+        key = hash(vocabulary)
+        if key not in cls._made:
+            cls._made[key] = cls(vocabulary)
+        return cls._made[key]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+
+def _digest_rows(vocabulary: Vocabulary, keys: list[int | None], ids: list[list[int]]) -> pa.RecordBatch:
+    decoder = Decoder.of(vocabulary)
+    decimal = decoder.decimal.__getitem__
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(keys, pa.int64()),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([sha256(" ".join(map(decimal, x)).encode()).hexdigest() for x in ids], pa.string()),
+            pa.array([sha256(decoder.decode(x)).hexdigest() for x in ids], pa.string()),
+        ],
+        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 def starts(text: str, pattern: regex.Pattern) -> list[int]:
     """Where the pre-tokens of ``text`` start; its length comes last."""
     found = [0]
@@ -119,12 +155,12 @@ def stitch(chunks: Iterator[tuple[int, str, list[int], bool]], pattern: regex.Pa
     yield [text[a:b] for a, b in zip(at[own:-1], at[own + 1 :])]
 
 
-def _encode_whole(vocabulary: Vocabulary):
+def _encode_whole(vocabulary: Vocabulary, rows):
     def encode(batches):
         encoder = Encoder.of(vocabulary)
         for batch, _, _ in slices(batches):
             ids = [encoder.ids(encoder.split.findall(t)) for t in batch.column("text").to_pylist()]
-            yield _rows(batch.column("doc_id").to_pylist(), ids)
+            yield rows(vocabulary, batch.column("doc_id").to_pylist(), ids)
 
     return encode
 
@@ -157,7 +193,7 @@ def _split(vocabulary: Vocabulary):
     return split
 
 
-def _encode_chunks(vocabulary: Vocabulary):
+def _encode_chunks(vocabulary: Vocabulary, finish):
     """Chunks sorted by text and place become the ids of each text. Equal rows lie side by side; each gives a row."""
 
     def rows(batches):
@@ -188,12 +224,31 @@ def _encode_chunks(vocabulary: Vocabulary):
                 ids.extend(encoder.ids(pieces))
             for _ in source:  # the copies of the last chunk
                 pass
-            yield _rows([key[0]] * copies, [ids] * copies)
+            yield finish(vocabulary, [key[0]] * copies, [ids] * copies)
             row = following[0]
 
     return encode
 
 
+def _run(docs: DataFrame, vocabulary: Vocabulary, columns: tuple[str, str], chunk: int, overlap: int, finish, schema: str):
+    if overlap <= LOOKAHEAD or chunk < 1:
+        raise ValueError("the overlap must be longer than the lookahead")
+    narrow = texts(docs, *columns)
+    whole = narrow.where(F.char_length("text") <= chunk).mapInArrow(_encode_whole(vocabulary, finish), schema)
+    parts = (
+        narrow.where(F.char_length("text") > chunk)
+        .withColumn("same", F.sha2("text", 256))
+        .mapInArrow(_cut(chunk, overlap), "doc_id long, same string, place long, last boolean, text string")
+        .repartition("doc_id", "same", "place")
+        .mapInArrow(
+            _split(vocabulary), "doc_id long, same string, place long, last boolean, text string, starts array<int>"
+        )
+        .repartition("doc_id", "same")
+        .sortWithinPartitions("doc_id", "same", "place")
+    )
+    return whole.unionByName(parts.mapInArrow(_encode_chunks(vocabulary, finish), schema))
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -208,22 +263,20 @@ def encode(
     over the tasks. Null and empty texts have no ids. Repeated rows, null ids among them, give a row each. An empty
     table gives an empty result. ``overlap`` must be more than LOOKAHEAD.
     """
-    if overlap <= LOOKAHEAD or chunk < 1:
-        raise ValueError("the overlap must be longer than the lookahead")
-    narrow = texts(docs, id_col, text_col)
-    whole = narrow.where(F.char_length("text") <= chunk).mapInArrow(_encode_whole(vocabulary), IDS)
-    parts = (
-        narrow.where(F.char_length("text") > chunk)
-        .withColumn("same", F.sha2("text", 256))
-        .mapInArrow(_cut(chunk, overlap), "doc_id long, same string, place long, last boolean, text string")
-        .repartition("doc_id", "same", "place")
-        .mapInArrow(
-            _split(vocabulary), "doc_id long, same string, place long, last boolean, text string, starts array<int>"
-        )
-        .repartition("doc_id", "same")
-        .sortWithinPartitions("doc_id", "same", "place")
-    )
-    return whole.unionByName(parts.mapInArrow(_encode_chunks(vocabulary), IDS))
+    return _run(docs, vocabulary, (id_col, text_col), chunk, overlap, _id_rows, IDS)
+
+
+def round_trip(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = CHUNK,
+    overlap: int = OVERLAP,
+) -> DataFrame:
+    """``encode``, then decode the ids, in the same task: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by
+    a space) and decoded_sha256. The ids themselves never leave the task. Rows as in ``encode``."""
+    return _run(docs, vocabulary, (id_col, text_col), chunk, overlap, _digest_rows, DIGESTS)
 
 
 def decoded(ids: str | Column, vocabulary: Vocabulary) -> Column:
@@ -231,27 +284,7 @@ def decoded(ids: str | Column, vocabulary: Vocabulary) -> Column:
 
     @arrow_udf("binary")
     def join(column: pa.Array) -> pa.Array:
-        table = _raw(vocabulary)
-        return pa.array([None if x is None else b"".join(map(table.__getitem__, x)) for x in column.to_pylist()], pa.binary())
+        decoder = Decoder.of(vocabulary)
+        return pa.array([None if x is None else decoder.decode(x) for x in column.to_pylist()], pa.binary())
 
     return join(ids)
-
-
-_RAW: dict[int, dict[int, bytes]] = {}
-
-
-def _raw(vocabulary: Vocabulary) -> dict[int, bytes]:
-    key = hash(vocabulary)
-    if key not in _RAW:
-        _RAW[key] = {rank: piece for piece, rank in vocabulary.ranks().items()}
-    return _RAW[key]
-
-
-def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a table with doc_id and ids."""
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decoded("ids", vocabulary), 256).alias("decoded_sha256"),
-    )
