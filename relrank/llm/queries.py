@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import byte_bpe
+from relrank.llm import byte_bpe, language_id
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.near_dedup import near_duplicates
@@ -64,3 +64,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs)
+    known = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.predict(known, model).select("doc_id", "held_out", "lang_pred", "score")
