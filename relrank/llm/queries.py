@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import byte_bpe, language_id
+from relrank.llm import byte_bpe, language_id, licenses
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.near_dedup import near_duplicates
@@ -72,3 +72,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs)
     known = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
     return language_id.predict(known, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
