@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import byte_bpe, language_id, licenses
+from relrank.llm import byte_bpe, decontamination, language_id, licenses
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.near_dedup import near_duplicates
@@ -77,3 +77,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
