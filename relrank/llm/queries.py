@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relrank.llm import byte_bpe, decontamination, language_id, licenses
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
+from relrank.llm.html_text import extract_text
 from relrank.llm.near_dedup import near_duplicates
 from relrank.llm.suffix_dedup import suffix_dedup
 
@@ -82,3 +83,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
