@@ -14,6 +14,7 @@ from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.html_text import extract_text
 from relrank.llm.near_dedup import near_duplicates
 from relrank.llm.suffix_dedup import suffix_dedup
+from relrank.llm.token_counts import Unigram, count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +89,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(table(spark, sf_dir, "documents"), model)
