@@ -4,15 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relrank.llm.common import stored, table
+from relrank.llm import byte_bpe
+from relrank.llm.common import keep_ids, stored, table
+from relrank.llm.decontamination import drop_leaks
 from relrank.llm.exact_dedup import drop_exact_duplicates
+from relrank.llm.language_id import keep_identified, learn
+from relrank.llm.near_dedup import near_duplicates
+from relrank.llm.queries import byte_vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known."""
+    return keep_identified(docs, learn(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_ids(docs, stored(near_duplicates(docs).where("kept").select("doc_id").distinct()))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of what they decode to."""
+    return byte_bpe.round_trip(docs, byte_vocabulary(spark))
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", clean),
+    ("byte-level BPE", encoded),
+]
 
 ORACLE_SQL = None  # language ID and latent retrieval are fitted models; the stages are tested against brute force
 
