@@ -20,7 +20,7 @@ from relrank.llm.common import LOWER, mix, slices
 GRAM = 4  # bytes
 HASHES = 3
 LANGUAGES = 64  # bits of a slot
-SAMPLE_ROWS = 2_000  # labelled rows per language that are learned from, in the order of the md5 of their ids
+SAMPLE_ROWS = 1_000  # labelled rows per language that are learned from, in the order of the md5 of their ids
 PROFILE = 20_000  # n-grams per language, those in most rows
 LEAST_SHARE = 0.005  # of a language's rows that an n-gram must be in
 SLOTS = 1 << 19  # 4 MB, for any input
@@ -110,13 +110,21 @@ def learn(
 ) -> LanguageModel:
     """Profiles of the n-grams of each ``lang_col`` value, from ``sample`` rows of it that are not held out.
 
-    The sample bounds what is counted and what reaches the driver (PROFILE n-grams a language). Rows without id, text
-    or language teach nothing; a table without any gives a model that knows no language.
+    The sample bounds what is counted and what reaches the driver (PROFILE n-grams a language). Rows that repeat an id
+    are drawn together. Rows without id, text or language teach nothing; a table without any gives a model that knows
+    no language.
     """
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)
-    rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.md5(F.col(id_col).cast("string")).alias("order"))
-    at = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
-    drawn = rows.withColumn("at", at).where(F.col("at") <= sample).select("lang", "text")
+    order = F.md5(F.col(id_col).cast("string"))
+    keys = docs.where(usable).select(F.col(lang_col).alias("lang"), order.alias("order"))
+    # The last hash that is drawn, from ids alone: first in 256 parts of each language, then over what those leave.
+    part = F.row_number().over(Window.partitionBy("lang", F.substring("order", 1, 2)).orderBy("order"))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    few = keys.withColumn("at", part).where(F.col("at") <= sample).drop("at")
+    cuts = few.withColumn("at", at).where(F.col("at") <= sample).groupBy("lang").agg(F.max("order").alias("cut"))
+    cuts = cuts.limit(LANGUAGES + 1)
+    rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
+    drawn = rows.join(F.broadcast(cuts), "lang").where("order <= cut").select("lang", "text")
     counts = drawn.repartition(F.xxhash64("text")).mapInArrow(_profile, "lang string, gram long, rows long")
     sizes = drawn.groupBy("lang").agg(F.count("*").alias("size"))
     common = counts.groupBy("lang", "gram").agg(F.sum("rows").alias("rows")).join(F.broadcast(sizes), "lang")
