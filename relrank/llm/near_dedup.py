@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relrank.llm.common import BLANKS, LOWER, Rolling, mix, slices, stored, texts, words
@@ -82,76 +82,127 @@ def _sketch(batches):
         )
 
 
-def _prefix(own: np.ndarray, known: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """Keys of the first shingles of a set, in an order that puts those outside ``known`` first.
+def _alike(both: int, one: int, two: int) -> bool:
+    return DENOMINATOR * both >= NUMERATOR * (one + two - both)
+
+
+def _prefix(own: np.ndarray, inside: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first shingles of a set, in an order that puts those outside the family's reference set first: the
+    keys of those, and of the ones inside it.
 
     Two sets that make a link share one of these keys: each is missing too few shingles of the other for all of its
-    first |A| - ceil(0.85 |A|) + 1 to be among them.
+    first |A| - ceil(0.85 |A|) + 1 to be among them. If they share none outside the reference set, but one inside, they
+    have nothing in common outside it.
     """
     need = len(own) - -(-NUMERATOR * len(own) // DENOMINATOR) + 1
-    inside = np.isin(own, known, assume_unique=True)
-    first = np.concatenate([own[~inside], own[inside]])[:need]
-    return mix(first ^ salt).view(np.int64)
+    strange, known = own[~inside][:need], own[inside]
+    known = known[: need - len(strange)]
+    return mix(strange ^ salt).view(np.int64), mix(known ^ salt).view(np.int64)
+
+
+LEADER, REFERENCE, MEMBER = 0, 1, 2
+FOUND = "a long, b long, link boolean, n long, shared long, outer array<long>, inner array<long>"
 
 
 def _confirm(batches):
-    """Texts of each family, its leader's first, become confirmed links and the keys of the next round.
+    """Texts of each family, its leader's and its references' first, become confirmed links; members that go on
+    (``more``) get the keys of the next round. Of every member: n shingles, and ``shared`` of them with the reference
+    set, the union of those first texts.
 
-    Holds the leader's set and one slice of texts, however large the family.
+    Holds the first texts' sets and one slice of texts, however large the family.
     """
-    leader, known, leaders, salt = None, None, [], None
+    leader, known, leaders, first, salt = None, None, [], [], None
     for batch, data, offsets in slices(batches):
         found, at = shingles(data, offsets)
-        rows = {"a": [], "b": [], "link": [], "keys": []}
-        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+        rows = {"a": [], "b": [], "link": [], "n": [], "shared": [], "outer": [], "inner": []}
+        for i, (a, kind, b, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b", "more")))):
             own = found[at[i] : at[i + 1]]
-            if leader != a:
-                leader, leaders, known = a, [], None
+            if leader != a or kind == LEADER and known is not None:  # another family, or another part of this one
+                leader, leaders, first, known = a, [], [], None
                 salt = mix(np.array([a], np.int64).view(np.uint64))[0]
-            if b is None:
-                leaders.append(own)
+            if kind != MEMBER:
+                first.append(own)
+                if kind == LEADER:
+                    leaders.append(own)
                 continue
             if known is None:
-                known = leaders[0] if len(leaders) == 1 else np.unique(np.concatenate(leaders))
-            link = False
-            for other in leaders:  # more than one only if rows repeat the leader's id
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                link = link or DENOMINATOR * both >= NUMERATOR * (len(own) + len(other) - both)
-            rows["a"].append(a)
-            rows["b"].append(b)
-            rows["link"].append(link)
-            rows["keys"].append(_prefix(own, known, salt))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["a"], pa.int64()), pa.array(rows["b"], pa.int64()), pa.array(rows["link"], pa.bool_()), pa.array(rows["keys"], pa.list_(pa.int64()))],
-            list(rows),
-        )
+                known = first[0] if len(first) == 1 else np.unique(np.concatenate(first))
+            inside = np.isin(own, known, assume_unique=True)
+            # More than one leader only if rows repeat its id.
+            link = any(_alike(len(np.intersect1d(own, x, assume_unique=True)), len(own), len(x)) for x in leaders)
+            outer, inner = _prefix(own, inside, salt) if more else (None, None)
+            for name, value in zip(rows, (a, b, link, len(own), int(inside.sum()), outer, inner)):
+                rows[name].append(value)
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), types)], list(rows))
 
 
 FAMILY = 256  # members that meet a copy of their leader in one task
+REFERENCES = 8  # members whose shingles count as known in their family; of a copied text, most have all it had
 
 
 def _families(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, link, keys) of each pair of a leader a and a member b; large families are cut into parts."""
+    """What ``_confirm`` finds of each pair of a leader a and a member b; large families are cut into parts."""
     sizes = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAMILY).alias("parts")))
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
-    members = members.join(held, members["b"] == held["node"]).select("a", "part", "b", "text")
-    heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    heads = heads.join(held, heads["a"] == held["node"]).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    dealt = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(_confirm, "a long, b long, link boolean, keys array<long>")
+    members = pairs.join(sizes, "a").select(
+        "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(MEMBER).alias("kind"), "b", "more", F.col("b").alias("node")
+    )
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    drawn = pairs.where("more").select("a", "b").withColumn("nth", nth).where(F.col("nth") <= REFERENCES)
+    heads = sizes.select("a", F.lit(LEADER).alias("kind"), F.col("a").alias("node")).unionByName(
+        drawn.select("a", F.lit(REFERENCE).alias("kind"), F.col("b").alias("node"))
+    )
+    parts = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(parts, "a").withColumns({"b": F.col("node"), "more": F.lit(False)})
+    dealt = heads.unionByName(members).join(held, "node").select("a", "part", "kind", "b", "more", "text")
+    ordered = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "kind", "b")
+    return ordered.mapInArrow(_confirm, FOUND)
 
 
-def _leaders(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(a, b): for each key whose nodes are not all joined yet, its most widely shared node and each of the others."""
-    if joined is not None:
-        rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        rows = rows.withColumn("component", F.col("node"))
-    open_keys = rows.groupBy("key").agg(F.count("*").alias("nodes"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    live = stored(rows.select("key", "node").join(open_keys.where("lo <> hi").select("key", "nodes"), "key"))
-    shared = live.groupBy("node").agg(F.sum("nodes").alias("shared"))
-    heads = stored(live.join(shared, "node").groupBy("key").agg(F.max_by("node", F.struct("shared", "node")).alias("a")))
-    return live.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+def _stars(live: DataFrame) -> DataFrame:
+    """(a, b, more): the most widely shared node of each key, and each of the key's others."""
+    popular = live.groupBy("node").agg(F.sum("nodes").alias("popular"))
+    heads = live.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popular", "node")).alias("a"))
+    return live.join(stored(heads), "key").where("a <> node").select("a", F.col("node").alias("b"), F.lit(True).alias("more")).distinct()
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    several = rows.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    return _stars(stored(rows.join(several, "key")))
+
+
+STRANGERS = 1024
+
+
+def _keyed(tested: DataFrame) -> DataFrame:
+    """(key, node, n, shared, inner) of the members that go on."""
+    row = ["n", "shared", F.col("b").alias("node")]
+    outer = tested.select(F.explode("outer").alias("key"), *row, F.lit(False).alias("inner"))
+    return outer.unionByName(tested.select(F.explode("inner").alias("key"), *row, F.lit(True).alias("inner"))).distinct()
+
+
+def _next_pairs(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of nodes under one key that are not joined yet.
+
+    Nodes outside a key's largest component are its strangers. With up to STRANGERS of them each is held against the
+    others; pairs come only from those whose shares of the reference set leave enough in common. Under an inner key that
+    is the smaller share, as nothing else can be in common. Keys with more strangers form stars again.
+    """
+    rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+    keys = parts.groupBy("key").agg(F.sum("size").alias("nodes"), F.max(F.struct("size", "component")).alias("main"))
+    keys = keys.select("key", "nodes", (F.col("nodes") - F.col("main.size")).alias("strangers"), F.col("main.component").alias("main"))
+    live = stored(rows.join(keys.where("strangers > 0"), "key"))
+    few = live.where(F.col("strangers") <= STRANGERS)
+    one = few.where("component <> main").select("key", *[F.col(c).alias(f"one_{c}") for c in ("node", "component", "n", "shared")])
+    outside = F.least(F.col("one_n") - F.col("one_shared"), F.col("n") - F.col("shared"))
+    most = F.least("one_shared", "shared") + F.when(F.col("inner"), 0).otherwise(outside)
+    near = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("one_n") + F.col("n"))
+    once = (F.col("component") == F.col("main")) | (F.col("one_node") < F.col("node"))
+    met = few.join(one, "key").where((F.col("one_component") != F.col("component")) & once & near)
+    met = met.select(F.col("one_node").alias("a"), F.col("node").alias("b"), F.lit(False).alias("more")).distinct()
+    starred = _stars(live.where(F.col("strangers") > STRANGERS))
+    return met.unionByName(starred).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _tables(classes: DataFrame) -> DataFrame:
@@ -171,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal sets are one node. Nodes that share a table are compared with one of them, the leader; those that
     are not joined by that go on to a next round, in which they meet under the keys of ``_prefix``, until none are left.
-    So no pair of a table is lost, and none of its pairs is formed before a shared rare shingle asks for it.
+    So no link of a table is lost, and no pair but a leader's is formed unless rare shingles and the sizes of what both
+    share with some of their group ask for it.
 
     A text without words, and null, has 0 shingles and no links. A null id counts as smaller than all others. Rows that
     repeat an id are one node, whatever their texts. An empty table gives an empty result.
@@ -184,16 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = stored(_tables(classes))
     held = stored(narrow.join(rows.select("node").distinct(), F.col("doc_id") == F.col("node")).select("node", "text"))
-    links, joined = None, None
-    while True:
-        pairs = stored(_leaders(rows, joined))
-        if pairs.isEmpty():
-            break
+    pairs, links, joined = stored(_first_pairs(rows)), None, None
+    while not pairs.isEmpty():
         tested = stored(_families(pairs, held))
         new = tested.where("link").select("a", "b")
         links = new if links is None else links.unionByName(new)
         joined = components(links)
-        rows = tested.select(F.explode("keys").alias("key"), F.col("b").alias("node")).distinct()
+        pairs = stored(_next_pairs(_keyed(tested), joined))
     grouped = sketches.join(classes.select("set1", "set2", "node"), ["set1", "set2"], "left")
     grouped = grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
     component = F.col("node")
