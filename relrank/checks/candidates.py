@@ -130,15 +130,15 @@ def prune_docs(spark: SparkSession, d: str) -> DataFrame:
 @check(
     """select count(*) filter (q.qid is not null and d.docid is not null) kept,
       count(*) filter (q.qid is null or d.docid is null) missing_data
-    from v_run r left join v_queries q on q.qid = r.qid left join v_labelled_docs d on d.docid = r.docid"""
+    from v_run r left join v_queries q on q.qid = r.qid left join v_docs d on d.docid = r.docid"""
 )
 def map_stats(spark: SparkSession, d: str) -> DataFrame:
-    return c.map_stats(tables.run(spark, d), tables.queries(spark, d), tables.labelled_docs(spark, d))
+    return c.map_stats(tables.run(spark, d), tables.queries(spark, d), tables.docs(spark, d))
 
 
-@check(f"select q.qid, q.docid, {clean('d.body')} doc from v_qrels q join v_labelled_docs d on d.docid = q.docid")
+@check(f"select q.qid, q.docid, {clean('d.body')} doc from v_qrels q join v_docs d on d.docid = q.docid")
 def fetch_docs(spark: SparkSession, d: str) -> DataFrame:
-    return c.fetch_docs(tables.qrels(spark, d).select("qid", "docid"), tables.labelled_docs(spark, d))
+    return c.fetch_docs(tables.qrels(spark, d).select("qid", "docid"), tables.docs(spark, d))
 
 
 @check(

@@ -28,7 +28,7 @@ def one_line(column: str) -> Column:
 def read_queries(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "queries.tsv")
     writers.write_tsv(tables.queries(spark, d), path, header=False)
-    return readers.read_queries(spark, path)
+    return readers.read_queries(spark, path, multi_line=True)
 
 
 @check("select qid, iter, docid, label from v_qrels")
@@ -57,11 +57,25 @@ def read_docs(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_docs(spark, path)
 
 
+@check(
+    r"""select docid, url, regexp_replace(title, '[\t\n\r]+', ' ', 'g') title,
+    regexp_replace(body, '[\t\n\r]+', ' ', 'g') body from v_docs"""
+)
+def read_docs_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Every docid stands in the collection twice; the last line counts, which is the right one."""
+    path = new_path(spark, "docs.tsv")
+    docs = tables.docs(spark, d)
+    both = docs.withColumns({"body": F.lit("early"), "turn": F.lit(0)}).unionByName(docs.withColumn("turn", F.lit(1)))
+    fields = F.concat_ws("\t", "docid", "url", one_line("title"), one_line("body"))
+    both.repartition("docid").sortWithinPartitions("turn").select(fields.alias("value")).write.text(path)
+    return readers.read_docs(spark, path)
+
+
 @check("select docid, url, title, body from v_docs")
 def read_tsv(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "docs.tsv")
     writers.write_tsv(tables.docs(spark, d), path)
-    return readers.read_tsv(spark, path, schemas.DOCS)
+    return readers.read_tsv(spark, path, schemas.DOCS, multi_line=True)
 
 
 @check("select qid, docid, query, doc, relevance, annotation from v_fair")
@@ -69,7 +83,7 @@ def read_tsv_without_index(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "fair.tsv")
     indexed = tables.fair(spark, d).select(F.lit(0).alias("Unnamed: 0"), *reversed(schemas.FAIR.names))
     writers.write_tsv(indexed, path)
-    return readers.read_tsv(spark, path, schemas.FAIR)
+    return readers.read_tsv(spark, path, schemas.FAIR, multi_line=True)
 
 
 @check("select qid, query, doc from v_turns")
@@ -77,7 +91,7 @@ def read_tsv_headerless(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "turns.tsv")
     writers.write_tsv(tables.turns(spark, d), path, header=False)
     return readers.read_tsv(
-        spark, path, schemas.struct(qid=schemas.STR, query=schemas.STR, doc=schemas.STR), header=False
+        spark, path, schemas.struct(qid=schemas.STR, query=schemas.STR, doc=schemas.STR), header=False, multi_line=True
     )
 
 
@@ -104,4 +118,4 @@ def write_triples(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "triples.tsv")
     triples = make_triples(tables.run(spark, d), tables.queries(spark, d), tables.qrels(spark, d), tables.docs(spark, d))
     writers.write_triples(triples, path)
-    return readers.read_tsv(spark, path, schemas.TRIPLES, header=False)
+    return readers.read_tsv(spark, path, schemas.TRIPLES, header=False, multi_line=True)

@@ -13,9 +13,6 @@ from relrank.operators.candidates import join_qrels
 from relrank.operators.scoring import rerank
 from relrank.sources import tables
 
-# The run has 100 documents per query at most; its metrics need no search for huge queries.
-CAPPED = None
-
 RANKED = """
 ranked as (
   select r.qid, r.docid, r.score, coalesce(j.label, 0) label,
@@ -130,7 +127,7 @@ def mean_ap_at_10(spark: SparkSession, d: str) -> DataFrame:
     ctes=RANKED,
 )
 def evaluate(spark: SparkSession, d: str) -> DataFrame:
-    result = m.evaluate(*judged(spark, d), hot_rows=CAPPED)
+    result = m.evaluate(*judged(spark, d))
     return rounded(result, *result.columns)
 
 
@@ -141,7 +138,7 @@ def evaluate(spark: SparkSession, d: str) -> DataFrame:
     ctes=RANKED,
 )
 def evaluate_run_queries(spark: SparkSession, d: str) -> DataFrame:
-    result = m.evaluate(*judged(spark, d), denominator="run", hot_rows=CAPPED)
+    result = m.evaluate(*judged(spark, d), denominator="run")
     return rounded(result, *result.columns)
 
 
@@ -152,7 +149,7 @@ def evaluate_run_queries(spark: SparkSession, d: str) -> DataFrame:
     ctes=RANKED,
 )
 def evaluate_by_query(spark: SparkSession, d: str) -> DataFrame:
-    result = m.evaluate_by_query(*judged(spark, d), tables.queries(spark, d), hot_rows=CAPPED)
+    result = m.evaluate_by_query(*judged(spark, d), tables.queries(spark, d))
     return rounded(result, *result.columns[2:])
 
 

@@ -15,10 +15,10 @@ judged as (select distinct qid, docid from v_qrels where label = 1),
 drawn as (
   select qid, arg_min(docid, {hashed('qid', 'docid')}) docid from judged
   where qid in (select qid from v_run) and qid in (select qid from v_queries) group by qid),
-chosen as (select * from drawn where docid in (select docid from v_labelled_docs)),
+chosen as (select * from drawn where docid in (select docid from v_docs)),
 top as (
   select qid, docid from v_run where rank <= 5 and qid in (select qid from chosen)
-    and docid in (select docid from v_labelled_docs)),
+    and docid in (select docid from v_docs)),
 negative as (
   select qid, arg_min(docid, {hashed('qid', 'docid')}) docid from (
     select * from top except select * from chosen) group by qid),
@@ -40,13 +40,14 @@ triple_rows as (
 triples as (
   select t.qid, q.query, p.docid p_docid, p.url p_url, p.title p_title, p.body p_body,
     n.docid n_docid, n.url n_url, n.title n_title, n.body n_body
-  from (select * from triple_rows where status = 'kept' order by qid limit 10000) t
+  from (select * from triple_rows where status = 'kept') t
   join v_queries q on q.qid = t.qid join v_docs p on p.docid = t.p_docid join v_docs n on n.docid = t.n_docid)
 """
 
 QRELS_PAIRS = f"""
 fair_qrels as (select distinct qid, docid from v_fair where relevance = 1),
 by_hash as (select qid, row_number() over (order by {hashed('qid')}) n from (select distinct qid from fair_qrels)),
+topics as (select (count(distinct qid) + 1) // 2 half, count(*) pairs from fair_qrels),
 ring as (select docid, row_number() over (order by {hashed('docid')}) - 1 place from v_docs),
 size as (select count(*) n from v_docs),
 filled as (select docid, {clean('body')} doc from v_docs)
@@ -54,8 +55,7 @@ filled as (select docid, {clean('body')} doc from v_docs)
 
 
 def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """run, queries, qrels, and the labelled documents only, so that some text is missing."""
-    return stored_run(spark, d), tables.queries(spark, d), tables.qrels(spark, d), tables.labelled_docs(spark, d)
+    return stored_run(spark, d), tables.queries(spark, d), tables.qrels(spark, d), tables.docs(spark, d)
 
 
 def with_text(ids: str) -> str:
@@ -98,24 +98,24 @@ def sample_n(spark: SparkSession, d: str) -> DataFrame:
     f"""select concat('Query:', query, chr(10), 'Document:', doc) as text, label from (
       select query, doc, relevance as label,
         row_number() over (partition by relevance order by {hashed('qid', 'docid')}) n from v_fair)
-    where n <= 10"""
+    where n <= (select least(count(*) filter (relevance = 1), count(*) filter (relevance = 0)) from v_fair)"""
 )
 def balanced_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """All prompts of the scarcer class, and as many of the other."""
     fair = tables.fair(spark, d)
-    return s.balanced_prompts(fair.where("relevance = 1"), fair.where("relevance = 0"), 10)
+    return s.balanced_prompts(fair.where("relevance = 1"), fair.where("relevance = 0")).select("text", "label")
 
 
 @check(
-    """select concat('Query:', query, chr(10), 'Document:', doc) as text, label from (
-      select query, doc, 1 as label from positive_text union all select query, doc, 0 from negative_text)""",
+    f"""select concat('Query:', query, chr(10), 'Document:', doc) as text, label from (
+      select query, doc, 1 as label from (select *, row_number() over (order by {hashed('qid', 'docid')}) n from positive_text)
+      where n <= (select count(*) from negative) union all select query, doc, 0 from negative_text)""",
     ctes=PAIRS + f", positive_text as ({with_text('chosen')}), negative_text as ({with_text('negative')})",
     name="training_prompts",
 )
 def all_training_prompts(spark: SparkSession, d: str) -> DataFrame:
     """A prompt for every pair: as many of each class as the scarcer one has."""
-    run, queries, qrels, docs = inputs(spark, d)
-    n = s.negative_ids(run, s.positive_ids(run, queries, qrels, docs), docs).count()
-    return training_prompts(run, queries, qrels, docs, n)
+    return training_prompts(*inputs(spark, d)).select("text", "label")
 
 
 @check(f"select qid, query, doc, {hashed('qid')} as place from v_turns")
@@ -144,14 +144,12 @@ def split_train_test_by_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @check("select * from triples", ctes=TRIPLES)
 def make_triples(spark: SparkSession, d: str) -> DataFrame:
-    run, queries, qrels, _ = inputs(spark, d)
-    return s.flatten_triples(s.make_triples(run, queries, qrels, tables.docs(spark, d)))
+    return s.flatten_triples(s.make_triples(*inputs(spark, d)))
 
 
 @check("select status, count(*) as rows from triple_rows group by status", ctes=TRIPLES)
 def triple_stats(spark: SparkSession, d: str) -> DataFrame:
-    run, queries, qrels, _ = inputs(spark, d)
-    return s.triple_stats(run, queries, qrels, tables.docs(spark, d))
+    return s.triple_stats(*inputs(spark, d))
 
 
 def fair_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,26 +158,35 @@ def fair_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return to_qrels(fair), topics, tables.docs(spark, d)
 
 
-@check(
-    f"""select p.qid, p.docid, concat('topic ', p.qid) query, f.doc, 1 relevance from (
-      select r.qid, r.docid from fair_qrels r join by_hash b on b.qid = r.qid
-      where b.n <= 5 and r.docid in (select docid from filled where doc <> '')
-      order by {hashed('r.qid')}, {hashed('r.qid', 'r.docid')} limit 50) p
-    join filled f on f.docid = p.docid""",
-    ctes=QRELS_PAIRS,
-)
-def qrels_positives(spark: SparkSession, d: str) -> DataFrame:
-    return s.qrels_positives(*fair_inputs(spark, d), top_k=5, max_pos=50)
-
+POSITIVES = f"""select r.qid, r.docid, concat('topic ', r.qid) query, f.doc, 1 relevance
+    from fair_qrels r join by_hash b on b.qid = r.qid join filled f on f.docid = r.docid
+    where b.n <= (select half from topics) and f.doc <> ''
+    qualify row_number() over (order by {hashed('r.qid', 'r.docid')}) <= (select pairs from topics)"""
 
-@check(
-    f"""select a.qid, a.docid, concat('topic ', a.qid) query, f.doc, 0 relevance from (
+NEGATIVES = f"""select a.qid, a.docid, concat('topic ', a.qid) query, f.doc, 0 relevance from (
       select b.qid, arg_min(r.docid, (r.place - {hash_number('b.qid')} % s.n + s.n) % s.n) docid
-      from (select qid, row_number() over (order by n) m from by_hash where n > 5) b, ring r, size s
-      where b.m <= 5 and not exists (select 1 from fair_qrels q where q.qid = b.qid and q.docid = r.docid)
+      from (select qid from by_hash where n > (select half from topics)) b, ring r, size s
+      where not exists (select 1 from fair_qrels q where q.qid = b.qid and q.docid = r.docid)
       group by b.qid) a
-    join filled f on f.docid = a.docid where f.doc <> ''""",
-    ctes=QRELS_PAIRS,
-)
+    join filled f on f.docid = a.docid where f.doc <> ''"""
+
+
+def every_topic(spark: SparkSession, d: str) -> dict:
+    """Half of the topics give all their positives, all others a negative each."""
+    topics, pairs = tables.fair(spark, d).where("relevance = 1").selectExpr("count(distinct qid)", "count(*)").first()
+    return {"top_k": (topics + 1) // 2, "max_pos": pairs}
+
+
+@check(POSITIVES, ctes=QRELS_PAIRS)
+def qrels_positives(spark: SparkSession, d: str) -> DataFrame:
+    return s.qrels_positives(*fair_inputs(spark, d), **every_topic(spark, d))
+
+
+@check(NEGATIVES, ctes=QRELS_PAIRS)
 def qrels_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return s.qrels_negatives(*fair_inputs(spark, d), top_k=5, max_pos=50)
+    return s.qrels_negatives(*fair_inputs(spark, d), **every_topic(spark, d))
+
+
+@check(f"select * from ({POSITIVES}) union all select * from ({NEGATIVES})", ctes=QRELS_PAIRS)
+def qrels_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return s.qrels_pairs(*fair_inputs(spark, d), **every_topic(spark, d))

@@ -138,7 +138,7 @@ def score_doc_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
     run = stored_run(spark, d)
-    return p.rank_by_wins(run, top_pairs(spark, d, run))
+    return p.rank_by_wins(head_per_query(run, 10), top_pairs(spark, d, run))
 
 
 @check(
@@ -148,7 +148,7 @@ def rank_by_wins(spark: SparkSession, d: str) -> DataFrame:
 )
 def win_probability(spark: SparkSession, d: str) -> DataFrame:
     run = stored_run(spark, d)
-    wins = p.rank_by_wins(run, top_pairs(spark, d, run))
+    wins = p.rank_by_wins(head_per_query(run, 10), top_pairs(spark, d, run))
     return p.win_probability(wins).select("qid", "docid", "wins", "probability")
 
 
@@ -160,7 +160,7 @@ def win_probability(spark: SparkSession, d: str) -> DataFrame:
 )
 def rank_by_mean_logit(spark: SparkSession, d: str) -> DataFrame:
     run = stored_run(spark, d)
-    ranked = p.rank_by_mean_logit(run, top_pairs(spark, d, run))
+    ranked = p.rank_by_mean_logit(head_per_query(run, 10), top_pairs(spark, d, run))
     return ranked.withColumn("score", F.round("score", 6))
 
 

@@ -44,14 +44,15 @@ def _slice_counts(sliced: DataFrame) -> DataFrame:
 
 
 def hash_cutoff(
-    df: DataFrame, n: int | Callable[[Column], Column], keys: Sequence[str], seed: int | str
+    df: DataFrame, n: int | Column | Callable[[Column], Column], keys: Sequence[str], seed: int | str
 ) -> DataFrame:
-    """One row, one column: the n-th smallest hash of ``df`` (no row when there are fewer).
+    """One row: the n-th smallest hash of ``df``, and how many rows of that hash are among the first n (no row when
+    there are fewer).
 
-    ``n`` may be computed from the total row count.
+    ``n`` may be a column without rows of its own, such as a scalar subquery, or be computed from the total row count.
     """
     sliced = _sliced(df.select(*keys), keys, seed).select("_hash", "_slice")
-    want = n(F.col("_total")) if callable(n) else F.lit(n)
+    want = n(F.col("_total")) if callable(n) else n if isinstance(n, Column) else F.lit(n)
     cut = (
         _slice_counts(sliced)
         .withColumn("_want", want.cast("bigint"))
@@ -64,27 +65,51 @@ def hash_cutoff(
     return (
         hashes.withColumn("_upto", F.sum("_rows").over(upto))
         .where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_rows") < F.col("_need")))
-        .select("_hash")
+        .select("_hash", (F.col("_need") - F.col("_upto") + F.col("_rows")).alias("_left"))
     )
 
 
+def mark_first(df: DataFrame, n, keys: Sequence[str], seed: int | str, name: str) -> DataFrame:
+    """``df`` with a boolean: is the row among the n of smallest hash? Exactly n are, also where keys repeat: rows of
+    the last hash count in the order of their columns. Of fewer than n rows none is marked."""
+    return _mark_before(df, _cut(df, n, keys, seed), keys, seed, name)
+
+
+def _cut(df: DataFrame, n, keys: Sequence[str], seed: int | str) -> Column:
+    """``hash_cutoff`` as one value, null when there are fewer than n rows."""
+    return hash_cutoff(df, n, keys, seed).select(F.struct("_hash", "_left")).scalar()
+
+
+def _mark_before(df: DataFrame, cut: Column, keys: Sequence[str], seed: int | str, name: str) -> DataFrame:
+    last, left = cut["_hash"], cut["_left"]
+    hashed = df.withColumn("_hash", hash_key(seed, *keys))
+    apart = hashed.where(F.coalesce(F.col("_hash") != last, F.lit(True)))
+    apart = apart.withColumn(name, F.coalesce(F.col("_hash") < last, F.lit(False)))
+    at = F.row_number().over(Window.partitionBy("_hash").orderBy(*[F.to_json(F.struct(F.col(c).alias("c"))) for c in df.columns]))
+    tied = hashed.where(F.col("_hash") == last).withColumn("_at", at)
+    return apart.drop("_hash").unionByName(tied.withColumn(name, F.col("_at") <= left).drop("_at", "_hash"))
+
+
 def first_by_hash(
-    df: DataFrame, n: int, keys: Sequence[str], seed: int | str, strict: bool = False
+    df: DataFrame, n: int | Column, keys: Sequence[str], seed: int | str, strict: bool = False
 ) -> DataFrame:
     """The n rows of smallest hash: two narrow counting passes, then a plain filter of ``df``.
 
-    Rows of equal keys stay together, so the last ones may exceed n unless the keys identify a row.
     With ``strict`` a table of fewer than n rows is an error, otherwise all of it is returned.
     """
-    if n <= 0:
+    if not isinstance(n, Column) and n <= 0:
         return df.where(F.lit(False))
-    cutoff = hash_cutoff(df, n, keys, seed).scalar()
-    if strict:
-        message = F.lit(f"cannot sample {n} rows: the table has fewer")
-        cutoff = F.when(cutoff.isNull(), F.raise_error(message).cast("string")).otherwise(cutoff)
-    else:
-        cutoff = F.coalesce(cutoff, F.lit("~"))  # above every hex digit
-    return df.where(hash_key(seed, *keys) <= cutoff)
+    wanted = n if isinstance(n, Column) else F.lit(n)
+    cut = _cut(df, wanted, keys, seed)
+    enough = cut.isNotNull() | (wanted <= 0)
+    marked = _mark_before(df, cut, keys, seed, "_first").where(F.col("_first") | ~enough).drop("_first")
+    if not strict:
+        return marked
+    # One row that is never there, but asks; so an empty table fails too.
+    message = F.concat(F.lit("cannot sample "), wanted.cast("string"), F.lit(" rows: the table has fewer"))
+    fails = F.when(enough, F.lit(False)).otherwise(F.raise_error(message).cast("boolean"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+    return marked.unionByName(df.sparkSession.range(1).where(fails).select(*empty))
 
 
 def hash_position(df: DataFrame, keys: Sequence[str], seed: int | str, name: str = "position") -> DataFrame:

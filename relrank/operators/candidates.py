@@ -30,10 +30,10 @@ def head_per_query(run: DataFrame, k: int, mode: str = "rank", line: str = "line
         raise ValueError(f"mode must be 'rank' or 'runs', not {mode!r}")
     require_columns(run, line)
     # Lines of one block share (line number in the file) - (line number within the query).
-    numbered = running_totals(run, [], [F.col(line)], {"_in_file": F.lit(1)})
-    numbered = running_totals(numbered, ["qid"], [F.col(line)], {"_in_query": F.lit(1)})
+    numbered = running_totals(run, [], [line], {"_in_file": F.lit(1)})
+    numbered = running_totals(numbered, ["qid"], [line], {"_in_query": F.lit(1)})
     blocks = numbered.withColumn("_block", F.col("_in_file") - F.col("_in_query"))
-    return head_of_group(blocks, ["qid", "_block"], [F.col(line)], k).select(*run.columns)
+    return head_of_group(blocks, ["qid", "_block"], [line], k).select(*run.columns)
 
 
 def union_ids(a: DataFrame, b: DataFrame, key: str = "docid") -> DataFrame:
@@ -86,7 +86,7 @@ def skip_queries(run: DataFrame, n: int) -> DataFrame:
     """Everything but the first n queries in qid order: where an interrupted job goes on."""
     if n <= 0:
         return run
-    numbered = running_totals(run.select("qid").distinct(), [], [F.col("qid")], {"_at": F.lit(1)})
+    numbered = running_totals(run.select("qid").distinct(), [], ["qid"], {"_at": F.lit(1)})
     last_done = numbered.where(F.col("_at") == n).select("qid").scalar()  # null, and nothing left, if there are fewer
     return run.where(F.col("qid") > last_done)
 
@@ -120,13 +120,14 @@ def map_run(
 ) -> DataFrame:
     """Each run row with its query and document text, where both exist.
 
-    ``prepare`` is applied to every text once, before the join repeats it. ``k`` limits the documents to those among the first k of some query; a row further down stays if
-    another query needs its document. ``only`` restricts the run to some queries.
+    ``prepare`` is applied to every text once, before the join repeats it. ``k`` limits the documents to those among the
+    first k of some query; a row further down stays if another query needs its document. ``only`` restricts the run to
+    some queries.
     """
     if only is not None:
         run = run.join(only.select("qid"), "qid", "left_semi")
-    if k is not None:
-        docs = prune_docs(docs, required_docs(run, k))
+    # Only documents of the run are cleaned and prepared.
+    docs = prune_docs(docs, run.select("docid").distinct() if k is None else required_docs(run, k))
     return (
         run.join(queries.select("qid", prepare(clean("query")).alias("query")), "qid")
         .join(doc_contents(docs).withColumn("doc", prepare(F.col("doc"))), "docid")
@@ -163,7 +164,7 @@ def map_top_k(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10)
 def assign_qids(stems: DataFrame, name: str = "stem") -> DataFrame:
     """Number the distinct file stems 1, 2, … in name order."""
     distinct = stems.select(name).distinct()
-    return running_totals(distinct, [], [F.col(name)], {"qid": F.lit(1)}).withColumn(
+    return running_totals(distinct, [], [name], {"qid": F.lit(1)}).withColumn(
         "qid", F.col("qid").cast("string")
     )
 
@@ -195,19 +196,31 @@ def unannotated(docs: DataFrame, annotations: DataFrame) -> DataFrame:
     return minus(docs, annotations, ["stem", "docid"]).agg(F.count("*").alias("unannotated"))
 
 
+def judgments(qrels: DataFrame) -> DataFrame:
+    """qid, docid, label: one judgment per pair, the highest of repeated ones."""
+    ids = [F.col("qid").cast("string").alias("qid"), F.col("docid").cast("string").alias("docid")]
+    return qrels.groupBy(*ids).agg(F.max("label").alias("label"))
+
+
 def join_qrels(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The run with its labels; an unjudged document has label 0."""
-    labels = qrels.select(F.col("qid").cast("string"), F.col("docid").cast("string"), "label")
+    """The run with its labels; an unjudged document has label 0, of repeated judgments the highest counts."""
+    labels = judgments(qrels)
     return run.join(labels, ["qid", "docid"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def positions(run: DataFrame, k: int, order: Sequence[Column] | None = None) -> DataFrame:
-    """The first k candidates of each query with their position 0 … k-1."""
-    return head_of_group(run, ["qid"], order or run_order(), k, "pos").withColumn("pos", F.col("pos") - 1)
+def positions(run: DataFrame, k: int | None = None) -> DataFrame:
+    """The candidates of each query, or the first k, with their position 0, 1, …"""
+    if k is None:
+        numbered = running_totals(run, ["qid"], run_order(), {"pos": F.lit(1)})
+    else:
+        numbered = head_of_group(run, ["qid"], run_order(), k, "pos")
+    return numbered.withColumn("pos", (F.col("pos") - 1).cast("int"))
+
 
+def pair_candidates(run: DataFrame, k: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Every pair (a before b) among the candidates of a query, or among its first k: n(n-1)/2 rows for n of them.
 
-def pair_candidates(run: DataFrame, k: int = 10, carry: Sequence[str] = ()) -> DataFrame:
-    """Every pair (a before b) among the first k candidates of a query: k(k-1)/2 rows at most.
+    Comparing all pairs is what the method asks for; cap the run first (``head_per_query``) where lists are long.
 
     ``carry`` names document columns to bring along; they get the suffixes _a and _b.
     """

@@ -1,7 +1,7 @@
 """Ranking metrics by the trec_eval definitions.
 
 Inside a query documents count in the order of ``evaluation_order``. Per-query results have one row per
-query of the run; ``corpus_means`` averages them.
+query of the run; ``corpus_mean`` averages them. Of repeated judgments the highest counts.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relrank.operators.candidates import join_qrels
-from relrank.operators.ordering import HOT_ROWS, evaluation_order, head_of_group, running_totals
+from relrank.operators.candidates import join_qrels, judgments
+from relrank.operators.ordering import PIECE_ROWS, evaluation_order, head_of_group, running_totals
 
 CUTOFFS = (1, 5, 10, 100)
 
 
 def _ranked(
-    run: DataFrame, qrels: DataFrame, depth: int | None, min_rel: int = 1, hot_rows: int | None = HOT_ROWS
+    run: DataFrame, qrels: DataFrame, depth: int | None, min_rel: int = 1, piece_rows: int | None = PIECE_ROWS
 ) -> DataFrame:
     """The run with label, rnk and hits, the relevant documents up to and including this one."""
     run = run.select("qid", "docid", "score")
@@ -27,10 +27,10 @@ def _ranked(
     if depth is None:
         judged = join_qrels(run, qrels)
         return running_totals(
-            judged, ["qid"], evaluation_order(), {"rnk": F.lit(1), "hits": relevant}, hot_rows
+            judged, ["qid"], evaluation_order(), {"rnk": F.lit(1), "hits": relevant}, piece_rows
         )
     top = join_qrels(head_of_group(run, ["qid"], evaluation_order(), depth, "rnk"), qrels)
-    return running_totals(top, ["qid"], [F.col("rnk")], {"hits": relevant}, hot_rows=None)  # depth rows at most
+    return running_totals(top, ["qid"], ["rnk"], {"hits": relevant}, piece_rows=None)  # depth rows at most
 
 
 def _with_ideal(values: DataFrame, ideal: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _with_ideal(values: DataFrame, ideal: DataFrame) -> DataFrame:
 
 
 def _relevant_counts(qrels: DataFrame, min_rel: int = 1) -> DataFrame:
-    return qrels.groupBy("qid").agg(F.count_if(F.col("label") >= min_rel).alias("relevant"))
+    return judgments(qrels).groupBy("qid").agg(F.count_if(F.col("label") >= min_rel).alias("relevant"))
 
 
 def _ratio(value: Column, whole: Column | str) -> Column:
@@ -66,7 +66,7 @@ def _gain(k: int) -> Column:
 
 
 def _ideal_gains(qrels: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
-    best = head_of_group(qrels, ["qid"], [F.desc("label")], max(cutoffs), "rnk")
+    best = head_of_group(judgments(qrels), ["qid"], ["-label"], max(cutoffs), "rnk")
     return best.groupBy("qid").agg(*[_gain(k).alias(f"_ideal_{k}") for k in cutoffs])
 
 
@@ -81,11 +81,11 @@ def recall_at(run: DataFrame, qrels: DataFrame, k: int = 1000) -> DataFrame:
 
 
 def average_precision(
-    run: DataFrame, qrels: DataFrame, min_rel: int = 1, depth: int | None = None, hot_rows: int | None = HOT_ROWS
+    run: DataFrame, qrels: DataFrame, min_rel: int = 1, depth: int | None = None, piece_rows: int | None = PIECE_ROWS
 ) -> DataFrame:
     """Average precision per query. ``depth`` looks at the first documents only; the divisor stays the
     number of relevant documents in the judgments."""
-    ranked = _ranked(run, qrels, depth, min_rel, hot_rows)
+    ranked = _ranked(run, qrels, depth, min_rel, piece_rows)
     sums = ranked.groupBy("qid").agg(_precision_sum(min_rel).alias("_sum"))
     return _with_ideal(sums, _relevant_counts(qrels, min_rel)).select(
         "qid", _ratio(F.col("_sum"), "relevant").alias("value")
@@ -113,29 +113,29 @@ def mean_metric(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def evaluate_by_query(
-    run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, hot_rows: int | None = HOT_ROWS
+    run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, piece_rows: int | None = PIECE_ROWS
 ) -> DataFrame:
     """precision@10, map and nDCG at 1, 5, 10 and 100 per query, from one ranking of the run."""
-    values = _all_values(run, qrels, hot_rows).drop("AP(rel=2)@100")
+    values = _all_values(run, qrels, piece_rows).drop("AP(rel=2)@100")
     if queries is None:
         return values
     with_text = values.join(queries.select("qid", "query"), "qid", "left")
     return with_text.select("qid", "query", *values.columns[1:])
 
 
-def _all_values(run: DataFrame, qrels: DataFrame, hot_rows: int | None) -> DataFrame:
+def _all_values(run: DataFrame, qrels: DataFrame, piece_rows: int | None) -> DataFrame:
     """Every reported metric per query, from one ranking of the run and one of the judgments."""
     grades = {"hits": 1, "hits_2": 2}
     judged = join_qrels(run.select("qid", "docid", "score"), qrels)
     totals = {"rnk": F.lit(1), **{name: (F.col("label") >= g).cast("int") for name, g in grades.items()}}
-    ranked = running_totals(judged, ["qid"], evaluation_order(), totals, hot_rows)
+    ranked = running_totals(judged, ["qid"], evaluation_order(), totals, piece_rows)
     values = ranked.groupBy("qid").agg(
         (_hits_within(10) / F.lit(10)).alias("precision@10"),
         _precision_sum().alias("_sum"),
         _precision_sum(2, "hits_2", 100).alias("_sum_2"),
         *[_gain(k).alias(f"_gain_{k}") for k in CUTOFFS],
     )
-    relevant = qrels.groupBy("qid").agg(
+    relevant = judgments(qrels).groupBy("qid").agg(
         *[F.count_if(F.col("label") >= g).alias(f"_relevant_{g}") for g in grades.values()]
     )
     values = _with_ideal(_with_ideal(values, _ideal_gains(qrels, CUTOFFS)), relevant)
@@ -148,14 +148,14 @@ def _all_values(run: DataFrame, qrels: DataFrame, hot_rows: int | None) -> DataF
     )
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, denominator: str = "qrels", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def evaluate(run: DataFrame, qrels: DataFrame, denominator: str = "qrels", piece_rows: int | None = PIECE_ROWS) -> DataFrame:
     """One row of corpus means: AP(rel=2)@100, P@10, map, nDCG at 1, 5, 10, 100.
 
     ``denominator`` is 'qrels' (every judged query counts) or 'run' (every query of the run).
     """
     if denominator not in ("qrels", "run"):
         raise ValueError(f"denominator must be 'qrels' or 'run', not {denominator!r}")
-    values = _all_values(run, qrels, hot_rows)
+    values = _all_values(run, qrels, piece_rows)
     names = values.columns[1:]
     if denominator == "qrels":
         values = qrels.select("qid").distinct().join(values, "qid", "left")
@@ -167,12 +167,12 @@ def evaluate(run: DataFrame, qrels: DataFrame, denominator: str = "qrels", hot_r
 
 def _set_hits(true: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
     """The first k predictions with ``hit`` and ``found``, the distinct true ids met so far."""
-    top = head_of_group(predicted.select("qid", "docid", "rank"), ["qid"], [F.col("rank"), F.col("docid")], k, "at")
+    top = head_of_group(predicted.select("qid", "docid", "rank"), ["qid"], ["rank", "docid"], k, "at")
     truth = true.select("qid", "docid").distinct().withColumn("_true", F.lit(1))
     first = F.row_number().over(Window.partitionBy("qid", "docid").orderBy("at")) == 1
     hits = top.join(truth, ["qid", "docid"], "left").withColumn("hit", F.col("_true").isNotNull())
     hits = hits.withColumn("_new", (F.col("hit") & first).cast("int"))
-    return running_totals(hits, ["qid"], [F.col("at")], {"found": F.col("_new")}, hot_rows=None)  # k rows at most
+    return running_totals(hits, ["qid"], ["at"], {"found": F.col("_new")}, piece_rows=None)  # k rows at most
 
 
 def _per_true_query(true: DataFrame, values: DataFrame, value: Column) -> DataFrame:
@@ -217,24 +217,24 @@ def ndcg_tied(df: DataFrame, gain: str, prediction: str, k: int = 10) -> DataFra
         return F.get(upto, F.least(place, F.lit(k)).cast("int"))
 
     ties = df.groupBy("qid", prediction).agg(F.avg(gain).alias("_mean"), F.count("*").alias("_rows"))
-    ties = head_of_group(ties, ["qid"], [F.desc(prediction)], k)
-    ties = running_totals(ties, ["qid"], [F.col("_at")], {"_end": F.col("_rows")}, hot_rows=None)  # k rows at most
+    ties = head_of_group(ties, ["qid"], [f"-{prediction}"], k)
+    ties = running_totals(ties, ["qid"], ["_at"], {"_end": F.col("_rows")}, piece_rows=None)  # k rows at most
     gains = ties.groupBy("qid").agg(
         F.sum(F.col("_mean") * (sum_to(F.col("_end")) - sum_to(F.col("_end") - F.col("_rows")))).alias("_gain")
     )
-    best = head_of_group(df.select("qid", gain), ["qid"], [F.desc(gain)], k)
+    best = head_of_group(df.select("qid", gain), ["qid"], [f"-{gain}"], k)
     ideal = best.groupBy("qid").agg(F.sum(F.col(gain) / F.log2(F.col("_at") + 1)).alias("_ideal"))
     return gains.join(ideal, "qid").select("qid", _ratio(F.col("_gain"), "_ideal").alias("value"))
 
 
 def ap_from_scores(
-    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ("qid",), hot_rows: int | None = HOT_ROWS
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ("qid",), piece_rows: int | None = PIECE_ROWS
 ) -> DataFrame:
     """Average precision of binary labels: the gain in recall at each distinct score times the precision there."""
     by = list(by)
     steps = df.groupBy(*by, prediction).agg(F.sum(label).alias("_true"), F.count("*").alias("_rows"))
     steps = running_totals(
-        steps, by, [F.desc(prediction)], {"_true_upto": F.col("_true"), "_upto": F.col("_rows")}, hot_rows
+        steps, by, [f"-{prediction}"], {"_true_upto": F.col("_true"), "_upto": F.col("_rows")}, piece_rows
     )
     area = F.sum(F.col("_true") * F.col("_true_upto") / F.col("_upto"))
     return steps.groupBy(*by).agg(_ratio(area, F.sum("_true")).alias("value"))

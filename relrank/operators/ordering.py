@@ -1,99 +1,106 @@
-"""Orders used by the operators, and running totals that survive one huge group."""
+"""Orders used by the operators, and running totals that survive one huge group.
+
+An order is a list of column names, those with a minus in front descending. Nulls come first going up, last going down.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relrank.session import checkpoint
-
-HOT_ROWS = 2_000_000
+PIECE_ROWS = 1 << 20  # mean rows of a piece that one task sums up
 GROUP_LIMIT = 1000  # up to here Spark drops rows past k in the map tasks
-BROADCAST_ROWS = 100_000
 
 
 # Tie rules differ by place; each has a name.
-def run_order() -> list[Column]:
-    return [F.col("rank"), F.col("docid")]
+def run_order() -> list[str]:
+    return ["rank", "docid"]
+
+
+def rerank_order() -> list[str]:
+    return ["-score", "docid"]
+
+
+def evaluation_order() -> list[str]:
+    return ["-score", "-docid"]
 
 
-def rerank_order() -> list[Column]:
-    return [F.desc_nulls_last("score"), F.col("docid")]
+def _columns(order: Sequence[str]) -> list[Column]:
+    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order]
 
 
-def evaluation_order() -> list[Column]:
-    return [F.desc_nulls_last("score"), F.desc("docid")]
+def _names(order: Sequence[str]) -> list[str]:
+    return [name.removeprefix("-") for name in order]
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _not_after(one: Column, order: Sequence[str]) -> Column:
+    """Does the struct ``one`` stand before the row, or at its place?"""
+    found = F.lit(True)
+    for name in reversed(order):
+        a, b = one[name.removeprefix("-")], F.col(name.removeprefix("-"))
+        if name.startswith("-"):
+            before = (a.isNotNull() & b.isNull()) | F.coalesce(a > b, F.lit(False))
+        else:
+            before = (a.isNull() & b.isNotNull()) | F.coalesce(a < b, F.lit(False))
+        found = before | (a.eqNullSafe(b) & found)
+    return found
 
 
-def _cumulate(df: DataFrame, by: Sequence[str], order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _cumulate(df: DataFrame, by: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    upto = Window.partitionBy(*by).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(value).over(upto).alias(name) for name, value in totals.items()])
 
 
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     totals: Mapping[str, Column],
-    hot_rows: int | None = HOT_ROWS,
+    piece_rows: int | None = PIECE_ROWS,
 ) -> DataFrame:
     """Add the running sum of each column of ``totals`` inside every ``by`` group, in ``order``.
 
-    ``F.lit(1)`` as a total gives the row number; ``order`` should end in a unique column. Groups above
-    ``hot_rows`` are range-partitioned over many tasks by (group, order), summed piece by piece and shifted
-    by the sums of the earlier pieces; the rest go through one plain window. Finding those groups counts
-    ``df`` once up front; pass ``hot_rows=None`` where a cap already bounds every group.
+    ``F.lit(1)`` as a total gives the row number; ``order`` should end in a unique column. Rows whose hash falls into one
+    part in ``piece_rows`` cut their group into pieces, so a small group is one piece, and a huge one has pieces in
+    proportion; pieces are summed over many tasks and shifted by the sums of the earlier ones. The cuts are a matter of
+    the rows alone, so nothing is counted up front or stored. ``piece_rows=None`` leaves groups whole, where a cap
+    already bounds them. Rows with a null in ``by`` are one piece.
     """
     by = list(by)
-    if hot_rows is None:
+    if piece_rows is None:
         return _cumulate(df, by, order, totals)
 
     group = by or ["_all"]
     whole = df if by else df.withColumn("_all", F.lit(0))
-    hot = whole.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
-    groups, rows = hot.agg(F.count("*"), F.sum("_size")).first()
-    if groups == 0:
-        return _cumulate(whole, group, order, totals).select(*df.columns, *totals)
-
-    keys = _small(checkpoint(hot.select(*group)), groups)
-    pieces = groups + math.ceil(4 * rows / hot_rows)
-    placed = checkpoint(
-        whole.join(keys, group, "left_semi")
-        .repartitionByRange(pieces, *[F.col(c) for c in group], *order)
-        .withColumn("_piece", F.spark_partition_id())
-    )
-    sums = placed.groupBy(*group, "_piece").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    names = _names(order)
+    place = F.struct(*names)
+    keys = whole.select(*group, place.alias("_at")).where(F.pmod(F.xxhash64(*group, *names), F.lit(piece_rows)) == 0)
+    cuts = keys.distinct().groupBy(*group).agg(F.collect_list("_at").alias("_cuts"))
+    piece = F.size(F.filter("_cuts", lambda cut: _not_after(cut, order)))
+    # Only groups with cuts have anything to shift; mostly there are none.
+    cut = whole.join(cuts, group).select(*group, piece.alias("_piece"), *[v.alias(f"_sum_{n}") for n, v in totals.items()])
+    sums = cut.groupBy(*group, "_piece").agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in totals])
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select(
-        *group, "_piece", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_shift_{n}") for n in totals]
-    )
-    spread = _cumulate(placed, [*group, "_piece"], order, totals).join(
-        _small(shifts, pieces + groups), [*group, "_piece"]
-    )
-    spread = spread.select(*df.columns, *[(F.col(n) + F.col(f"_shift_{n}")).alias(n) for n in totals])
-    calm = whole.join(keys, group, "left_anti")
-    return _cumulate(calm, group, order, totals).select(*df.columns, *totals).unionByName(spread)
+    shifts = sums.select(*group, "_piece", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_shift_{n}") for n in totals])
+    placed = whole.join(cuts, group, "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece)).drop("_cuts")
+    summed = _cumulate(placed, [*group, "_piece"], order, totals).join(shifts, [*group, "_piece"], "left")
+    return summed.select(*df.columns, *[(F.col(n) + F.coalesce(f"_shift_{n}", F.lit(0))).alias(n) for n in totals])
 
 
 def head_of_group(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     k: int,
     name: str = "_at",
-    hot_rows: int | None = HOT_ROWS,
+    piece_rows: int | None = PIECE_ROWS,
 ) -> DataFrame:
     """The first k rows of each group. Map tasks drop the others before the shuffle; where k is too large for
-    that, huge groups are ranked in pieces."""
+    that, groups are ranked in pieces."""
     if k > GROUP_LIMIT:
-        ranked = running_totals(df, by, order, {name: F.lit(1)}, hot_rows).where(F.col(name) <= k)
+        ranked = running_totals(df, by, order, {name: F.lit(1)}, piece_rows).where(F.col(name) <= k)
         return ranked.withColumn(name, F.col(name).cast("int"))
-    at = Window.partitionBy(*by).orderBy(*order)
+    at = Window.partitionBy(*by).orderBy(*_columns(order))
     return df.withColumn(name, F.row_number().over(at)).where(F.col(name) <= k)

@@ -1,7 +1,7 @@
 """Ranking by comparing documents of a query two at a time.
 
-The first k candidates of a query are compared (10 by default), so a query costs k(k-1)/2 comparisons
-however many candidates it has.
+All candidates of a query that are given are compared, n(n-1)/2 comparisons for n of them. Cap the run before it is
+mapped to text (``head_per_query``, ``map_top_k``), or give a k.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from relrank.operators.candidates import pair_candidates, positions
 from relrank.operators.scoring import LexicalScorer, Scorer
 
 
-def score_doc_pairs(mapped: DataFrame, scorer: Scorer | None = None, k: int = 10) -> DataFrame:
-    """Logits of every pair among the first k documents. ``mapped`` has qid, docid, query, doc, rank.
+def score_doc_pairs(mapped: DataFrame, scorer: Scorer | None = None, k: int | None = None) -> DataFrame:
+    """Logits of every pair among the documents of a query, or among its first k. ``mapped`` has qid, docid, query, doc, rank.
 
     Texts are cut to their first chunk and prepared before they are paired. Cap the run before mapping it
     to text where it is longer than k.
@@ -36,11 +36,11 @@ def _per_document(pairs: DataFrame, value_a: Column, value_b: Column) -> DataFra
     return pairs.select("qid", F.inline(sides)).groupBy("qid", "docid").agg(F.sum("value").alias("value"))
 
 
-def rank_by_wins(run: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+def rank_by_wins(run: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
     """Documents by comparisons won, equal ones in their old order."""
     won = predict("logits")
     wins = _per_document(pairs, won, 1 - won)
-    order = Window.partitionBy("qid").orderBy(F.desc("wins"), "pos")  # at most k rows
+    order = Window.partitionBy("qid").orderBy(F.desc("wins"), "pos")  # as many rows as were compared
     return (
         positions(run, k)
         .select("qid", "docid", "pos")
@@ -59,11 +59,11 @@ def win_probability(wins: DataFrame) -> DataFrame:
     )
 
 
-def rank_by_mean_logit(run: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+def rank_by_mean_logit(run: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
     """Documents by their mean logit over all comparisons. A single document has none: its score is null."""
     sums = _per_document(pairs, logit("logits", 1), logit("logits", 0))
     query = Window.partitionBy("qid")
-    order = query.orderBy(F.desc_nulls_last("score"), "pos")  # at most k rows
+    order = query.orderBy(F.desc_nulls_last("score"), "pos")  # as many rows as were compared
     return (
         positions(run, k)
         .select("qid", "docid", "pos")

@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relrank.functions.hashing import first_by_hash, hash_cutoff, hash_key, hash_number, hash_position
+from relrank.functions.hashing import first_by_hash, hash_key, hash_number, hash_position, mark_first
 from relrank.functions.text import clean, first_chunk, pair_prompt, point_prompt
 from relrank.operators.candidates import doc_contents, head_per_query, minus, positives, union_aligned
 from relrank.schemas import require_columns
+from relrank.session import checkpoint
 
 
 def _draw_doc(pairs: DataFrame, seed: int) -> DataFrame:
@@ -27,11 +28,11 @@ def _drawn_positives(run: DataFrame, queries: DataFrame, qrels: DataFrame, seed:
     return _draw_doc(judged, seed)
 
 
-def _with_text(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def with_text(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     return (
         pairs.join(queries.select("qid", clean("query").alias("query")), "qid")
         .join(doc_contents(docs), "docid")
-        .select("qid", "docid", "query", "doc")
+        .select(*pairs.columns, "query", "doc")
     )
 
 
@@ -55,7 +56,7 @@ def negative_ids(
 
 
 def sample_positive(run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, seed: int = 0) -> DataFrame:
-    return _with_text(positive_ids(run, queries, qrels, docs, seed), queries, docs)
+    return with_text(positive_ids(run, queries, qrels, docs, seed), queries, docs)
 
 
 def sample_negative(
@@ -67,7 +68,7 @@ def sample_negative(
         raise ValueError(f"exclude must be 'chosen' or 'judged', not {exclude!r}")
     chosen = positive_ids(run, queries, qrels, docs, seed)
     others = positives(qrels) if exclude == "judged" else None
-    return _with_text(negative_ids(run, chosen, docs, k, seed, others), queries, docs)
+    return with_text(negative_ids(run, chosen, docs, k, seed, others), queries, docs)
 
 
 def pair_stats(
@@ -87,8 +88,8 @@ def pair_stats(
     )
 
 
-def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly n rows; fails when there are fewer. ``keys`` identify a row."""
+def sample_n(df: DataFrame, n: int | Column, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """Exactly n rows, also where ``keys`` repeat; fails when there are fewer."""
     return first_by_hash(df, n, keys, seed, strict=True)
 
 
@@ -100,33 +101,48 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("rows"))
 
 
+def balanced_ids(
+    relevant: DataFrame, non_relevant: DataFrame, n: int | None = None, seed: int = 0, keys: Sequence[str] = ("qid", "docid")
+) -> DataFrame:
+    """The ``keys`` and the label of n rows of each class, by default of as many as the scarcer class has."""
+    wanted = n if n is not None else F.least(*[df.agg(F.count("*")).scalar() for df in (relevant, non_relevant)])
+    parts = [
+        sample_n(df.select(*keys), wanted, keys, seed).withColumn("label", F.lit(label))
+        for df, label in ((relevant, 1), (non_relevant, 0))
+    ]
+    return union_aligned(*parts)
+
+
 def balanced_prompts(
-    relevant: DataFrame, non_relevant: DataFrame, n: int = 100_000, seed: int = 0,
+    relevant: DataFrame, non_relevant: DataFrame, n: int | None = None, seed: int = 0,
     keys: Sequence[str] = ("qid", "docid"),
 ) -> DataFrame:
-    """n prompts of each class, relevant ones labelled 1, in shuffled order."""
+    """n prompts of each class, by default as many as the scarcer class has: ``keys``, text and label, relevant ones
+    labelled 1, in shuffled order."""
+    wanted = n if n is not None else F.least(*[df.agg(F.count("*")).scalar() for df in (relevant, non_relevant)])
     parts = [
-        sample_n(require_columns(df, "query", "doc"), n, keys, seed).select(
+        sample_n(require_columns(df, "query", "doc"), wanted, keys, seed).select(
             *keys, point_prompt("query", "doc").alias("text"), F.lit(label).alias("label")
         )
         for df, label in ((relevant, 1), (non_relevant, 0))
     ]
-    return shuffle(union_aligned(*parts), [*keys, "label"], seed).select("text", "label")
+    return shuffle(union_aligned(*parts), [*keys, "label"], seed)
 
 
 def split_train_test(
     df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 0, exact: bool = True
 ) -> DataFrame:
-    """Mark each row 'test' or 'train'. The test part is the ceil(test_size * rows) smallest hashes.
+    """Mark each row 'test' or 'train'. The test part is the ceil(test_size * rows) smallest hashes, exactly; rows of
+    one key can fall into both parts only at the cut.
 
-    ``exact=False`` needs no count: each row goes by its own hash, so the sizes are only about right.
+    ``exact=False`` needs no count: each row goes by its own hash, so the sizes are only about right and rows of one
+    key stay together.
     """
     if exact:
-        cutoff = hash_cutoff(df, lambda total: F.ceil(F.lit(float(test_size)) * total), keys, seed).scalar()
-        test = hash_key(seed, *keys) <= cutoff
+        marked = mark_first(df, lambda total: F.ceil(F.lit(float(test_size)) * total), keys, seed, "_test")
     else:
-        test = hash_number(seed, *keys) < int(test_size * 2**32)
-    return df.withColumn("part", F.when(test, "test").otherwise("train"))
+        marked = df.withColumn("_test", hash_number(seed, *keys) < int(test_size * 2**32))
+    return marked.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def _wanted_rank(seed: int, ranks: int) -> Column:
@@ -154,14 +170,16 @@ def _triple_rows(
 
 def make_triples(
     run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame,
-    n: int = 10_000, seed: int = 0, ranks: int = 100,
+    n: int | None = None, seed: int = 0, ranks: int = 100,
 ) -> DataFrame:
-    """(query, positive, negative) for the first n queries that give one.
+    """(query, positive, negative) for all queries that give one, or for n of them taken in hash order.
 
     The negative is the candidate at a random rank, the positive a random judged document.
     """
     kept = _triple_rows(run, queries, qrels, docs, seed, ranks).where(F.col("status") == "kept")
-    kept = kept.orderBy("qid").limit(n).select("qid", "p_docid", "n_docid")
+    kept = kept.select("qid", "p_docid", "n_docid")
+    if n is not None:
+        kept = first_by_hash(kept, n, ["qid"], seed)
 
     def side(prefix: str, name: str) -> DataFrame:
         return docs.select(F.col("docid").alias(f"{prefix}_docid"), F.struct("docid", "url", "title", "body").alias(name))
@@ -208,7 +226,8 @@ def pair_prompts(triples: DataFrame) -> DataFrame:
 def _selected_queries(qrels: DataFrame, top_k: int, max_pos: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Queries that give positives, and the rest."""
     judged = positives(qrels).select("qid").distinct()
-    selected = first_by_hash(judged, min(max_pos, top_k), ["qid"], seed, strict=True)
+    # Stored, as every later step reads it; fails on an empty table too.
+    selected = checkpoint(first_by_hash(judged, min(max_pos, top_k), ["qid"], seed, strict=True))
     return selected, minus(judged, selected, ["qid"])
 
 
@@ -224,11 +243,7 @@ def qrels_positives(
     selected, _ = _selected_queries(qrels, top_k, max_pos, seed)
     pairs = positives(qrels).select("qid", "docid").distinct().join(selected, "qid", "left_semi")
     filled = docs.select("docid", clean("body").alias("doc")).where(F.col("doc") != "")
-    kept = (
-        pairs.join(filled.select("docid"), "docid", "left_semi")
-        .orderBy(hash_key(seed, "qid"), hash_key(seed, "qid", "docid"))
-        .limit(max_pos)
-    )
+    kept = first_by_hash(pairs.join(filled.select("docid"), "docid", "left_semi"), max_pos, ["qid", "docid"], seed)
     return _query_or_note(kept, queries).join(filled, "docid").select(
         "qid", "docid", "query", "doc", F.lit(1).alias("relevance")
     )
@@ -244,7 +259,7 @@ def qrels_negative_ids(
     step of a relevant one, which is 0 or one more than such a step: an anti-join finds it.
     """
     _, others = _selected_queries(qrels, top_k, max_pos, seed)
-    asking = first_by_hash(others, top_k, ["qid"], seed)
+    asking = checkpoint(first_by_hash(others, top_k, ["qid"], seed))
     ring = hash_position(docs.select("docid"), ["docid"], seed)
     starts = asking.withColumn("ring_size", docs.agg(F.count("*")).scalar()).withColumn(
         "start", hash_number(seed, "qid") % F.col("ring_size")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from relrank.functions.logits import predict, relevance_score
 from relrank.functions.text import WORD, pair_prompt, point_prompt, words
 from relrank.operators.candidates import map_run
-from relrank.operators.ordering import HOT_ROWS, rerank_order, running_totals
+from relrank.operators.ordering import PIECE_ROWS, rerank_order, running_totals
 from relrank.schemas import require_columns
 
 
@@ -164,10 +164,10 @@ def classify(scored: DataFrame, kind: int = 1) -> DataFrame:
     )
 
 
-def rerank(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def rerank(df: DataFrame, piece_rows: int | None = PIECE_ROWS) -> DataFrame:
     """Rank 1 … n inside each query by score, highest first; NaN counts as missing and comes last."""
     require_columns(df, "qid", "docid", "score")
     scored = df.drop("rank").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
-    ranked = running_totals(scored, ["qid"], rerank_order(), {"rank": F.lit(1)}, hot_rows)
+    ranked = running_totals(scored, ["qid"], rerank_order(), {"rank": F.lit(1)}, piece_rows)
     return ranked.withColumn("rank", F.col("rank").cast("int"))
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relrank.functions.logits import predict
+from relrank.functions.text import point_prompt
 from relrank.operators.candidates import head_per_query, project_run
 from relrank.operators.classification import class_metrics, cross_entropy
 from relrank.operators.fairness import fairness_by_query, fairness_report
 from relrank.operators.metrics import evaluate, evaluate_by_query
 from relrank.operators.pairwise import rank_by_mean_logit, rank_by_wins, score_doc_pairs, win_probability
-from relrank.operators.sampling import balanced_prompts, sample_negative, sample_positive, split_train_test
+from relrank.operators.sampling import (
+    balanced_ids, negative_ids, positive_ids, sample_negative, sample_positive, shuffle, split_train_test, with_text,
+)
 from relrank.operators.scoring import Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs, score_run
 from relrank.schemas import require_columns
 from relrank.session import checkpoint
@@ -30,11 +34,17 @@ def training_pairs(
 
 
 def training_prompts(
-    run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int, k: int = 5, seed: int = 0
+    run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int | None = None, k: int = 5, seed: int = 0
 ) -> DataFrame:
-    """n prompts of each class. The pairs are stored first, as sampling reads them three times."""
-    relevant, non_relevant = training_pairs(run, queries, qrels, docs, k, seed)
-    return balanced_prompts(checkpoint(relevant), checkpoint(non_relevant), n, seed)
+    """n prompts of each class, by default as many as the scarcer class has.
+
+    Ids are drawn once and stored; text joins only those that are sampled.
+    """
+    relevant = checkpoint(positive_ids(run, queries, qrels, docs, seed))
+    non_relevant = checkpoint(negative_ids(run, relevant, docs, k, seed))
+    drawn = balanced_ids(relevant, non_relevant, n, seed)
+    prompts = with_text(drawn, queries, docs).select("qid", "docid", point_prompt("query", "doc").alias("text"), "label")
+    return shuffle(prompts, ["qid", "docid", "label"], seed)
 
 
 @dataclass
@@ -44,9 +54,16 @@ class Trained:
     metrics: DataFrame
 
 
-def train(prompts: DataFrame, test_size: float = 0.2, seed: int = 0, iterations: int = 20) -> Trained:
-    """Fit on the training part of the prompts and judge on the rest; both are stored. Equal prompts stay in one part."""
-    parts = checkpoint(split_train_test(require_columns(prompts, "text", "label"), ["text", "label"], test_size, seed))
+def train(
+    prompts: DataFrame, test_size: float = 0.2, seed: int = 0, iterations: int = 20, keys: Sequence[str] | None = None
+) -> Trained:
+    """Fit on the training part of the prompts and judge on the rest; both are stored.
+
+    Rows are split by ``keys``: qid, docid and label if they are there, else the prompt itself.
+    """
+    ids = [c for c in ("qid", "docid", "label") if c in prompts.columns]
+    keys = keys or (ids if len(ids) == 3 else ["text", "label"])
+    parts = checkpoint(split_train_test(require_columns(prompts, "text", "label"), keys, test_size, seed))
     scorer = fit_pair_scorer(parts.where(F.col("part") == "train"), iterations=iterations)
     test = parts.where(F.col("part") == "test")
     scored = checkpoint(scorer.texts(test).withColumn("prediction", predict("logits")))
@@ -88,8 +105,8 @@ def judge(
     return report
 
 
-def rank_pairwise(mapped: DataFrame, scorer: Scorer | None = None, k: int = 10, method: str = "wins") -> DataFrame:
-    """Rank the first k documents of each query by comparing them, by 'wins' or by 'mean_logit'.
+def rank_pairwise(mapped: DataFrame, scorer: Scorer | None = None, k: int | None = None, method: str = "wins") -> DataFrame:
+    """Rank the documents of each query, or its first k, by comparing them, by 'wins' or by 'mean_logit'.
 
     ``mapped`` is read twice; store it first when it is costly.
     """

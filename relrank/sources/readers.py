@@ -1,11 +1,13 @@
 """Readers of the collection files. Ids stay strings; plain and .gz files are both read.
 
-A .gz file, and a file whose quoted fields may span lines, is one task in Spark: convert large ones to
-parquet once (``to_parquet``) and work from that.
+A .gz file is one task in Spark, and so is a file read with ``multi_line``, which quoted fields with line breaks need:
+convert large ones to parquet once (``to_parquet``) and work from that.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,15 +23,10 @@ def _place() -> Column:
     return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
 
 
-def _spread(df: DataFrame, path: str) -> DataFrame:
-    """Spread what one task had to read."""
-    return df.hint("rebalance") if path.endswith(".gz") else df
-
-
-def read_queries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_queries(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """qid and query. Fields may be quoted; of a repeated qid the last line counts; short lines are skipped.
 
-    ``multi_line=False`` lets Spark split a plain file, for files without line breaks inside quotes.
+    ``multi_line=True`` allows line breaks inside quotes and reads each file in one task.
     """
     schema = T.StructType([*QUERIES.fields, T.StructField("_bad", STR)])
     lines = (
@@ -73,35 +70,54 @@ def read_run(spark: SparkSession, path: str, with_line: bool = False) -> DataFra
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """docid, url, title, body. Quotes have no meaning here; title and body are the last two fields."""
+    """docid, url, title, body. Quotes have no meaning here; title and body are the last two fields. Of a repeated docid
+    the last line counts."""
     parts = F.split("value", "\t")
-    lines = spark.read.text(path).select(parts.alias("f")).where(F.size("f") >= 2)
-    docs = lines.select(
-        F.col("f")[0].alias("docid"),
+    lines = spark.read.text(path).select(parts.alias("f"), _place().alias("_place")).where(F.size("f") >= 2)
+    fields = F.struct(
         F.when(F.size("f") > 3, F.get("f", F.lit(1))).alias("url"),
         F.element_at("f", -2).alias("title"),
         F.element_at("f", -1).alias("body"),
     )
-    return _spread(docs, path)
+    last = lines.groupBy(F.col("f")[0].alias("docid")).agg(F.max_by(fields, "_place").alias("_doc"))
+    return last.select("docid", "_doc.*")
+
+
+def _whole(column: Column, kind: T.DataType) -> Column:
+    """A whole number, also where a column with gaps was written as 1.0; a fraction is an error."""
+    number = column.try_cast("double")
+    wrong = F.raise_error(F.concat(F.lit("no whole number: "), column)).cast(kind)
+    return (
+        F.when(column.try_cast(kind).isNotNull(), column.try_cast(kind))
+        .when(number == F.floor(number), number.try_cast(kind))
+        .when(column.isNotNull(), wrong)
+    )
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def read_tsv(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = False
+) -> DataFrame:
     """A quoted TSV. With a header its columns are found by name and index columns ignored; without one the
-    schema gives the names."""
-    reader = spark.read.options(**QUOTING, multiLine=True)
+    schema gives the names.
+
+    ``multi_line=True`` allows line breaks inside quotes and reads each file in one task.
+    """
+    reader = spark.read.options(**QUOTING, multiLine=multi_line)
     if not header:
         return reader.schema(schema).csv(path)
     found = reader.csv(path, header=True)
-    found = found.select(*[F.col(f"`{c}`") for c in found.columns if not c.startswith(("Unnamed", "_c"))])
+    found = found.select(*[F.col(f"`{c}`") for c in found.columns if not re.match(r"Unnamed|_c\d+$", c)])
     require_columns(found, *schema.names)
-    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    whole = (T.IntegerType, T.LongType)
+    cast = lambda c, kind: _whole(c, kind) if isinstance(kind, whole) else c.cast(kind)
+    return found.select(*[cast(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema])
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """A prompt file for training; only .tsv is accepted."""
+def read_prompts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A prompt file for training; only .tsv is accepted. A prompt has line breaks, so each file is one task."""
     if not path.endswith(".tsv"):
         raise ValueError(f"only .tsv files are supported, not {path!r}")
-    return read_tsv(spark, path, PROMPTS)
+    return read_tsv(spark, path, PROMPTS, multi_line=multi_line)
 
 
 def to_parquet(df: DataFrame, path: str) -> DataFrame:
@@ -121,19 +137,26 @@ def _stem() -> Column:
 
 
 def read_fair_docs(spark: SparkSession, root: str) -> DataFrame:
-    """stem, query, docid, title, body from root/*/*/name.json, each {query: [{docid, title, body}, …]}."""
+    """stem, query, docid, title, body from root/*/*/name.json, each {query: [{docid, title, body}, …]}.
+
+    Of files with one stem the last path counts.
+    """
     parsed = F.from_json("value", FAIR_JSON, {"mode": "FAILFAST"})
-    files = spark.read.text(f"{root}/*/*/*.json", wholetext=True).select(_stem().alias("stem"), parsed.alias("j"))
+    files = spark.read.text(f"{root}/*/*/*.json", wholetext=True).select(_stem().alias("stem"), "value", "_metadata.file_path")
+    files = files.groupBy("stem").agg(F.max_by("value", "file_path").alias("value")).select("stem", parsed.alias("j"))
     first = files.select("stem", F.get(F.map_keys("j"), F.lit(0)).alias("query"), F.get(F.map_values("j"), F.lit(0)).alias("d"))
     return first.select("stem", "query", F.inline("d"))
 
 
 def read_fair_annotations(spark: SparkSession, root: str) -> DataFrame:
-    """stem, docid, mapped_annotation and pos, the place in the file, from root/*/*/name.csv."""
+    """stem, docid, mapped_annotation and pos, the place in the file, from root/*/*/name.csv. Of files with one stem the
+    last path counts."""
     reader = spark.read.options(quote='"', escape='"', multiLine=True, enforceSchema=False)
     rows = reader.csv(f"{root}/*/*/*.csv", header=True)
     require_columns(rows, "docid", "mapped_annotation")
-    return rows.select(_stem().alias("stem"), "docid", "mapped_annotation", _place().alias("pos"))
+    rows = rows.select(_stem().alias("stem"), "docid", "mapped_annotation", _place().alias("pos"))
+    last = rows.groupBy("stem").agg(F.max("pos.file_path").alias("_last"))
+    return rows.join(last, "stem").where(F.col("pos.file_path") == F.col("_last")).drop("_last")
 
 
 def read_fair_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -33,7 +33,7 @@ def test_cap_prunes_before_the_shuffle(frame):
 def test_deep_cap(spark):
     df = spark.range(4000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 5 as string)) qid", "id")
     for k in (3, 1200):
-        top = head_of_group(df, ["qid"], [F.col("id")], k, hot_rows=500)
+        top = head_of_group(df, ["qid"], ["id"], k, piece_rows=500)
         counts = table(top.groupBy("qid").count(), "qid")
         sizes = table(df.groupBy("qid").count(), "qid")
         assert counts == {q: min(k, n) for q, n in sizes.items()}
@@ -56,25 +56,59 @@ def test_bucketed_docs_are_not_shuffled(spark, collection):
         spark.sql("drop table docs_by_id")
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10_000, 50, 7, 1])
-def test_running_totals_with_a_hot_group(frame, hot_rows):
+@pytest.mark.parametrize("piece_rows", [None, 10_000, 50, 7, 1])
+def test_running_totals_with_a_hot_group(frame, piece_rows):
     rng = random.Random(1)
     rows = [("hot" if i % 3 == 0 else f"q{i % 17}", f"d{i:04}", rng.choice([1.0, 2.0, rng.random()])) for i in range(900)]
     df = frame(rows, "qid string, docid string, score double")
-    order = [F.desc("score"), F.col("docid")]
-    got = running_totals(df, ["qid"], order, {"n": F.lit(1), "sum": F.length("docid")}, hot_rows)
-    w = Window.partitionBy("qid").orderBy(*order)
+    order = ["-score", "docid"]
+    got = running_totals(df, ["qid"], order, {"n": F.lit(1), "sum": F.length("docid")}, piece_rows)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
     want = df.withColumn("n", F.row_number().over(w)).withColumn("sum", F.lit(5) * F.row_number().over(w))
     assert got.columns == ["qid", "docid", "score", "n", "sum"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10])
-def test_running_totals_over_everything(spark, hot_rows):
-    got = running_totals(spark.range(100), [], [F.desc("id")], {"n": F.lit(1)}, hot_rows)
+@pytest.mark.parametrize("piece_rows", [None, 10])
+def test_running_totals_over_everything(spark, piece_rows):
+    got = running_totals(spark.range(100), [], ["-id"], {"n": F.lit(1)}, piece_rows)
     assert {r["id"]: r["n"] for r in got.collect()} == {i: 100 - i for i in range(100)}
 
 
+def test_running_totals_with_nulls_and_nan(frame):
+    rows = [(q, v, i) for i, (q, v) in enumerate((q, v) for q in ("a", None) for v in (None, float("nan"), 1.0, -2.0, None, 1.0))]
+    df = frame(rows, "qid string, v double, id int")
+    for order, columns in ((["-v", "id"], [F.desc("v"), F.col("id")]), (["v", "-id"], [F.asc("v"), F.desc("id")])):
+        got = running_totals(df, ["qid"], order, {"n": F.lit(1)}, 1)
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*columns)))
+        assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in want.collect())
+
+
+def test_building_a_plan_starts_no_job(spark, frame):
+    from relrank.operators import metrics as m
+    from relrank.operators.scoring import rerank
+
+    run = frame([(f"q{i % 3}", f"d{i}", i, float(i % 7)) for i in range(20)], "qid string, docid string, rank int, score double")
+    qrels = frame([("q1", "d1", 1), ("q1", "d1", 2)], "qid string, docid string, label int")
+    spark.sparkContext.setJobGroup("building", "")
+    rerank(run), m.evaluate(run, qrels), m.average_precision(run, qrels), m.evaluate_by_query(run, qrels)
+    c.skip_queries(run, 1), c.assign_qids(run, "docid"), c.head_per_query(run, 2000)
+    c.head_per_query(run.withColumn("line", F.col("rank")), 2, mode="runs")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_repeated_judgments_count_once(frame):
+    from relrank.operators import metrics as m
+
+    run = frame([("q", "d1", 1.0), ("q", "d2", 0.5)], "qid string, docid string, score double")
+    qrels = frame([("q", "d1", 1), ("q", "d1", 2), ("q", "d1", 2)], "qid string, docid string, label int")
+    assert m.precision_at(run, qrels).first().value == 0.1
+    assert c.join_qrels(run, qrels).count() == 2
+    values = m.evaluate_by_query(run, qrels).first()
+    assert (values["precision@10"], values["map"], values["nDCG@10"]) == (0.1, 1.0, 1.0)
+
+
 @pytest.fixture(scope="module")
 def collection(frame):
     run = frame(

@@ -25,7 +25,7 @@ def put(path, text):
 @pytest.mark.parametrize("name", ["q.tsv", "q.tsv.gz"])
 def test_queries(spark, tmp_path, name):
     path = put(tmp_path / name, '1\t"a ""b"" c"\n2\tx "y" z\n3\t"p\nq"\n2\tlast wins\nshort\n4\t\n')
-    assert table(readers.read_queries(spark, path), "qid") == {"1": 'a "b" c', "2": "last wins", "3": "p\nq", "4": ""}
+    assert table(readers.read_queries(spark, path, multi_line=True), "qid") == {"1": 'a "b" c', "2": "last wins", "3": "p\nq", "4": ""}
 
 
 def test_qrels_and_run(spark, tmp_path):
@@ -54,10 +54,34 @@ def test_tsv_round_trip(spark, frame, tmp_path):
     for header in (True, False):
         path = str(tmp_path / f"h{header}.tsv")
         writers.write_tsv(df, path, header=header)
-        got = table(readers.read_tsv(spark, path, schemas.QUERIES, header=header), "qid")
+        got = table(readers.read_tsv(spark, path, schemas.QUERIES, header=header, multi_line=True), "qid")
         assert got == {**dict(rows), "3": None}  # an empty field is a missing one
 
 
+def test_whole_numbers_written_as_floats(spark, tmp_path):
+    path = put(tmp_path / "n.tsv", "_c0\t_class\tlabel\n0\tx\t1.0\n1\ty\t\n2\tz\t3\n")
+    schema = schemas.struct(_class=schemas.STR, label=schemas.INT)
+    assert [tuple(r) for r in readers.read_tsv(spark, path, schema).collect()] == [("x", 1), ("y", None), ("z", 3)]
+    path = put(tmp_path / "f.tsv", "label\n1.5\n")
+    with pytest.raises(Exception, match="no whole number"):
+        readers.read_tsv(spark, path, schemas.struct(label=schemas.INT)).collect()
+
+
+def test_the_last_line_of_a_docid_counts(spark, tmp_path):
+    path = put(tmp_path / "d.tsv", "a\tu\told\told\nb\tu\tt\tb\na\tv\tnew\tnew\n")
+    assert {tuple(r) for r in readers.read_docs(spark, path).collect()} == {("a", "v", "new", "new"), ("b", "u", "t", "b")}
+
+
+def test_of_equal_stems_the_last_path_counts(spark, tmp_path):
+    for folder, text in (("a/x", "first"), ("b/y", "last")):
+        (tmp_path / folder).mkdir(parents=True)
+        put(tmp_path / folder / "same.json", '{"%s": [{"docid": "d", "title": "t", "body": "b"}]}' % text)
+        put(tmp_path / folder / "same.csv", 'docid,mapped_annotation\nd,"%d,0"\n' % (text == "last"))
+    docs, annotations = readers.read_fair_tree(spark, str(tmp_path))
+    assert [r["query"] for r in docs.collect()] == ["last"]
+    assert [r["mapped_annotation"] for r in annotations.collect()] == ["1,0"]
+
+
 def test_index_columns_are_dropped(spark, tmp_path):
     path = put(tmp_path / "x.tsv", "\tUnnamed: 0.1\tlabel\textra\ttext\n0\t7\t1\te\thello\n")
     got = readers.read_tsv(spark, path, schemas.PROMPTS)
@@ -96,7 +120,7 @@ def test_triples(spark, frame, tmp_path):
     df = frame([("q", "ask", ("p", "u", "t", "b\nb"), ("n", None, 't "x"', "c"))], f"qid string, query string, pos {side}, neg {side}")
     path = str(tmp_path / "triples.tsv")
     writers.write_triples(df, path)
-    got = readers.read_tsv(spark, path, schemas.TRIPLES, header=False).first()
+    got = readers.read_tsv(spark, path, schemas.TRIPLES, header=False, multi_line=True).first()
     assert tuple(got) == ("q", "ask", "p", "u", "t", "b\nb", "n", None, 't "x"', "c")
 
 

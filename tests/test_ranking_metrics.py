@@ -59,15 +59,15 @@ def brute(run, qrels, k):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000, 5])
-def test_against_brute_force(frame, hot_rows):
+@pytest.mark.parametrize("piece_rows", [None, 1000, 5])
+def test_against_brute_force(frame, piece_rows):
     rng = random.Random(3)
     runs = {f"q{i}": {f"d{j}": rng.choice([1.0, 2.0, 3.5, rng.random()]) for j in range(size)}
             for i, size in enumerate((1, 4, 9, 40, 120))}
     judged = {q: {f"d{j}": rng.choice([-1, 0, 1, 2]) for j in rng.sample(range(130), 20)} for q in runs}
     run = frame([(q, d, s) for q, r in runs.items() for d, s in r.items()], RUN)
     qrels = frame([(q, d, v) for q, r in judged.items() for d, v in r.items()], QRELS)
-    got = table(m.evaluate_by_query(run, qrels, hot_rows=hot_rows), "qid")
+    got = table(m.evaluate_by_query(run, qrels, piece_rows=piece_rows), "qid")
     assert set(got) == set(runs)
     for q in runs:
         p10, ap, ndcg10 = brute(runs[q], judged[q], 10)
@@ -138,10 +138,10 @@ def test_tied_ndcg_when_a_tie_crosses_the_cutoff(frame):
     assert value(m.ndcg_tied(df, "gain", "p", 2)) == pytest.approx(1.5 * discounts / (3 + 2 / math.log2(3)))
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_average_precision_from_scores(frame, hot_rows):
+@pytest.mark.parametrize("piece_rows", [None, 3])
+def test_average_precision_from_scores(frame, piece_rows):
     rows = [("q", 1, 0.9), ("q", 0, 0.8), ("q", 1, 0.8), ("q", 0, 0.3), ("q", 1, 0.1), ("p", 0, 0.5)]
     df = frame(rows, "qid string, label int, score double")
-    got = table(m.ap_from_scores(df, "label", "score", hot_rows=hot_rows), "qid")
+    got = table(m.ap_from_scores(df, "label", "score", piece_rows=piece_rows), "qid")
     assert got["q"] == pytest.approx(1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5)
     assert got["p"] == 0

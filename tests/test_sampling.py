@@ -72,6 +72,27 @@ def test_strict_sample(spark):
         s.sample_n(df, 11, ["id"]).count()
 
 
+def test_samples_are_exact_where_keys_repeat(frame):
+    df = frame([("k", "a", i % 2) for i in range(6)] + [("k", "b", 0)], "id string, v string, n int")
+    for n in range(1, 8):
+        assert s.sample_n(df, n, ["id"]).count() == n
+    with pytest.raises(Exception, match="cannot sample 8 rows"):
+        s.sample_n(df, 8, ["id"]).count()
+    with pytest.raises(Exception, match="cannot sample 5 rows"):
+        s.sample_n(df.where("false"), 5, ["id"]).count()
+    texts = frame([("same",)] * 90 + [(f"t{i}",) for i in range(10)], "text string")
+    parts = s.split_train_test(texts, ["text"], 0.2)
+    assert table(parts.groupBy("part").count(), "part") == {"test": 20, "train": 80}
+
+
+def test_default_is_the_scarcer_class(frame):
+    schema = "qid string, docid string, query string, doc string"
+    many, few = (frame([(str(i), "d", f"q{i}", "t") for i in range(n)], schema) for n in (9, 4))
+    prompts = s.balanced_prompts(many, few)
+    assert prompts.columns == ["qid", "docid", "text", "label"]
+    assert table(s.label_counts(prompts), "label") == {0: 4, 1: 4}
+
+
 def test_cutoff_with_a_third_of_copies(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1000, "same").otherwise(F.col("id").cast("string")).alias("id"))
     rows = ["same"] * 1000 + [str(i) for i in range(1000, 3000)]

@@ -36,10 +36,10 @@ def test_prompts_reach_the_model(mapped, length_model, batch):
     assert got == want
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_rerank(frame, hot_rows):
+@pytest.mark.parametrize("piece_rows", [None, 2])
+def test_rerank(frame, piece_rows):
     rows = [("q", "b", 1.0), ("q", "a", 1.0), ("q", "c", 2.0), ("q", "n", None), ("q", "m", float("nan")), ("r", "x", 0.0)]
-    ranked = sc.rerank(frame(rows, "qid string, docid string, score double"), hot_rows)
+    ranked = sc.rerank(frame(rows, "qid string, docid string, score double"), piece_rows)
     assert table(ranked.where("qid = 'q'").select("docid", "rank"), "docid") == {"c": 1, "a": 2, "b": 3, "m": 4, "n": 5}
     assert dict(ranked.dtypes)["rank"] == "int"
 
