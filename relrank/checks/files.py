@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank import schemas
-from relrank.checks.registry import check
+from relrank.checks.registry import check, new_path
 from relrank.checks.sampling import TRIPLES
 from relrank.operators.sampling import make_triples
 from relrank.operators.scoring import classify, rerank
-from relrank.session import checkpoint, shared_dir
+from relrank.session import checkpoint
 from relrank.sources import readers, tables, writers
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
-
-
 def one_line(column: str) -> Column:
     return F.regexp_replace(column, r"[\t\n\r]+", " ")
 

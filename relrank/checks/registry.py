@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relrank.session import checkpoint
+from relrank.functions.text import STRIPPED
+from relrank.session import checkpoint, shared_dir
 from relrank.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,8 +18,6 @@ VIEWS = r"""
 v_docs as (
   select concat('D', cast(doc_id as varchar)) docid, source url, split_part(text, chr(10), 1) title, text body
   from documents),
-v_labelled_docs as (
-  select * from v_docs where docid in (select concat('D', cast(doc_id as varchar)) from labels)),
 v_queries as (select cast(item_id as varchar) qid, text query from benchmark),
 v_qrels as (
   select distinct cast(b.item_id as varchar) qid, 'Q0' iter, concat('D', cast(d.doc_id as varchar)) docid,
@@ -46,13 +46,7 @@ v_turns as (
 """
 
 # Every character the clean function strips, as a SQL expression.
-BLANKS = "concat(" + ", ".join(
-    f"chr({code})"
-    for code in (
-        9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199,
-        8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288,
-    )
-) + ")"
+BLANKS = "concat(" + ", ".join(f"chr({ord(c)})" for c in STRIPPED) + ")"
 
 
 def clean(expression: str) -> str:
@@ -79,6 +73,10 @@ def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoint(tables.run(spark, sf_dir))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
+
+
 def check(sql: str | None = None, ctes: str = "", name: str | None = None):
     """Register a query under its function's name; ``ctes`` extend the views its SQL can use."""
 

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.checks.candidates import MAPPED
-from relrank.checks.registry import check, stored_run, words
+from relrank.checks.registry import check, new_path, stored_run, words
 from relrank.checks.text import chunk
 from relrank.functions import logits as lg
 from relrank.functions.text import point_prompt
 from relrank.operators import pairwise as p
 from relrank.operators import scoring as sc
 from relrank.operators.candidates import head_per_query, map_run
-from relrank.plans.flows import rerank_run, score_and_rerank, train
+from relrank.plans.flows import evaluate_pairwise, rerank_run, score_and_rerank, submit_pairwise, train
+from relrank.session import checkpoint
 from relrank.sources import tables
 
 LOGITS = MAPPED + f"""
@@ -164,6 +165,39 @@ def rank_by_mean_logit(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("score", F.round("score", 6))
 
 
+def top_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten documents of each query with their texts and the score of the run."""
+    run, queries, docs = inputs(spark, d)
+    return checkpoint(map_run(head_per_query(run, 10), queries, docs).withColumnRenamed("run_score", "score"))
+
+
+@check(
+    """select qid, round(sum(mean_gain / log2(rnk + 1)) / sum(gain / log2(best + 1)), 6) as value from (
+      select qid, gain, avg(gain) over (partition by qid, probability) mean_gain,
+        row_number() over (partition by qid order by probability desc) rnk,
+        row_number() over (partition by qid order by gain desc) best from (
+        select b.qid, 10 + m.run_score gain, round_even(b.w / sum(b.w) over (partition by b.qid), 2) probability
+        from (select *, exp(wins - max(wins) over (partition by qid)) w from by_document) b
+        join mapped m on m.qid = b.qid and m.docid = b.docid)) group by qid""",
+    ctes=PAIRS,
+)
+def pairwise_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate_pairwise(top_mapped(spark, d)).select("qid", F.round("value", 6).alias("value"))
+
+
+@check(
+    """select printf('%s, Q0, %s, %d, %.4f, %s', qid, docid, rank, score, 'pairwise') as value from (
+      select *, row_number() over (partition by qid order by score desc, pos) rank from (
+        select qid, docid, pos, logit / nullif(count(*) over (partition by qid) - 1, 0) score from by_document))
+    where score is not null""",
+    ctes=PAIRS,
+)
+def pairwise_submission(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "run.txt")
+    submit_pairwise(top_mapped(spark, d), "pairwise", path)
+    return spark.read.text(path)
+
+
 @check()
 def fit_pair_scorer(spark: SparkSession, d: str) -> DataFrame:
     """Metrics, on a held-out fifth, of a classifier trained on all labelled documents."""

@@ -1,4 +1,4 @@
-"""The four workflows, each a composition of operators. Nothing runs until a result is written or shown."""
+"""The workflows, each a composition of operators. What is read more than once is stored in between."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from relrank.functions.text import point_prompt
 from relrank.operators.candidates import head_per_query, project_run
 from relrank.operators.classification import class_metrics, cross_entropy
 from relrank.operators.fairness import fairness_by_query, fairness_report
-from relrank.operators.metrics import evaluate, evaluate_by_query
+from relrank.operators.metrics import evaluate, evaluate_by_query, ndcg_tied
 from relrank.operators.pairwise import rank_by_mean_logit, rank_by_wins, score_doc_pairs, win_probability
 from relrank.operators.sampling import (
     balanced_ids, negative_ids, positive_ids, sample_negative, sample_positive, shuffle, split_train_test, with_text,
@@ -21,6 +21,7 @@ from relrank.operators.sampling import (
 from relrank.operators.scoring import Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs, score_run
 from relrank.schemas import require_columns
 from relrank.session import checkpoint
+from relrank.sources.writers import write_run
 
 
 def training_pairs(
@@ -67,7 +68,10 @@ def train(
     scorer = fit_pair_scorer(parts.where(F.col("part") == "train"), iterations=iterations)
     test = parts.where(F.col("part") == "test")
     scored = checkpoint(scorer.texts(test).withColumn("prediction", predict("logits")))
-    metrics = class_metrics(scored).withColumn("loss", cross_entropy(scored).scalar())
+    share = scored.agg(F.avg("label")).scalar()
+    metrics = class_metrics(scored).withColumns(
+        {"loss": cross_entropy(scored).scalar(), "majority": F.greatest(share, 1 - share)}  # what a constant answer reaches
+    )
     return Trained(scorer, scored, metrics)
 
 
@@ -116,3 +120,18 @@ def rank_pairwise(mapped: DataFrame, scorer: Scorer | None = None, k: int | None
     if method == "mean_logit":
         return rank_by_mean_logit(mapped, pairs, k)
     raise ValueError(f"method must be 'wins' or 'mean_logit', not {method!r}")
+
+
+def evaluate_pairwise(mapped: DataFrame, scorer: Scorer | None = None, k: int = 10) -> DataFrame:
+    """nDCG at k per query of the ranking by wins, whose gains are 10 + the score of the run (``mean_metric`` averages
+    them). ``mapped`` has qid, docid, query, doc, rank and score, and all its documents are compared; it is read three
+    times."""
+    ranked = rank_pairwise(mapped, scorer)
+    gains = mapped.select("qid", "docid", (F.lit(10) + F.col("score")).alias("gain"))
+    return ndcg_tied(ranked.join(gains, ["qid", "docid"]), "gain", "probability", k)
+
+
+def submit_pairwise(mapped: DataFrame, run_id: str, path: str, scorer: Scorer | None = None) -> None:
+    """Append the ranking by mean logits to a run file. A query's only document has no comparison and is left out."""
+    ranked = rank_pairwise(mapped, scorer, method="mean_logit").where(F.col("score").isNotNull())
+    write_run(ranked, run_id, path)

@@ -1,8 +1,9 @@
-"""Session settings and reliable checkpoints."""
+"""Session settings and stages stored in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/relrank-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as Parquet in the shared folder, which cuts its lineage, and read it back. ``release`` removes it."""
+    path = f"{_stages(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the stages that this application has stored; call it when all results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

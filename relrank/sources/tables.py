@@ -41,12 +41,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that carry a label: a smaller collection, so runs over all documents miss some."""
-    labelled = table(spark, sf_dir, "labels").select(_docid("doc_id").alias("docid"))
-    return docs(spark, sf_dir).join(labelled, "docid", "left_semi")
-
-
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query")

@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-from relrank.session import get_session  # noqa: E402
+from relrank.session import get_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,6 +20,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="relrank-stages-"),
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="relrank-warehouse-"),
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
@@ -27,6 +28,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
