@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from relrank.session import shared_dir
 
-SLICE_BYTES = 1 << 20  # text handled at once by vectorised code; one longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # text handled at once by vectorised code; one longer text is a slice of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,16 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Free the shuffle files of finished stages, before one that needs much disk. Spark removes them once the driver has
+    found that nothing refers to them; left alone, that can take half an hour, and the disks hold every stage till then.
+    Listeners hold the last query for a moment, so this waits for them."""
+    time.sleep(1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every stage this application has stored; call it when all results are written."""
     jvm = spark.sparkContext._jvm
@@ -53,9 +65,9 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str =
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column without nulls, and len + 1 offsets into them."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    """Bytes of a string or binary column, and len + 1 offsets into them; null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column, b"" if binary else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -70,8 +82,7 @@ def slices(
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows whose texts have ``limit`` bytes together (or one longer row), with their bytes and offsets."""
     for batch in batches:
-        text = pc.fill_null(batch.column(column), "")
-        data, offsets = _bytes(text)
+        data, offsets = _bytes(batch.column(column))
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1

@@ -5,9 +5,10 @@ Triggers (the smallest of the rolling hashes in each window) cut the texts into
 The corpus becomes a dictionary of distinct phrases and a parse (where each phrase occurs, in corpus order):
 
 1. An occurrence of a phrase that is not its first one repeats all its windows.
-2. First occurrences can share windows only with other phrases of the same trigger. The suffixes of such phrases are
-   put in suffix order, together with the place in the parse; of equal ones, all but the first are repeats. As only
-   equal runs matter, the order is that of a 128-bit hash of a suffix's first ``length`` bytes.
+2. First occurrences can share windows only with other phrases of the same trigger and of equal bytes on one side of
+   it. The suffixes of such phrases are put in suffix order, together with the place in the parse; of equal ones, all
+   but the first are repeats. As only equal runs matter, the order is that of a 96-bit hash of a suffix's first
+   ``length`` bytes.
 
 Repetitive text costs little: it adds to the parse, and neither to the dictionary nor to its suffixes.
 """
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relrank.llm.common import Rolling, slices, stored, texts
+from relrank.llm.common import Rolling, mix, settle, slices, stored, texts
 
 LENGTH = 100
 GRAM = 24  # bytes under a trigger's rolling hash
-ROWS_AT_ONCE = 400_000
+ROWS_AT_ONCE = 200_000
 NULL_ID = -(1 << 63)
 MARK_BITS = 24  # of a text's hash; tells rows apart that share an id
 SPAN_BITS = 7  # a phrase has at most 2 ** SPAN_BITS windows
@@ -67,7 +68,11 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def _fold(a, b, doc, at) -> pa.RecordBatch:
-    """Map-side: of equal (a, b) only the first place goes on as such; the others are known to be repeats."""
+    """Map-side: of equal (a, b) only the first place goes on as such; the others are known to be repeats.
+
+    Of ``b`` 32 bits go on, so that rows are small; 96 bits of hash still tell strings apart.
+    """
+    b = b & np.uint64(0xFFFFFFFF)
     order = np.lexsort((at, doc, b, a))
     a, b, doc, at = a[order], b[order], doc[order], at[order]
     same = np.zeros(len(a), bool)
@@ -110,22 +115,60 @@ def _parse(length: int):
     return parse
 
 
+def _contexts(length: int):
+    """The bytes of the listed phrases, with hashes of what stands before and after the trigger, up to half of what a
+    window has besides it. Every window that two phrases share has one of the two whole, at the same trigger."""
+    half = (length - GRAM) // 2
+
+    def contexts(batches):
+        for batch, data, offsets in slices(batches):
+            lists = batch.column("places")
+            index = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            if not len(index):
+                continue
+            at = lists.flatten().to_numpy()
+            lo = (at >> SHIFT) + offsets[index]
+            end = lo + ((at >> MARK_BITS) & ((1 << SPAN_BITS) - 1)) + length
+            grams = Rolling(data, 1)
+            place = np.arange(len(data) - GRAM + 1, dtype=np.int64)
+            order = (grams.of(place, place + GRAM) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+            edges = np.stack([lo, end - GRAM + 1], axis=1).reshape(-1)
+            trigger = np.minimum.reduceat(np.append(order, np.uint64((1 << 64) - 1)), edges)[::2] & np.uint64(0xFFFFFFFF)
+            trigger = trigger.astype(np.int64)
+            before, after = trigger - half, trigger + GRAM + half
+            keys = (
+                pa.array(grams.of(np.maximum(before, lo), trigger + GRAM).view(np.int64), mask=before < lo),
+                pa.array(mix(grams.of(trigger, np.minimum(after, end))).view(np.int64), mask=after > end),
+            )
+            raw = data.tobytes()
+            parts = pa.array([raw[i:j] for i, j in zip(lo.tolist(), end.tolist())], pa.binary())
+            doc, mark = (batch.column(c).to_numpy()[index] for c in ("doc_id", "mark"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(mark), pa.array(at), pa.array(trigger - lo), parts, *keys],
+                ["doc_id", "mark", "at", "lead", "text", "before", "after"],
+            )
+
+    return contexts
+
+
 def _suffixes(length: int):
-    """The windows of the listed phrases of each text."""
+    """The windows of the listed phrases: those that reach far before the trigger if ``before`` is set, the others if
+    ``after`` is."""
+    half = (length - GRAM) // 2
 
     def windows(batches):
         def parts():
             for batch, data, offsets in slices(batches):
-                if not len(data):
-                    continue
-                lists = batch.column("places")
-                index = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-                at = lists.flatten().to_numpy()
-                lo, count = (at >> SHIFT) + offsets[index], ((at >> MARK_BITS) & ((1 << SPAN_BITS) - 1)) + 1
-                index = np.repeat(index, count)
-                start = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                one, two = Rolling(data, 3).of(start, start + length), Rolling(data, 4).of(start, start + length)
-                yield one, two, *_place(batch, index, start - offsets[index], np.zeros(len(start), np.int64))
+                whole = np.diff(offsets) - length + 1
+                middle = np.clip(batch.column("lead").to_numpy() - half + 1, 0, whole)
+                first = np.where(batch.column("before").to_numpy(zero_copy_only=False), 0, middle)
+                count = np.where(batch.column("after").to_numpy(zero_copy_only=False), whole, middle) - first
+                index = np.repeat(np.arange(batch.num_rows), count)
+                start = np.arange(len(index)) - np.repeat(np.cumsum(count) - count - first, count)
+                where = start + offsets[index]
+                one, two = Rolling(data, 3).of(where, where + length), Rolling(data, 4).of(where, where + length)
+                lo = batch.column("at").to_numpy()[index] >> SHIFT
+                yield one, two, *_place(batch, index, lo + start, np.zeros(len(start), np.int64))
 
         yield from _folded(parts())
 
@@ -238,8 +281,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "text",
     )
     found = stored(_in_order(marked.mapInArrow(_parse(length), PLACED)))
-    shared = _with_places(marked, found.where("edge"), "inner")
-    suffixes = _in_order(shared.mapInArrow(_suffixes(length), PLACED)).where("not edge")
+    settle(docs.sparkSession)
+    context = "doc_id long, mark long, at long, lead long, text binary, before long, after long"
+    near = stored(_with_places(marked, found.where("edge"), "inner").mapInArrow(_contexts(length), context))
+    settle(docs.sparkSession)
+    keys = near.select("doc_id", "at", F.posexplode(F.array("before", "after")).alias("side", "key")).where("key is not null")
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    sides = keys.join(common, "key").groupBy("doc_id", "at")
+    alike = sides.agg(F.max(F.col("side") == 0).alias("before"), F.max(F.col("side") == 1).alias("after"))
+    shared = near.drop("before", "after").join(alike, ["doc_id", "at"])
+    suffixes = stored(_in_order(shared.mapInArrow(_suffixes(length), PLACED)).where("not edge"))
     places = found.where("not edge").unionByName(suffixes).drop("edge")
+    settle(docs.sparkSession)
     result = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return _with_places(marked, places, "left").mapInArrow(_cut(length), result)
