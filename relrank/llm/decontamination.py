@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into overlapping windows of words. A basis of the benchmark's TF-IDF passages, from a distributed
-randomised SVD, embeds passages and windows; pairs of high cosine are checked by the longest common subsequence of
-their words and by the passage's rarest words, its answer. The statistics cover all documents, and every window of
-every document meets every passage; passages come in blocks, so that what is broadcast has a fixed bound.
+Documents are cut into overlapping windows of words, passages into parts that are no longer than a window. A basis of
+the parts' TF-IDF rows, from a distributed randomised SVD whose rank is their number, embeds parts and windows; where a
+window is near a part, the passage is checked by the longest common subsequence of its words and by its rarest words, its
+answer. The statistics cover all documents, and every window of every document meets every part of every passage; parts
+come in blocks, so that what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from relrank.llm.licenses import SEPARATORS
 
 FEATURES = 1 << 18  # hashed words
 STEP = 16  # words between windows; a window has two steps
-BLOCK = 256  # passages per basis and broadcast
-RANK, OVERSAMPLE = 128, 10
-COSINE = 0.25
+BLOCK = 512  # parts of passages per basis and broadcast, about
+OVERSAMPLE = 10  # a basis has a vector for every part, so that it keeps the parts whole
+COSINE = 0.25  # or as large a share of the part, so that rare words around common ones hide nothing
 COMMON = 0.6  # of a passage's words, in order, must stand in the text around the window
 ANSWER_PART, ANSWER = 0.2, 0.6  # the rarest fifth of a passage's words is its answer; so much of it must be there
 
@@ -75,38 +76,75 @@ def _normal(features: np.ndarray, width: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(uniform[:, :width])) * np.cos(2 * np.pi * uniform[:, width:])
 
 
-def _passage_rows(batches, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(id, features, weights) of each passage's TF-IDF row, of length 1."""
+def pieces(passages: DataFrame) -> DataFrame:
+    """(doc_id, text, begin, end): each passage with the numbers of its parts, BLOCK at most in a row.
+
+    A passage of n words has ceil(n / 32) parts of nearly the same length; none of a passage without words.
+    """
+    most = BLOCK
+
+    def cut(batches):
+        for batch, data, offsets in slices(batches):
+            _, counts, _ = _words(data, offsets)
+            parts = -(-counts // (2 * STEP))
+            rows = [(i, at, min(at + most, n)) for i, n in enumerate(parts.tolist()) for at in range(0, n, most)]
+            index, begin, end = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(index), batch.column("text").take(index), begin, end], ["doc_id", "text", "begin", "end"]
+            )
+
+    return passages.select("doc_id", "text").mapInArrow(cut, "doc_id long, text string, begin long, end long")
+
+
+def _part_rows(batches, idf: np.ndarray) -> Iterator[tuple[int | None, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(id, hashes of all words, (features, weights) of the TF-IDF row of each part, of length 1) of each row of ``pieces``."""
     for batch, data, offsets in slices(batches):
         hashes, counts, first = _words(data, offsets)
-        for i, key in enumerate(batch.column("doc_id").to_pylist()):
-            at, times = np.unique(_feature(hashes[first[i] : first[i] + counts[i]]), return_counts=True)
-            row = times * idf[at]
-            yield key, at, row / max(np.sqrt((row**2).sum()), 1e-9)
+        for i, (key, begin, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "begin", "end")))):
+            own, rows = hashes[first[i] : first[i] + counts[i]], []
+            parts = -(-len(own) // (2 * STEP))
+            for k in range(begin, end):
+                at, times = np.unique(_feature(own[k * len(own) // parts : (k + 1) * len(own) // parts]), return_counts=True)
+                row = times * idf[at]
+                rows.append((at, row / max(np.sqrt((row**2).sum()), 1e-9)))
+            yield key, own, rows
 
 
-def basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their loadings (features, rank): the leading right singular vectors of the passages' TF-IDF matrix.
+def basis(passages: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their loadings (features, rank): the leading right singular vectors of the parts' TF-IDF matrix.
 
     Randomised: Y = A @ normal, Z = A.T @ Y summed over the tasks by feature, and an orthonormal basis of Z's columns.
-    ``passages`` is a block, so Z has at most FEATURES rows.
+    ``passages`` is a block of ``pieces``, so Z has at most FEATURES rows.
     """
     shared = passages.sparkSession.sparkContext.broadcast(idf)
     width = rank + OVERSAMPLE
 
+    def lists(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width)
+        values = pa.array(np.concatenate(list(rows.values())))
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.ListArray.from_arrays(ends, values)], ["feature", "z"])
+
     def sketch(batches):
         rows: dict[int, np.ndarray] = {}
-        for _, at, row in _passage_rows(batches, shared.value):
-            y = row @ _normal(at, width)
-            for feature, weight in zip(at.tolist(), row.tolist()):
-                rows[feature] = rows.get(feature, 0) + weight * y
+        for _, _, parts in _part_rows(batches, shared.value):
+            for at, row in parts:
+                y = row @ _normal(at, width)
+                for feature, weight in zip(at.tolist(), row.tolist()):
+                    rows[feature] = rows.get(feature, 0) + weight * y
         if rows:
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width)
-            values = pa.array(np.concatenate(list(rows.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.ListArray.from_arrays(ends, values)], ["feature", "z"])
+            yield lists(rows)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            z = batch.column("z").flatten().to_numpy().reshape(-1, width)
+            for feature, row in zip(batch.column("feature").to_pylist(), z):
+                sums[feature] = sums[feature] + row if feature in sums else row
+        if sums:
+            yield lists(sums)
 
     parts = passages.mapInArrow(sketch, "feature long, z array<double>")
-    summed = parts.groupBy("feature").agg(F.array(*[F.sum(F.col("z")[i]) for i in range(width)]).alias("z"))
+    summed = parts.repartition("feature").mapInArrow(add, "feature long, z array<double>")
     table = summed.orderBy("feature").toArrow()
     if not table.num_rows:
         return np.zeros(0, np.int64), np.zeros((0, 1), np.float32)
@@ -118,46 +156,55 @@ def basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.nd
 
 @dataclass(frozen=True)
 class Index:
-    """A block of at most BLOCK passages in the latent space."""
+    """A block of passages in the latent space, about BLOCK parts."""
 
     ids: list[int | None]
     words: list[np.ndarray]  # hashes, in order
     answers: list[np.ndarray]  # hashes of the rarest words
-    vectors: np.ndarray  # (rank, passages)
+    owner: np.ndarray  # the passage of each part
+    vectors: np.ndarray  # (rank, parts)
+    full: np.ndarray  # the product of each part with its own distinct words
     place: np.ndarray  # row of a feature in loadings, or -1
     loadings: np.ndarray  # (features, rank), times the feature's weight
     energy: np.ndarray  # square of every feature's weight
-    reach: np.ndarray  # the most that a feature adds to a window's product with any passage
+    reach: np.ndarray  # the most that a feature adds to a window's product with any part
+    share: np.ndarray  # the same in parts of ``full``
 
     @classmethod
     def of(cls, passages: DataFrame, idf: np.ndarray) -> Index:
-        features, loadings = basis(passages, idf)
+        """``passages`` are rows of ``pieces``, or of (doc_id, text), all of whose parts are taken."""
+        block = passages if "begin" in passages.columns else pieces(passages)
+        found = list(_part_rows(block.orderBy("doc_id", "text", "begin").toArrow().to_batches(), idf))  # about BLOCK parts
+        features, loadings = basis(block, idf, max(1, sum(len(parts) for _, _, parts in found)))
         place = np.full(FEATURES, -1, np.int32)
         place[features] = np.arange(len(features))
-        ids, own_words, answers, vectors = [], [], [], []
-        rows = passages.orderBy("doc_id", "text").toArrow().to_batches()  # at most BLOCK
-        for batch, data, offsets in slices(rows):
-            hashes, counts, first = _words(data, offsets)
-            for i, (key, at, row) in enumerate(_passage_rows([batch], idf)):
-                own = hashes[first[i] : first[i] + counts[i]]
-                if len(own):
-                    distinct = np.unique(own)
-                    order = np.lexsort((distinct, -idf[_feature(distinct)]))
-                    ids.append(key)
-                    own_words.append(own)
-                    answers.append(distinct[order[: max(1, round(ANSWER_PART * len(distinct)))]])
-                    vectors.append(row.astype(np.float32) @ loadings[place[at]])
+        ids, own_words, answers, owner, vectors, full = [], [], [], [], [], []
+        for key, own, parts in found:
+            distinct = np.unique(own)
+            order = np.lexsort((distinct, -idf[_feature(distinct)]))
+            answers.append(distinct[order[: max(1, round(ANSWER_PART * len(distinct)))]])
+            for at, row in parts:
+                owner.append(len(ids))
+                vectors.append(row.astype(np.float32) @ loadings[place[at]])
+                full.append(float(row @ idf[at]))
+            ids.append(key)
+            own_words.append(own)
         stacked = np.array(vectors, np.float32).T if vectors else np.zeros((loadings.shape[1], 0), np.float32)
-        reach = np.zeros(FEATURES, np.float32)
+        reach, share = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
+        whole = np.array(full, np.float32)
         if vectors:
-            reach[features] = np.abs(loadings @ stacked).max(axis=1) * idf[features]
-        return cls(ids, own_words, answers, stacked, place, loadings * idf[features][:, None], idf.astype(np.float32) ** 2, reach)
+            most = np.abs(loadings @ stacked)
+            reach[features] = most.max(axis=1) * idf[features]
+            share[features] = (most / whole).max(axis=1) * idf[features]
+        return cls(ids, own_words, answers, np.array(owner, np.int64), stacked, whole, place, loadings * idf[features][:, None], idf.astype(np.float32) ** 2, reach, share)
 
     def candidates(self, hashes: np.ndarray, counts: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
-        """(first word, last word + 1, text, passage, cosine) of the windows that are near a passage.
+        """(first word, last word + 1, text, passage, cosine) of the windows that are near a part of a passage, nearest first.
 
         The cosine's norm takes every word of a window singly; a word that a step repeats counts once in the product.
-        Windows whose words cannot add up to ``cosine`` with any passage are not embedded.
+        Near is a cosine of at least ``cosine``, or such a share of the part's product with itself: of two neighbouring
+        windows that hold a verbatim part, one holds half of it, whatever stands around it.
+        Windows whose words cannot add up to that with any part are not embedded.
         """
         feature = _feature(hashes)
         text = np.repeat(np.arange(len(counts)), counts)
@@ -166,6 +213,7 @@ class Index:
         owner = text[begin]
         whole = np.add.reduceat(self.energy[feature], begin)
         mine = np.add.reduceat(self.reach[feature], begin)
+        shared = np.add.reduceat(self.share[feature], begin)
         # A window is two steps; a text of one step is a window of its own.
         paired = np.append(owner[1:] == owner[:-1], False)
         alone = ~paired & np.append(True, owner[1:] != owner[:-1])
@@ -174,6 +222,7 @@ class Index:
         both = (paired[step]).astype(np.float32)
         norm2 = whole[step] + both * whole[after]
         far = 1.001 * (mine[step] + both * mine[after]) >= cosine * np.sqrt(norm2)
+        far |= 1.001 * (shared[step] + both * shared[after]) >= cosine
         step, after, both, norm2 = step[far], after[far], both[far], norm2[far]
         if not len(step):
             return (np.zeros(0, np.int64),) * 5
@@ -190,10 +239,15 @@ class Index:
         if len(rows):
             embedded[rows[starts]] = np.add.reduceat(self.loadings[cell & 0xFFFFFFFF], starts)
         vectors = embedded[number[step]] + both[:, None] * embedded[number[after]]
-        near = vectors @ self.vectors / np.sqrt(np.maximum(norm2, 1e-9))[:, None]
-        row, passage = np.nonzero(near >= cosine)
+        product, norm = vectors @ self.vectors, np.sqrt(np.maximum(norm2, 1e-9))
+        row, part = np.nonzero(product >= cosine * np.minimum(norm[:, None], self.full))
+        near = product[row, part] / norm[row]
+        order = np.argsort(-near, kind="stable")
+        _, once = np.unique((row[order] * len(self.ids)) + self.owner[part[order]], return_index=True)  # a window meets a passage once
+        order = order[np.sort(once)]
+        row, passage = row[order], self.owner[part[order]]
         end = np.append(begin[1:], len(hashes))[after[row]]
-        return begin[step[row]], end, owner[step[row]], passage, near[row, passage]
+        return begin[step[row]], end, owner[step[row]], passage, near[order]
 
     def confirm(self, own: np.ndarray, passage: int) -> tuple[float, float]:
         """The part of the passage's words that stand in ``own`` in order, and the part of its answer that is there."""
@@ -228,6 +282,8 @@ def _scan(index, cosine: float):
                 continue
             keys, best = batch.column("doc_id").to_pylist(), {}
             for begin, end, text, passage, near in zip(*(x.tolist() for x in block.candidates(hashes, counts, cosine))):
+                if best.get((text, passage), (0, 0, 0))[0] == 1:
+                    continue  # nearer and whole: no other window is better
                 reach = len(block.words[passage])
                 low, high = max(begin - reach, int(first[text])), min(end + reach, int(first[text] + counts[text]))
                 common, answer = block.confirm(hashes[low:high], passage)
@@ -261,10 +317,11 @@ def find_leaks(
     narrow = texts(docs, id_col, text_col)
     frequencies, rows = document_frequencies(narrow)
     idf = weights(frequencies, rows)
-    items = stored(texts(benchmark, item_col, item_text).where("text <> ''").distinct())
-    blocks = max(1, -(-items.count() // BLOCK))
-    # Blocks by rank of a hash: of equal size, whatever the ids.
-    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    items = stored(pieces(texts(benchmark, item_col, item_text).where("text <> ''").distinct()))
+    parts = items.agg(F.sum(F.col("end") - F.col("begin"))).first()[0] or 0
+    blocks = max(1, -(-parts // BLOCK))
+    # Blocks by a hash: of about equal size, whatever the ids.
+    order = F.pmod(F.xxhash64("doc_id", "text", "begin"), F.lit(blocks))
     result = None
     for number in range(blocks):
         own = items.where(order == number) if blocks > 1 else items

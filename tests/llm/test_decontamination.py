@@ -88,3 +88,35 @@ def test_blocks_and_hard_cases(spark, hard, sample, documents, monkeypatch):
     assert kept.count() == len(HARD) and "item_id" in kept.columns
     assert d.find_leaks(hard.where("false"), benchmark).count() == 0
     assert d.find_leaks(hard, benchmark.where("false")).count() == 0
+
+
+def test_long_and_many_passages(spark, documents):
+    """260 passages of 15 to 600 words, whole and with a fifth of their words replaced, inside longer texts."""
+    draw = random.Random(8)
+    vocabulary = [f"w{int(draw.paretovariate(0.5)) % 20_000}" for _ in range(100_000)]
+    items = [(j, " ".join(draw.choices(vocabulary, k=15 + 585 * (j % 20) // 19))) for j in range(260)]
+    rows = []
+    for j, x in items:
+        around = draw.choices(vocabulary, k=200)
+        at = draw.randrange(200)
+        own = x.split()
+        for k in draw.sample(range(len(own)), len(own) // 5 if j % 2 else 0):
+            own[k] = draw.choice(vocabulary)
+        rows.append((j, " ".join([*around[:at], *own, *around[at:]])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = found(d.find_leaks(documents(rows), benchmark))
+    assert {(j, j) for j, _ in items if j % 2 == 0} <= got
+
+    index = d.Index.of(d.texts(benchmark.where("item_id % 2 = 1"), "item_id", "text"), d.weights(*d.document_frequencies(d.texts(documents(rows)))))
+    want = set()
+    for p, j in enumerate(index.ids):  # the paraphrases that meet the conditions around some window
+        data = np.frombuffer(rows[j][1].encode(), np.uint8)
+        hashes, _, _ = d._words(data, np.array([0, len(data)]))
+        reach = len(index.words[p])
+        for begin in range(0, len(hashes), 2 * d.STEP):
+            common, answer = index.confirm(hashes[max(begin - reach, 0) : begin + 2 * d.STEP + reach], p)
+            if common >= d.COMMON and answer >= d.ANSWER:
+                want.add((j, j))
+                break
+    assert len(want) > 100
+    assert want <= got
