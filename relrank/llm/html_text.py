@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-Parts that name themselves as menus, adverts and the like are taken out first. Every node that is left gets its
+Parts that name themselves as menus, adverts and the like are taken out first; inside the article only those of which a
+whole class says so, or that are mostly links, and never a form or a named part with most of the page's text. Every node that is left gets its
 characters per tag, adjusted for links. The node whose children's densities sum up to most holds the article; it is read
 with the rest of its article element, if it has one, or with the page's title. Lists of links whose density is less than
 the least on the path from there to the body are left out, and nothing else.
@@ -68,6 +69,8 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     total: float = 0.0  # of the children's densities
+    all_chars: int = 0  # the same with the dropped parts
+    all_links: int = 0
 
     def nodes(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -148,29 +151,61 @@ def _names(node: Node) -> set[str]:
     return set(_NAME.findall(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower()))
 
 
-def _drop_other_parts(nodes: list[Node]) -> None:
-    """Marks what calls itself something else than the article. A part that holds the article element stays."""
+def _count(nodes: list[Node]) -> None:
+    """Characters of every node and those inside links, before anything is dropped."""
+    in_link: set[int] = set()
+    for node in nodes:
+        if node.tag == "a" or node.parent is not None and id(node.parent) in in_link:
+            in_link.add(id(node))
+    for node in reversed(nodes):
+        own = 0 if node.tag in RAW else sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        node.all_chars += own
+        node.all_links += own * (id(node) in in_link)
+        if node.parent is not None:
+            node.parent.all_chars += node.all_chars
+            node.parent.all_links += node.all_links
+
+
+def _says_so(node: Node, names: frozenset[str]) -> bool:
+    """Is one of the node's classes made of such names only, or the node mostly links?"""
+    classes = (_NAME.findall(c) for c in node.attributes.get("class", "").lower().split())
+    return any(c and names.issuperset(c) for c in classes) or 2 * node.all_links > node.all_chars
+
+
+def _drop_other_parts(nodes: list[Node], scope: Node | None = None) -> None:
+    """Marks what calls itself something else than the article. A part that holds the article element, and a form or a
+    named part that holds most of the page's text, stays. Inside ``scope`` a word of a name alone is not enough."""
     holds = {id(a) for n in nodes if n.tag in ("article", "main") and not _names(n) & COMMENT_NAMES for a in (n, *_above(n))}
     inside: set[int] = set()
+    within: set[int] = set()
     for node in nodes:
-        if node.parent is not None and node.parent.dropped:
-            node.dropped = True
+        node.dropped = node.parent is not None and node.parent.dropped
+        if node.dropped:
             continue
         if node.tag in ("article", "main") or node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
+        if node.parent is not None and (node.parent is scope or id(node.parent) in within):
+            within.add(id(node))
         if node.parent is None or node.tag == "body":
             continue
         names, role = _names(node), node.attributes.get("role", "").lower()
-        head = (node.tag == "header" or names & HEADER_NAMES) and id(node) not in inside
+        sure = id(node) not in within
+        most = 2 * node.all_chars > nodes[0].all_chars
+        head = node.tag == "header" or names & HEADER_NAMES and (sure or _says_so(node, HEADER_NAMES))
         hidden = "hidden" in node.attributes or re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I)
-        other = node.tag in OTHER_TAGS or role in OTHER_ROLES or names & OTHER_NAMES or head or hidden
-        node.dropped = bool(names & COMMENT_NAMES or other) and id(node) not in holds
+        named = names & OTHER_NAMES and not most and (sure or _says_so(node, OTHER_NAMES))
+        tag = node.tag in OTHER_TAGS and not (node.tag == "form" and most)
+        comment = names & COMMENT_NAMES and (sure or _says_so(node, COMMENT_NAMES))
+        other = tag or role in OTHER_ROLES and not (role == "form" and most) or named or head and id(node) not in inside or hidden
+        node.dropped = bool(comment or other) and id(node) not in holds
 
 
 def _measure(nodes: list[Node]) -> None:
     """Densities and their sums, without the dropped parts; how much of a page is links is taken with them."""
     in_link: dict[int, bool] = {}
     for node in nodes:
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = node.total = 0.0
         in_link[id(node)] = node.tag == "a" or (node.parent is not None and in_link[id(node.parent)])
     every = linked = 0
     for node in reversed(nodes):
@@ -214,9 +249,15 @@ def _place(nodes: list[Node]) -> tuple[Node, set[int], float]:
 
 def main_text(html: str) -> str:
     nodes = parse(html)
+    _count(nodes)
     _drop_other_parts(nodes)
     _measure(nodes)
     scope, titles, threshold = _place(nodes)
+    before = [n.dropped for n in nodes]
+    _drop_other_parts(nodes, scope)
+    if before != [n.dropped for n in nodes]:  # the article has parts back
+        _measure(nodes)
+        threshold = min(n.density for n in (scope, *_above(scope)))
     way = {id(scope), *map(id, _above(scope))}
     blocks: list[str] = []
     current: list[str] = []

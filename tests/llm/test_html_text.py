@@ -55,6 +55,24 @@ def test_other_parts_go(wrap):
         assert text == "\n\n".join(["The title"] + [f"{PARAGRAPH} {i} & {i}" for i in range(count)])
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", '<div class="content">{}</div>'])
+@pytest.mark.parametrize(
+    "name", ['section id="discussion"', 'div id="Related_work"', 'div id="navigation-systems"', 'div class="social-history"', 'section id="comments-on-method"']
+)
+def test_parts_of_the_article_stay_whatever_their_names(wrap, name):
+    own = "".join(f"<p>{PARAGRAPH} {i}</p>" for i in range(4))
+    part = f'<{name}><h2 id="Related_work">Part <span id="Social_structure">two</span></h2><p>{PARAGRAPH} 4</p></{name.split()[0]}>'
+    text = main_text(page(NOISE[0], wrap.format(own + part + NOISE[10] + NOISE[5]), NOISE[11]))
+    assert text == "\n\n".join([*(f"{PARAGRAPH} {i}" for i in range(4)), "Part two", f"{PARAGRAPH} 4"])
+
+
+@pytest.mark.parametrize("around", ['form action="x.aspx"', 'div class="widget"'])
+def test_a_part_with_most_of_the_text_stays(around):
+    own = "".join(f"<p>{PARAGRAPH} {i}</p>" for i in range(4))
+    text = main_text(page(f"<{around}>", NOISE[0], f"<div>{own}</div>", NOISE[10], f"</{around.split()[0]}>"))
+    assert text == "\n\n".join(f"{PARAGRAPH} {i}" for i in range(4))
+
+
 @pytest.mark.parametrize(
     "source, text",
     [
