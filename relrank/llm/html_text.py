@@ -3,7 +3,8 @@
 Parts that name themselves as menus, adverts and the like are taken out first; inside the article only those of which a
 whole class says so, or that are mostly links, and never a form or a named part with most of the page's text. Every node that is left gets its
 characters per tag, adjusted for links. The node whose children's densities sum up to most holds the article; it is read
-with the rest of its article element, if it has one, or with the page's title. Lists of links whose density is less than
+with the rest of its article element, if it has one, or with the page's title and with the parts beside its path to the
+body that are at least as dense as the least dense element of the path, each by its own such node. Lists of links whose density is less than
 the least on the path from there to the body are left out, and nothing else.
 """
 
@@ -247,6 +248,31 @@ def _place(nodes: list[Node]) -> tuple[Node, set[int], float]:
     return scope, titles, min(n.density for n in path)
 
 
+def _is_list_of_links(node: Node, threshold: float) -> bool:
+    return node.tag in BLOCKS and node.link_tags > 1 and 2 * node.links > node.chars and node.density < threshold
+
+
+def _beside(scope: Node, threshold: float) -> list[Node]:
+    """What to read besides the chosen node: of each part beside its path that reaches the threshold, the node of the
+    greatest sum. None if there is an article element."""
+    path = [scope, *_above(scope)]
+    if any(n.tag in ("article", "main") for n in path):
+        return []
+    found = []
+    for own, parent in zip(path, path[1:]):
+        for part in parent.nodes():
+            if part is own or part.dropped or part.tag not in BLOCKS or not part.chars or part.density < threshold or 2 * part.links > part.chars:
+                continue
+            best, waiting = part, [part]
+            while waiting:
+                node = waiting.pop()
+                if node.total > best.total:
+                    best = node
+                waiting.extend(n for n in node.nodes() if not n.dropped)
+            found.append(best)
+    return found
+
+
 def main_text(html: str) -> str:
     nodes = parse(html)
     _count(nodes)
@@ -258,7 +284,9 @@ def main_text(html: str) -> str:
     if before != [n.dropped for n in nodes]:  # the article has parts back
         _measure(nodes)
         threshold = min(n.density for n in (scope, *_above(scope)))
-    way = {id(scope), *map(id, _above(scope))}
+    scopes = [scope, *_beside(scope, threshold)]
+    read = set(map(id, scopes))
+    way = read | {id(a) for n in scopes for a in _above(n)}
     blocks: list[str] = []
     current: list[str] = []
 
@@ -268,18 +296,15 @@ def main_text(html: str) -> str:
             blocks.append(text)
         current.clear()
 
-    def is_list_of_links(node: Node) -> bool:
-        return node.tag in BLOCKS and node.link_tags > 1 and 2 * node.links > node.chars and node.density < threshold
-
-    waiting: list = [(nodes[0], nodes[0] is scope)]  # with each part: is it inside?
+    waiting: list = [(nodes[0], id(nodes[0]) in read)]  # with each part: is it inside?
     while waiting:
         part, inside = waiting.pop()
         if part is None:
             flush()
         elif isinstance(part, str):
             current.append(part if inside else "")
-        elif not part.dropped and part.tag not in RAW and (inside or id(part) in way or id(part) in titles) and (id(part) in way or not is_list_of_links(part)):
-            inside = inside or part is scope or id(part) in titles
+        elif not part.dropped and part.tag not in RAW and (inside or id(part) in way or id(part) in titles) and (id(part) in way or not _is_list_of_links(part, threshold)):
+            inside = inside or id(part) in read or id(part) in titles
             if part.tag == "br":
                 current.append(" ")
             if part.tag in BLOCKS:

@@ -73,6 +73,15 @@ def test_a_part_with_most_of_the_text_stays(around):
     assert text == "\n\n".join(f"{PARAGRAPH} {i}" for i in range(4))
 
 
+@pytest.mark.parametrize("sizes", [(10, 8), (3, 9, 5), (2, 2)])
+@pytest.mark.parametrize("wrap", ["{}", "<div><div>{}</div></div>"])
+def test_an_article_in_several_wrappers(sizes, wrap):
+    groups = [[f"{PARAGRAPH} {k}.{i}" for i in range(n)] for k, n in enumerate(sizes)]
+    parts = ["<div>" + "".join(f"<p>{x}</p>" for x in own) + "</div>" for own in groups]
+    text = main_text(page(NOISE[0], wrap.format((NOISE[10] + '<img src="x.png">').join(parts)), NOISE[5], NOISE[11]))
+    assert text == "\n\n".join(x for own in groups for x in own)
+
+
 @pytest.mark.parametrize(
     "source, text",
     [
