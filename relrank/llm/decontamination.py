@@ -334,6 +334,7 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage or a paraphrase of it."""
-    leaks = stored(find_leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct())
-    return keep_ids(docs, leaks, id_col, "left_anti")
+    """``docs`` without the rows that hold a benchmark passage or a paraphrase of it, whatever other rows have their id."""
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    leaks = stored(find_leaks(docs.select(key.alias("key"), text_col), benchmark, "key", text_col).select("doc_id").distinct())
+    return keep_ids(docs.withColumn("_llm_row", key), leaks, "_llm_row", "left_anti").drop("_llm_row")

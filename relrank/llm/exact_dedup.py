@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -175,19 +175,25 @@ def _decide(prints: DataFrame, found: RepeatFilter) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops. Rows whose text is alone are not shuffled."""
+    """One row of ``docs`` of each group of ``exact_dedup``, the one that it keeps; of rows that repeat its id the one with
+    the most code points. Rows whose text is alone are not shuffled."""
     narrow = texts(docs, id_col, text_col)
     prints = stored(
         narrow.select("doc_id", F.char_length("text").alias("n_chars"), fingerprint("text").alias("print"))
     )
     found = RepeatFilter(prints)
-    dropped = stored(_decide(prints, found).where("not kept").select("doc_id"))
-    passed, asked = [], []
+    # Id and fingerprint: an id may stand on several texts.
+    row = F.xxhash64("doc_id", F.unhex("text_sha256")).alias("row")
+    decided = stored(_decide(prints, found).where("group_size > 1").select(row, "kept").groupBy("row", "kept").count())
+    dropped, several = decided.where("not kept").select("row"), decided.where("kept and count > 1").select("row")
+    key = F.xxhash64(F.col(id_col).cast("long"), fingerprint(text_col))
+    first = F.row_number().over(Window.partitionBy("_llm_row").orderBy(F.char_length(text_col).desc_nulls_last()))
+    result = None
     for number, test in found.tests():
         own = docs if found.ranges == 1 else docs.where(found.range_of(fingerprint(text_col)) == number)
-        passed.append(own.where(~test(fingerprint(text_col))))
-        asked.append(keep_ids(own.where(test(fingerprint(text_col))), dropped, id_col, "left_anti"))
-    result = passed[0].unionByName(asked[0])
-    for a, b in zip(passed[1:], asked[1:]):
-        result = result.unionByName(a).unionByName(b)
+        asked = keep_ids(own.where(test(fingerprint(text_col))).withColumn("_llm_row", key), dropped, "_llm_row", "left_anti")
+        one = keep_ids(asked, several, "_llm_row", "left_anti")
+        of_several = keep_ids(asked, several, "_llm_row").withColumn("_llm_first", first).where("_llm_first = 1").drop("_llm_first")
+        kept = own.where(~test(fingerprint(text_col))).unionByName(one.unionByName(of_several).drop("_llm_row"))
+        result = kept if result is None else result.unionByName(kept)
     return result

@@ -52,3 +52,17 @@ def test_hard_cases(hard):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, _, k, _ in brute(HARD) if k)
     assert exact_dedup(hard.where("false")).count() == 0
     assert drop_exact_duplicates(hard.where("false")).count() == 0
+
+
+def test_ids_that_stand_on_several_texts(spark, documents):
+    from relrank.llm.decontamination import drop_leaks
+
+    rows = [(3, "A"), (5, "A"), (5, "B"), (7, "B"), (None, "C"), (2, "C"), (None, "D"), (None, "D"), (8, "E e"), (8, "Ee"), (9, "F")]
+    kept = drop_exact_duplicates(documents(rows))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted(
+        [("3", "A"), ("5", "B"), ("2", "C"), ("None", "D"), ("8", "E e"), ("9", "F")]
+    )
+    passage = "seventeen quiet otters carried the brass lantern across a frozen harbour while nobody watched them go"
+    rows = [(None, passage), (None, "clean"), (4, "clean too"), (4, passage + " again")]
+    kept = drop_leaks(documents(rows), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == ["clean", "clean too"]
