@@ -13,6 +13,7 @@ from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.html_text import extract_text
 from relrank.llm.near_dedup import near_duplicates
+from relrank.llm.spelling import spelling_variants
 from relrank.llm.suffix_dedup import suffix_dedup
 from relrank.llm.tool_calls import json_string, link_tool_calls
 from relrank.llm.token_counts import Unigram, count_tokens
@@ -98,6 +99,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 # Tool calls that Spark derives from the conversations: each assistant turn calls a tool, the next turn is its result.
 TOOL_SCHEMAS = """
 select * from values
