@@ -31,12 +31,17 @@ def _stage_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/relrank-llm-{spark.sparkContext.applicationId}"
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new place in the shared folder; ``release`` removes what is written there."""
+    return f"{_stage_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs its own tasks, never an earlier stage. ``release`` removes the files.
     """
-    path = f"{_stage_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

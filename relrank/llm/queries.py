@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import byte_bpe, decontamination, language_id, licenses
+from relrank.llm import byte_bpe, decontamination, language_id, licenses, warc
 from relrank.llm.common import table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.html_text import extract_text
@@ -104,6 +104,23 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op12_warc"] = """
+with payloads as (
+  select page_id, strlen(coalesce(html, '')) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+firsts as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end keeper from payloads)
+select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest,
+  case when keeper is null or keeper = page_id then 'response' else 'revisit' end record_type,
+  case when keeper <> page_id then keeper end refers_to
+from firsts
+"""
+
+
 # Tool calls that Spark derives from the conversations: each assistant turn calls a tool, the next turn is its result.
 TOOL_SCHEMAS = """
 select * from values
