@@ -17,6 +17,7 @@ from relrank.llm.spelling import spelling_variants
 from relrank.llm.suffix_dedup import suffix_dedup
 from relrank.llm.tool_calls import json_string, link_tool_calls
 from relrank.llm.token_counts import Unigram, count_tokens
+from relrank.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,6 +122,11 @@ from firsts
 """
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 # Tool calls that Spark derives from the conversations: each assistant turn calls a tool, the next turn is its result.
 TOOL_SCHEMAS = """
 select * from values
