@@ -1,25 +1,34 @@
 """MinHash near-duplicates by tensored banding.
 
-Two small collections of band keys are computed for a set; a table is a pair of one key of each, so ``BANDS`` ** 2
-tables cost 2 * ``BANDS`` * ``ROWS`` minhashes instead of 2 * ``BANDS`` ** 2 * ``ROWS``. Candidates of the tables are
-confirmed on the full sets.
+Two small collections of band keys are computed for a set; a table is a pair of one key of each, so ``bands`` ** 2
+tables cost 2 * ``bands`` * ``ROWS`` minhashes instead of 2 * ``bands`` ** 2 * ``ROWS``. Candidates of the tables are
+confirmed on the full sets, first with one set of each table; what that does not join is confirmed in pairs that share
+rare shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relrank.llm.common import BLANKS, LOWER, Rolling, mix, slices, stored, texts, words
 from relrank.llm.graph import components
 
 WORDS = 5
-NUMERATOR, DENOMINATOR = 85, 100  # links have |A & B| / |A | B| of at least this
-ROWS, BANDS = 3, 12  # a pair of similarity 0.85 shares no table with a chance of 2e-5
+PERCENT = 85  # links have 100 * |A & B| >= PERCENT * |A | B|
+ROWS = 3  # minhashes of a band
+MISSED = 1.2e-5  # chance that two sets just alike enough share no band of one collection
 NULL_ID = -(1 << 63)
-SKETCH = "doc_id long, n long, set1 long, set2 long, left array<long>, right array<long>"
+SKETCH = "doc_id long, mark long, n long, set1 long, set2 long, left array<long>, right array<long>"
+
+
+def _bands(percent: int) -> int:
+    """Bands of a collection: 12 at 85 %, 16 at 80 %."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** ROWS))
 
 
 def _numbers(seed: int, count: int) -> np.ndarray:
@@ -27,7 +36,6 @@ def _numbers(seed: int, count: int) -> np.ndarray:
 
 
 _PLACE = _numbers(11, WORDS)
-_FACTOR, _SHIFT = _numbers(12, 2 * BANDS * ROWS), _numbers(13, 2 * BANDS * ROWS)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,197 +66,227 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))]).astype(np.int64)
 
 
-def _sketch(batches):
-    for batch, data, offsets in slices(batches):
-        found, at = shingles(data, offsets)
-        full = np.flatnonzero(np.diff(at))
-        begin = at[:-1][full]
-        keys = np.zeros((2 * BANDS, len(full)), np.uint64)
-        total = np.zeros((2, batch.num_rows), np.uint64)
-        if len(full):
-            with np.errstate(over="ignore"):
-                for i in range(2 * BANDS * ROWS):
-                    least = np.minimum.reduceat(found * _FACTOR[i] + _SHIFT[i], begin)
-                    keys[i // ROWS] = mix(keys[i // ROWS] * _PLACE[0] + least)
-                total[0, full] = np.add.reduceat(found, begin)
-                total[1, full] = np.add.reduceat(mix(found ^ _PLACE[1]), begin)
-                keys = mix(keys + np.arange(2 * BANDS, dtype=np.uint64)[:, None])  # the band is part of its key
-        ends = np.zeros(batch.num_rows + 1, np.int32)
-        ends[1:] = np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(half.T.reshape(-1).view(np.int64))) for half in (keys[:BANDS], keys[BANDS:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), *lists],
-            ["doc_id", "n", "set1", "set2", "left", "right"],
-        )
-
-
-def _alike(both: int, one: int, two: int) -> bool:
-    return DENOMINATOR * both >= NUMERATOR * (one + two - both)
-
-
-def _prefix(own: np.ndarray, inside: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the first shingles of a set, in an order that puts those outside the family's reference set first: the
-    keys of those, and of the ones inside it.
-
-    Two sets that make a link share one of these keys: each is missing too few shingles of the other for all of its
-    first |A| - ceil(0.85 |A|) + 1 to be among them. If they share none outside the reference set, but one inside, they
-    have nothing in common outside it.
-    """
-    need = len(own) - -(-NUMERATOR * len(own) // DENOMINATOR) + 1
-    strange, known = own[~inside][:need], own[inside]
-    known = known[: need - len(strange)]
-    return mix(strange ^ salt).view(np.int64), mix(known ^ salt).view(np.int64)
+def _sketch(bands: int):
+    factor, shift = _numbers(12, 2 * bands * ROWS), _numbers(13, 2 * bands * ROWS)
 
+    def sketch(batches):
+        for batch, data, offsets in slices(batches):
+            found, at = shingles(data, offsets)
+            full = np.flatnonzero(np.diff(at))
+            begin = at[:-1][full]
+            keys = np.zeros((2 * bands, len(full)), np.uint64)
+            total = np.zeros((2, batch.num_rows), np.uint64)
+            if len(full):
+                with np.errstate(over="ignore"):
+                    for i in range(2 * bands * ROWS):
+                        least = np.minimum.reduceat(found * factor[i] + shift[i], begin)
+                        keys[i // ROWS] = mix(keys[i // ROWS] * _PLACE[0] + least)
+                    total[0, full] = np.add.reduceat(found, begin)
+                    total[1, full] = np.add.reduceat(mix(found ^ _PLACE[1]), begin)
+                    keys = mix(keys + np.arange(2 * bands, dtype=np.uint64)[:, None])  # the band is part of its key
+            ends = np.zeros(batch.num_rows + 1, np.int32)
+            ends[1:] = np.cumsum(np.where(np.diff(at) > 0, bands, 0))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(half.T.reshape(-1).view(np.int64))) for half in (keys[:bands], keys[bands:])]
+            own = [batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(at))]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), *lists], ["doc_id", "mark", "n", "set1", "set2", "left", "right"]
+            )
 
-LEADER, REFERENCE, MEMBER = 0, 1, 2
-FOUND = "a long, b long, link boolean, n long, shared long, outer array<long>, inner array<long>"
+    return sketch
 
 
-def _confirm(batches):
-    """Texts of each family, its leader's and its references' first, become confirmed links; members that go on
-    (``more``) get the keys of the next round. Of every member: n shingles, and ``shared`` of them with the reference
-    set, the union of those first texts.
+LEADER, MEMBER = 0, 1
 
-    Holds the first texts' sets and one slice of texts, however large the family.
+
+def _confirm(percent: int):
+    """Texts of each family, its leader's first, become (a, b) of those members b that make a link with their leader a.
+
+    Holds the leader's set and one slice of texts, however large the family.
     """
-    leader, known, leaders, first, salt = None, None, [], [], None
-    for batch, data, offsets in slices(batches):
-        found, at = shingles(data, offsets)
-        rows = {"a": [], "b": [], "link": [], "n": [], "shared": [], "outer": [], "inner": []}
-        for i, (a, kind, b, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b", "more")))):
-            own = found[at[i] : at[i + 1]]
-            if leader != a or kind == LEADER and known is not None:  # another family, or another part of this one
-                leader, leaders, first, known = a, [], [], None
-                salt = mix(np.array([a], np.int64).view(np.uint64))[0]
-            if kind != MEMBER:
-                first.append(own)
+
+    def confirm(batches):
+        family, first = None, None
+        for batch, data, offsets in slices(batches):
+            found, at = shingles(data, offsets)
+            one, two = [], []
+            for i, (a, part, kind, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "kind", "b")))):
+                own = found[at[i] : at[i + 1]]
                 if kind == LEADER:
-                    leaders.append(own)
-                continue
-            if known is None:
-                known = first[0] if len(first) == 1 else np.unique(np.concatenate(first))
-            inside = np.isin(own, known, assume_unique=True)
-            # More than one leader only if rows repeat its id.
-            link = any(_alike(len(np.intersect1d(own, x, assume_unique=True)), len(own), len(x)) for x in leaders)
-            outer, inner = _prefix(own, inside, salt) if more else (None, None)
-            for name, value in zip(rows, (a, b, link, len(own), int(inside.sum()), outer, inner)):
-                rows[name].append(value)
-        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), types)], list(rows))
+                    family, first = (a, part), own
+                    continue
+                both = len(np.intersect1d(own, first, assume_unique=True))
+                if family == (a, part) and 100 * both >= percent * (len(own) + len(first) - both):
+                    one.append(a)
+                    two.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return confirm
 
 
 FAMILY = 256  # members that meet a copy of their leader in one task
-REFERENCES = 8  # members whose shingles count as known in their family; of a copied text, most have all it had
 
 
-def _families(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """What ``_confirm`` finds of each pair of a leader a and a member b; large families are cut into parts."""
+def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a leader a and a member b that make a link; large families are cut into parts."""
     sizes = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAMILY).alias("parts")))
-    members = pairs.join(sizes, "a").select(
-        "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(MEMBER).alias("kind"), "b", "more", F.col("b").alias("node")
-    )
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    drawn = pairs.where("more").select("a", "b").withColumn("nth", nth).where(F.col("nth") <= REFERENCES)
-    heads = sizes.select("a", F.lit(LEADER).alias("kind"), F.col("a").alias("node")).unionByName(
-        drawn.select("a", F.lit(REFERENCE).alias("kind"), F.col("b").alias("node"))
-    )
-    parts = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    heads = heads.join(parts, "a").withColumns({"b": F.col("node"), "more": F.lit(False)})
-    dealt = heads.unionByName(members).join(held, "node").select("a", "part", "kind", "b", "more", "text")
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(MEMBER).alias("kind"), "b")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    heads = sizes.select("a", part, F.lit(LEADER).alias("kind"), F.col("a").alias("b"))
+    dealt = heads.unionByName(members).join(held.withColumnRenamed("node", "b"), "b").select("a", "part", "kind", "b", "text")
     ordered = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "kind", "b")
-    return ordered.mapInArrow(_confirm, FOUND)
+    return stored(ordered.mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def _stars(live: DataFrame) -> DataFrame:
-    """(a, b, more): the most widely shared node of each key, and each of the key's others."""
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): the node that shares most tables of each table (key, node), and each of the table's others."""
+    several = rows.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    live = stored(rows.join(several, "key"))
     popular = live.groupBy("node").agg(F.sum("nodes").alias("popular"))
     heads = live.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popular", "node")).alias("a"))
-    return live.join(stored(heads), "key").where("a <> node").select("a", F.col("node").alias("b"), F.lit(True).alias("more")).distinct()
+    return live.join(stored(heads), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _first_pairs(rows: DataFrame) -> DataFrame:
-    several = rows.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    return _stars(stored(rows.join(several, "key")))
+def _tables(classes: DataFrame) -> DataFrame:
+    """(key, node): the tables of every set, a pair of a left and a right band. Bands that no other set has are left
+    out before the pairs are formed, as their tables hold one set."""
+    bands = classes.select("node", F.explode(F.concat("left", "right")).alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("nodes")).where("nodes > 1").select("band")
+    mine = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("bands"))  # two collections at most
+    halves = classes.join(mine, "node").select("node", F.array_intersect("left", "bands").alias("left"), F.array_intersect("right", "bands").alias("right"))
+    one = halves.select("node", "right", F.explode("left").alias("l"))
+    return one.select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node").distinct()
 
 
-STRANGERS = 1024
+# Pairs by rare shingles. All sets have their shingles in one order, by the number of sets that hold them: two sets that
+# make a link share one among the first few of each.
 
 
-def _keyed(tested: DataFrame) -> DataFrame:
-    """(key, node, n, shared, inner) of the members that go on."""
-    row = ["n", "shared", F.col("b").alias("node")]
-    outer = tested.select(F.explode("outer").alias("key"), *row, F.lit(False).alias("inner"))
-    return outer.unionByName(tested.select(F.explode("inner").alias("key"), *row, F.lit(True).alias("inner"))).distinct()
+def _listed(batches):
+    """(node, n, shingle) of all shingles of each text."""
+    for batch, data, offsets in slices(batches):
+        found, at = shingles(data, offsets)
+        each = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        columns = [batch.column("node").take(pa.array(each)), pa.array(np.diff(at)[each]), pa.array(found.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingle"])
 
 
-def _next_pairs(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of nodes under one key that are not joined yet.
+def _step(n: float) -> int:
+    """Sizes within a twentieth of each other are mostly one step."""
+    return math.floor(math.log(n) / math.log(20 / 19)) if n >= 1 else -1
 
-    Nodes outside a key's largest component are its strangers. With up to STRANGERS of them each is held against the
-    others; pairs come only from those whose shares of the reference set leave enough in common. Under an inner key that
-    is the smaller share, as nothing else can be in common. Keys with more strangers form stars again.
-    """
-    rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
-    keys = parts.groupBy("key").agg(F.sum("size").alias("nodes"), F.max(F.struct("size", "component")).alias("main"))
-    keys = keys.select("key", "nodes", (F.col("nodes") - F.col("main.size")).alias("strangers"), F.col("main.component").alias("main"))
-    live = stored(rows.join(keys.where("strangers > 0"), "key"))
-    few = live.where(F.col("strangers") <= STRANGERS)
-    one = few.where("component <> main").select("key", *[F.col(c).alias(f"one_{c}") for c in ("node", "component", "n", "shared")])
-    outside = F.least(F.col("one_n") - F.col("one_shared"), F.col("n") - F.col("shared"))
-    most = F.least("one_shared", "shared") + F.when(F.col("inner"), 0).otherwise(outside)
-    near = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("one_n") + F.col("n"))
-    once = (F.col("component") == F.col("main")) | (F.col("one_node") < F.col("node"))
-    met = few.join(one, "key").where((F.col("one_component") != F.col("component")) & once & near)
-    met = met.select(F.col("one_node").alias("a"), F.col("node").alias("b"), F.lit(False).alias("more")).distinct()
-    starred = _stars(live.where(F.col("strangers") > STRANGERS))
-    return met.unionByName(starred).groupBy("a", "b").agg(F.max("more").alias("more"))
 
+ASKED = "key long, node long, n long, rest long, small boolean"
 
-def _tables(classes: DataFrame) -> DataFrame:
-    """(key, node): the tables of every set, a pair of a left and a right band. Bands that no other set has are left
-    out before the pairs are formed, as their tables hold one set."""
-    bands = classes.select("node", F.explode(F.concat("left", "right")).alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("nodes")).where("nodes > 1").select("band")
-    mine = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("bands"))  # 2 * BANDS at most
-    halves = classes.join(mine, "node").select("node", F.array_intersect("left", "bands").alias("left"), F.array_intersect("right", "bands").alias("right"))
-    one = halves.select("node", "right", F.explode("left").alias("l"))
-    return one.select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node").distinct()
 
+def _keys(percent: int):
+    """(key, node, n, rest, small): the places where a set meets others, from its shingles that other sets share.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Of two linked sets, sizes n <= m, the first shingle that both have leaves at least percent * (n + m) / (100 + percent)
+    of either from there on (``rest``). So the smaller one is found under few shingles, and only there where its size is
+    one that the larger one can be linked with; a set too much of which is its own is found nowhere.
+    """
+    total = 100 + percent
+
+    def keys(batches):
+        for batch in batches:
+            out = []
+            for node, n, listed in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("shingles")):
+                rests, known = len(listed), listed.values.field("shingle").to_pylist()
+                low = -(-percent * n // 100)
+                for rest in range(rests, low - 1, -1):
+                    shingle = known[rests - rest]
+                    if rest * total >= 2 * percent * n:
+                        out.append((shingle, _step(n), node, n, rest, True))
+                    high = min(n, rest * total // percent - n)
+                    if high >= low:
+                        out += [(shingle, step, node, n, rest, False) for step in range(_step(low), _step(high) + 1)]
+            if out:
+                shingle, step, node, n, rest, small = zip(*out)
+                key = mix(np.array(shingle, np.int64).view(np.uint64) + np.array(step, np.int64).view(np.uint64) * _PLACE[2])
+                columns = [pa.array(key.view(np.int64)), *map(pa.array, (node, n, rest, small))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "rest", "small"])
+
+    return keys
+
+
+def _rare_pairs(texts_: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of ``texts_`` (node, text) that can be linked and are not joined yet.
+
+    Under each key the nodes outside its largest component are strangers; a pair has one of them at least.
+    """
+    listed = stored(texts_.mapInArrow(_listed, "node long, n long, shingle long"))
+    common = listed.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    # The list is one text's own, in the order of all.
+    shared = listed.join(common, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "shingle"))).alias("shingles"))
+    rows = shared.mapInArrow(_keys(percent), ASKED).join(joined, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    rows = stored(rows)
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    live = stored(rows.join(keys.select("key", F.col("main.component").alias("main")), "key").withColumn("stranger", F.col("component") != F.col("main")))
+    small = live.where("small").select("key", *[F.col(c).alias(f"small_{c}") for c in ("node", "n", "rest", "component", "stranger")])
+    large = live.where("not small").drop("small", "main")
+    near = (F.col("small_n") <= F.col("n")) & ((100 + percent) * F.least("small_rest", "rest") >= percent * (F.col("small_n") + F.col("n")))
+    found = [
+        one.join(two, "key").where(near & (F.col("small_component") != F.col("component"))).select(F.least("small_node", "node").alias("a"), F.greatest("small_node", "node").alias("b"))
+        for one, two in ((small.where("small_stranger"), large), (small.where("not small_stranger"), large.where("stranger")))
+    ]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, first): of each row its id, a hash of its text (``mark``), its size, and the least (doc_id, mark)
+    of its group; null ids are NULL_ID."""
+    narrow = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketches = stored(narrow.mapInArrow(_sketch(_bands(percent)), SKETCH))
+    # Sums of the map tasks: a huge group of equal texts is one row of each.
+    sets = sketches.where("n > 0").groupBy("set1", "set2")
+    sets = sets.agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("left").alias("left"), F.first("right").alias("right"))
+    classes = stored(sets.withColumn("node", F.monotonically_increasing_id()))  # stored, so the numbers stay
+    rows = stored(_tables(classes))
+    wanted = classes.join(rows.select("node").distinct(), "node").select("node", "first.doc_id", "first.mark")
+    held = stored(narrow.join(wanted, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+    pairs = stored(_stars(rows))
+    links = _links(pairs, held, percent)
+    joined = components(links)
+    # Leaders with members that did not join them: any two of their members may still be linked.
+    of = lambda name: joined.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = placed.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a").distinct()
+    live = pairs.join(apart, "a").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = _links(stored(_rare_pairs(held.join(live, "node"), joined, percent)), held, percent)
+    joined = components(links.unionByName(more))
+    groups = classes.join(joined, "node", "left").select("set1", "set2", "first", F.coalesce("component", "node").alias("component"))
+    groups = stored(groups)
+    least = groups.groupBy("component").agg(F.min("first").alias("first"))
+    of_set = groups.drop("first").join(least, "component").select("set1", "set2", "first")
+    found = sketches.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set1", "set2").join(of_set, ["set1", "set2"], "left")
+    return found.select("doc_id", "mark", "n_shingles", F.coalesce("first", F.struct("doc_id", "mark")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Groups of texts whose word shingles overlap: a row for each row of ``docs`` with doc_id, n_shingles,
     component_id (the smallest id that is reachable over links) and kept (it is its own).
 
-    Texts with equal sets are one node. Nodes that share a table are compared with one of them, the leader; those that
-    are not joined by that go on to a next round, in which they meet under the keys of ``_prefix``, until none are left.
-    So no link of a table is lost, and no pair but a leader's is formed unless rare shingles and the sizes of what both
-    share with some of their group ask for it.
+    Texts with equal sets are one node. Nodes that share a table are compared with one of them, the leader; the members of
+    leaders that some did not join are compared with each other where they share rare shingles. So no link of a table is
+    lost, and no pair but a leader's is formed unless its sizes and the places of what it shares allow a link.
 
     A text without words, and null, has 0 shingles and no links. A null id counts as smaller than all others. Rows that
-    repeat an id are one node, whatever their texts. An empty table gives an empty result.
+    repeat an id are told apart by their texts; their ids decide about ``kept``. An empty table gives an empty result.
     """
-    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    sketches = stored(narrow.mapInArrow(_sketch, SKETCH))
-    # Sums of the map tasks: a huge group of equal texts is one row of each.
-    classes = stored(
-        sketches.where("n > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("left").alias("left"), F.first("right").alias("right"))
-    )
-    rows = stored(_tables(classes))
-    held = stored(narrow.join(rows.select("node").distinct(), F.col("doc_id") == F.col("node")).select("node", "text"))
-    pairs, links, joined = stored(_first_pairs(rows)), None, None
-    while not pairs.isEmpty():
-        tested = stored(_families(pairs, held))
-        new = tested.where("link").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        joined = components(links)
-        pairs = stored(_next_pairs(_keyed(tested), joined))
-    grouped = sketches.join(classes.select("set1", "set2", "node"), ["set1", "set2"], "left")
-    grouped = grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-    component = F.col("node")
-    if joined is not None:
-        grouped, component = grouped.join(joined, "node", "left"), F.coalesce("component", "node")
+    found = _classified(docs, id_col, text_col, percent)
     real = lambda c: F.when(c != NULL_ID, c)
-    return grouped.select(
+    component = F.col("first.doc_id")
+    return found.select(
         real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of ``near_duplicates``, that of the smallest id. Rows that repeat an id are
+    documents of their own if their texts differ; rows that repeat id and text are one and stay or go together."""
+    found = _classified(docs, id_col, text_col, percent)
+    kept = stored(found.where(F.col("first") == F.struct("doc_id", "mark")).select("doc_id", "mark").distinct())
+    other = kept.toDF("_llm_id", "_llm_mark")
+    mine = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(other, (mine[0] == other["_llm_id"]) & (mine[1] == other["_llm_mark"]), "left_semi")

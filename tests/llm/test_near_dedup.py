@@ -2,7 +2,7 @@ import random
 import re
 
 from relrank.llm.graph import components
-from relrank.llm.near_dedup import near_duplicates
+from relrank.llm.near_dedup import drop_near_duplicates, near_duplicates
 from relrank.llm.queries import QUERIES
 from tests.llm.conftest import HARD
 
@@ -15,7 +15,7 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """{id: (n_shingles, component_id)} from all pairs."""
     found = {i: sets(t) for i, t in rows}
     parent = {i: i for i in found}
@@ -33,7 +33,7 @@ def brute(rows):
     pairs = {(a, b) for own in holders.values() for k, b in enumerate(own) for a in own[:k]}
     for a, b in pairs:
         both = len(found[a] & found[b])
-        if 100 * both >= 85 * (len(found[a]) + len(found[b]) - both):
+        if 100 * both >= percent * (len(found[a]) + len(found[b]) - both):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     return {i: (len(found[i]), root(i)) for i in ids}
@@ -77,6 +77,26 @@ def test_hard_cases(hard):
     assert near_duplicates(hard.where("false")).count() == 0
 
 
+def test_other_similarities(documents):
+    """Families whose members stand just around the bound, most of them apart from their leader."""
+    draw = random.Random(9)
+    rows = [r for k in range(3) for r in family(draw, 80, 1000 * k, words=60)]
+    for percent in (80, 95):
+        want = brute(rows, percent)
+        assert result(near_duplicates(documents(rows), percent=percent)) == want
+        assert len({c for _, c in want.values()}) > 20
+
+
+def test_rows_of_one_id(documents):
+    """What stays is a matter of rows, not of ids: no text is lost because another of its id goes."""
+    one, two, three = ("".join(f"{w}{i} " for i in range(50)) for w in "abc")
+    rows = [(3, one), (5, one + "x"), (5, two), (None, two + "y"), (7, three), (7, three), (None, ""), (8, None)]
+    kept = drop_near_duplicates(documents(rows))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(3, one), (None, two + "y"), (7, three), (7, three), (None, ""), (8, None)], key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20, 60)] + [(7, 3), (3, 9), (9, 7), (5, 5)] + [(100, 100 + i) for i in range(1, 50)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -37,7 +37,7 @@ _BRUTE = {}
 def brute_of(docs):
     key = tuple(i for i, _ in docs)
     if key not in _BRUTE:
-        _BRUTE[key] = {i: c for i, (_, c) in brute(docs).items()}
+        _BRUTE[key] = {i: c for i, (_, c) in brute(docs, 80).items()}
     return _BRUTE[key]
 
 
