@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from relrank.llm import byte_bpe
-from relrank.llm.common import keep_ids, stored, table
+from relrank.llm.common import stored, table
 from relrank.llm.decontamination import drop_leaks
 from relrank.llm.exact_dedup import drop_exact_duplicates
 from relrank.llm.language_id import keep_identified, learn
-from relrank.llm.near_dedup import near_duplicates
+from relrank.llm.near_dedup import drop_near_duplicates
 from relrank.llm.queries import byte_vocabulary
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_ids(docs, stored(near_duplicates(docs).where("kept").select("doc_id").distinct()))
+    """One document of each group of near-duplicates, of a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, percent=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
