@@ -3,8 +3,8 @@
 Documents are cut into overlapping windows of words, passages into parts that are no longer than a window. A basis of
 the parts' TF-IDF rows, from a distributed randomised SVD whose rank is their number, embeds parts and windows; where a
 window is near a part, the passage is checked by the longest common subsequence of its words and by its rarest words, its
-answer. The statistics cover all documents, and every window of every document meets every part of every passage; parts
-come in blocks, so that what is broadcast has a bound.
+answer. The statistics cover all documents, and every window of every document meets every part of every passage. Parts
+come in blocks and blocks in rounds, so that what is broadcast has a bound; a round reads the documents once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from relrank.llm.licenses import SEPARATORS
 
 FEATURES = 1 << 18  # hashed words
 STEP = 16  # words between windows; a window has two steps
-BLOCK = 512  # parts of passages per basis and broadcast, about
+BLOCK = 256  # parts of passages per basis, about
+BLOCKS_AT_ONCE = 32  # that one reading of the documents meets; 100 MB or so
+GROUP = 20  # parts of a block that are ruled out together, about
+WINDOWS = 8192  # of a text, looked at together
 OVERSAMPLE = 10  # a basis has a vector for every part, so that it keeps the parts whole
 COSINE = 0.25  # or as large a share of the part, so that rare words around common ones hide nothing
 COMMON = 0.6  # of a passage's words, in order, must stand in the text around the window
@@ -154,6 +157,65 @@ def basis(passages: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray,
     return table.column("feature").to_numpy(), np.ascontiguousarray(left[:, :rank], np.float32)
 
 
+def _grouped(vectors: np.ndarray) -> np.ndarray:
+    """Parts (in columns) in groups of about GROUP alike ones: a few rounds of k-means on the sphere."""
+    count = -(-vectors.shape[1] // GROUP)
+    unit = vectors.T / np.maximum(np.linalg.norm(vectors, axis=0)[:, None], 1e-9)
+    centres = unit[np.random.default_rng(5).choice(len(unit), count, replace=False)]
+    for _ in range(10):
+        near = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, unit)
+        norms = np.linalg.norm(sums, axis=1)[:, None]
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-9), centres)
+    return (unit @ centres.T).argmax(axis=1)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """The steps of a slice of texts and its windows: a window is two steps, a text of one step a window of its own."""
+
+    feature: np.ndarray  # of every word
+    begin: np.ndarray  # first word of each step
+    end: np.ndarray
+    owner: np.ndarray  # text of each step
+    step: np.ndarray  # first step of each window
+    after: np.ndarray  # second one, or the first again
+    both: np.ndarray  # 1.0 if there are two
+    norm: np.ndarray  # of each window's TF-IDF row; every word counts singly
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, energy: np.ndarray) -> Windows:
+        feature = _feature(hashes)
+        text = np.repeat(np.arange(len(counts)), counts)
+        first = np.cumsum(counts) - counts
+        begin = np.flatnonzero((np.arange(len(hashes)) - first[text]) % STEP == 0)
+        owner = text[begin]
+        whole = np.add.reduceat(energy[feature], begin)
+        paired = np.append(owner[1:] == owner[:-1], False)
+        alone = ~paired & np.append(True, owner[1:] != owner[:-1])
+        step = np.flatnonzero(paired | alone)
+        after = np.where(paired[step], step + 1, step)
+        both = paired[step].astype(np.float32)
+        norm = np.sqrt(np.maximum(whole[step] + both * whole[after], 1e-9))
+        return cls(feature, begin, np.append(begin[1:], len(hashes)), owner, step, after, both, norm)
+
+    def words_of(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``steps``, word) of every word of these steps, in order."""
+        sizes = self.end[steps] - self.begin[steps]
+        row = np.repeat(np.arange(len(steps)), sizes)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - self.begin[steps], sizes)
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """Sums of ``values`` of equal ``rows`` (rising)."""
+    out = np.zeros((count, *values.shape[1:]), np.float32)
+    if len(rows):
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        out[rows[starts]] = np.add.reduceat(values, starts)
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """A block of passages in the latent space, about BLOCK parts."""
@@ -164,10 +226,9 @@ class Index:
     owner: np.ndarray  # the passage of each part
     vectors: np.ndarray  # (rank, parts)
     full: np.ndarray  # the product of each part with its own distinct words
-    place: np.ndarray  # row of a feature in loadings, or -1
+    features: np.ndarray  # of all parts, rising
     loadings: np.ndarray  # (features, rank), times the feature's weight
-    energy: np.ndarray  # square of every feature's weight
-    reach: np.ndarray  # the most that a feature adds to a window's product with any part
+    reach: np.ndarray  # (features, groups): the most that a feature adds to a window's product with a part of the group
     share: np.ndarray  # the same in parts of ``full``
 
     @classmethod
@@ -176,8 +237,6 @@ class Index:
         block = passages if "begin" in passages.columns else pieces(passages)
         found = list(_part_rows(block.orderBy("doc_id", "text", "begin").toArrow().to_batches(), idf))  # about BLOCK parts
         features, loadings = basis(block, idf, max(1, sum(len(parts) for _, _, parts in found)))
-        place = np.full(FEATURES, -1, np.int32)
-        place[features] = np.arange(len(features))
         ids, own_words, answers, owner, vectors, full = [], [], [], [], [], []
         for key, own, parts in found:
             distinct = np.unique(own)
@@ -185,69 +244,45 @@ class Index:
             answers.append(distinct[order[: max(1, round(ANSWER_PART * len(distinct)))]])
             for at, row in parts:
                 owner.append(len(ids))
-                vectors.append(row.astype(np.float32) @ loadings[place[at]])
+                vectors.append(row.astype(np.float32) @ loadings[np.searchsorted(features, at)])
                 full.append(float(row @ idf[at]))
             ids.append(key)
             own_words.append(own)
         stacked = np.array(vectors, np.float32).T if vectors else np.zeros((loadings.shape[1], 0), np.float32)
-        reach, share = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
-        whole = np.array(full, np.float32)
+        whole, weight = np.array(full, np.float32), idf[features][:, None]
+        reach, share = (np.zeros((len(features), 0), np.float32) for _ in range(2))
         if vectors:
-            most = np.abs(loadings @ stacked)
-            reach[features] = most.max(axis=1) * idf[features]
-            share[features] = (most / whole).max(axis=1) * idf[features]
-        return cls(ids, own_words, answers, np.array(owner, np.int64), stacked, whole, place, loadings * idf[features][:, None], idf.astype(np.float32) ** 2, reach, share)
-
-    def candidates(self, hashes: np.ndarray, counts: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
-        """(first word, last word + 1, text, passage, cosine) of the windows that are near a part of a passage, nearest first.
-
-        The cosine's norm takes every word of a window singly; a word that a step repeats counts once in the product.
-        Near is a cosine of at least ``cosine``, or such a share of the part's product with itself: of two neighbouring
-        windows that hold a verbatim part, one holds half of it, whatever stands around it.
-        Windows whose words cannot add up to that with any part are not embedded.
+            most, group = np.abs(loadings @ stacked) * weight, _grouped(stacked)
+            held = [group == g for g in np.unique(group)]
+            reach = np.stack([most[:, own].max(axis=1) for own in held], axis=1)
+            share = np.stack([(most[:, own] / whole[own]).max(axis=1) for own in held], axis=1)
+        return cls(ids, own_words, answers, np.array(owner, np.int64), stacked, whole, features, loadings * weight, reach, share)
+
+    def candidates(self, windows: Windows, chosen: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
+        """(first word, last word + 1, text, passage, cosine) of those ``chosen`` windows that are near a part of a
+        passage, nearest first.
+
+        A word that a step repeats counts once in the product. Near is a cosine of at least ``cosine``, or such a share of
+        the part's product with itself: of two neighbouring windows that hold a verbatim part, one holds half of it,
+        whatever stands around it.
         """
-        feature = _feature(hashes)
-        text = np.repeat(np.arange(len(counts)), counts)
-        first = np.cumsum(counts) - counts
-        begin = np.flatnonzero((np.arange(len(hashes)) - first[text]) % STEP == 0)
-        owner = text[begin]
-        whole = np.add.reduceat(self.energy[feature], begin)
-        mine = np.add.reduceat(self.reach[feature], begin)
-        shared = np.add.reduceat(self.share[feature], begin)
-        # A window is two steps; a text of one step is a window of its own.
-        paired = np.append(owner[1:] == owner[:-1], False)
-        alone = ~paired & np.append(True, owner[1:] != owner[:-1])
-        step = np.flatnonzero(paired | alone)
-        after = np.where(paired[step], step + 1, step)
-        both = (paired[step]).astype(np.float32)
-        norm2 = whole[step] + both * whole[after]
-        far = 1.001 * (mine[step] + both * mine[after]) >= cosine * np.sqrt(norm2)
-        far |= 1.001 * (shared[step] + both * shared[after]) >= cosine
-        step, after, both, norm2 = step[far], after[far], both[far], norm2[far]
-        if not len(step):
-            return (np.zeros(0, np.int64),) * 5
-        used = np.zeros(len(begin), bool)
-        used[step] = used[after] = True
-        number = np.cumsum(used) - 1
-        part = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(hashes))))
-        at = np.flatnonzero(used[part])
-        at = at[self.place[feature[at]] >= 0]
-        cell = np.unique((number[part[at]].astype(np.int64) << 32) | self.place[feature[at]])  # once per step
-        rows = (cell >> 32).astype(np.int64)
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-        embedded = np.zeros((int(used.sum()), self.loadings.shape[1]), np.float32)
-        if len(rows):
-            embedded[rows[starts]] = np.add.reduceat(self.loadings[cell & 0xFFFFFFFF], starts)
-        vectors = embedded[number[step]] + both[:, None] * embedded[number[after]]
-        product, norm = vectors @ self.vectors, np.sqrt(np.maximum(norm2, 1e-9))
+        step, after, both, norm = (x[chosen] for x in (windows.step, windows.after, windows.both, windows.norm))
+        used = np.unique(np.append(step, after))
+        row, word = windows.words_of(used)
+        feature = windows.feature[word]
+        place = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
+        mine = self.features[place] == feature
+        cell = np.unique((row[mine] << 32) | place[mine])  # once per step
+        embedded = _sums(cell >> 32, self.loadings[cell & 0xFFFFFFFF], len(used))
+        vectors = embedded[np.searchsorted(used, step)] + both[:, None] * embedded[np.searchsorted(used, after)]
+        product = vectors @ self.vectors
         row, part = np.nonzero(product >= cosine * np.minimum(norm[:, None], self.full))
         near = product[row, part] / norm[row]
         order = np.argsort(-near, kind="stable")
         _, once = np.unique((row[order] * len(self.ids)) + self.owner[part[order]], return_index=True)  # a window meets a passage once
         order = order[np.sort(once)]
         row, passage = row[order], self.owner[part[order]]
-        end = np.append(begin[1:], len(hashes))[after[row]]
-        return begin[step[row]], end, owner[step[row]], passage, near[order]
+        return windows.begin[step[row]], windows.end[after[row]], windows.owner[step[row]], passage, near[order]
 
     def confirm(self, own: np.ndarray, passage: int) -> tuple[float, float]:
         """The part of the passage's words that stand in ``own`` in order, and the part of its answer that is there."""
@@ -273,23 +308,64 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 HITS = "doc_id long, item_id long, cosine double, common double, answer double"
 
 
-def _scan(index, cosine: float):
+class Sieve:
+    """Which windows may be near a part of which block: for every word, the most that it adds for a group of parts.
+    Windows whose words cannot add up to enough for any group of a block are not embedded for it."""
+
+    def __init__(self, blocks: list[Index], idf: np.ndarray):
+        self.energy = idf.astype(np.float32) ** 2
+        features = np.unique(np.concatenate([b.features for b in blocks]))
+        self.place = np.full(FEATURES, -1, np.int32)
+        self.place[features] = np.arange(len(features))
+        self.groups = np.cumsum([0, *(b.reach.shape[1] for b in blocks)])
+        self.reach, self.share = (np.zeros((len(features), self.groups[-1]), np.float32) for _ in range(2))
+        for block, low, high in zip(blocks, self.groups, self.groups[1:]):
+            at = self.place[block.features]
+            self.reach[at, low:high], self.share[at, low:high] = block.reach, block.share
+
+    def chosen(self, windows: Windows, cosine: float):
+        """(number of a block, windows to look at), WINDOWS at a time."""
+        for start in range(0, len(windows.step), WINDOWS):
+            some = np.arange(start, min(start + WINDOWS, len(windows.step)))
+            step, after, both = windows.step[some], windows.after[some], windows.both[some]
+            used = np.arange(step[0], after[-1] + 1)
+            row, word = windows.words_of(used)
+            place = self.place[windows.feature[word]]
+            row, place = row[place >= 0], place[place >= 0]
+            far = np.ones((len(some), self.groups[-1]), bool)
+            for most, bound in ((self.reach, cosine * windows.norm[some][:, None]), (self.share, cosine)):
+                sums = _sums(row, most[place], len(used))
+                far &= 1.001 * (sums[step - step[0]] + both[:, None] * sums[after - step[0]]) < bound
+            for number, (low, high) in enumerate(zip(self.groups, self.groups[1:])):
+                near = some[~far[:, low:high].all(axis=1)]
+                if len(near):
+                    yield number, near
+
+
+HITS = "doc_id long, item_id long, cosine double, common double, answer double"
+
+
+def _scan(sieve, blocks: list, cosine: float):
+    """``sieve`` and ``blocks`` are broadcast."""
+
     def scan(batches):
-        block: Index = index.value
         for batch, data, offsets in slices(batches):
             hashes, counts, first = _words(data, offsets)
             if not len(hashes):
                 continue
+            windows = Windows.of(hashes, counts, sieve.value.energy)
             keys, best = batch.column("doc_id").to_pylist(), {}
-            for begin, end, text, passage, near in zip(*(x.tolist() for x in block.candidates(hashes, counts, cosine))):
-                if best.get((text, passage), (0, 0, 0))[0] == 1:
-                    continue  # nearer and whole: no other window is better
-                reach = len(block.words[passage])
-                low, high = max(begin - reach, int(first[text])), min(end + reach, int(first[text] + counts[text]))
-                common, answer = block.confirm(hashes[low:high], passage)
-                if common >= COMMON and answer >= ANSWER:
-                    best[text, passage] = max(best.get((text, passage), (0, 0, 0)), (common, near, answer))
-            rows = [(keys[t], block.ids[p], near, common, answer) for (t, p), (common, near, answer) in best.items()]
+            for number, chosen in sieve.value.chosen(windows, cosine):
+                block: Index = blocks[number].value
+                for begin, end, text, passage, near in zip(*(x.tolist() for x in block.candidates(windows, chosen, cosine))):
+                    if best.get((text, number, passage), (0, 0, 0))[0] == 1:
+                        continue  # nearer and whole: no other window is better
+                    reach = len(block.words[passage])
+                    low, high = max(begin - reach, int(first[text])), min(end + reach, int(first[text] + counts[text]))
+                    common, answer = block.confirm(hashes[low:high], passage)
+                    if common >= COMMON and answer >= ANSWER:
+                        best[text, number, passage] = max(best.get((text, number, passage), (0, 0, 0)), (common, near, answer))
+            rows = [(keys[t], blocks[n].value.ids[p], near, common, answer) for (t, n, p), (common, near, answer) in best.items()]
             columns = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "cosine", "common", "answer"])
@@ -323,10 +399,10 @@ def find_leaks(
     # Blocks by a hash: of about equal size, whatever the ids.
     order = F.pmod(F.xxhash64("doc_id", "text", "begin"), F.lit(blocks))
     result = None
-    for number in range(blocks):
-        own = items.where(order == number) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index.of(own, idf))
-        found = narrow.mapInArrow(_scan(index, cosine), HITS)
+    for start in range(0, blocks, BLOCKS_AT_ONCE):
+        own = [Index.of(items.where(order == number), idf) for number in range(start, min(start + BLOCKS_AT_ONCE, blocks))]
+        sieve, shared = spark.sparkContext.broadcast(Sieve(own, idf)), [spark.sparkContext.broadcast(index) for index in own]
+        found = narrow.mapInArrow(_scan(sieve, shared, cosine), HITS)
         result = found if result is None else result.unionByName(found)
     return result.groupBy("doc_id", "item_id").agg(
         F.max_by("cosine", F.struct("common", "cosine")).alias("cosine"), F.max("common").alias("common"), F.max("answer").alias("answer")

@@ -82,7 +82,12 @@ def test_blocks_and_hard_cases(spark, hard, sample, documents, monkeypatch):
     docs = documents([(100 + j, "some words " + x) for j, x in items[:9]]).unionByName(hard.select("doc_id", "text", "lang", "source", "n_chars"))
     want = {(100 + j, j) for j, _ in items[:9]} | {(100 + items[0][0], 52)}
     assert found(d.find_leaks(docs, benchmark)) == want
-    monkeypatch.setattr(d, "BLOCK", 3)
+    monkeypatch.setattr(d, "BLOCK", 1)
+    many = d.find_leaks(docs, benchmark)
+    assert found(many) == want
+    plan = many._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow scan(") == 1  # one reading of the documents for all blocks
+    monkeypatch.setattr(d, "BLOCKS_AT_ONCE", 4)
     assert found(d.find_leaks(docs, benchmark)) == want
     kept = d.drop_leaks(hard.withColumn("item_id", hard.doc_id), benchmark)
     assert kept.count() == len(HARD) and "item_id" in kept.columns
