@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relrank.functions.text import clean, doc_text, parse_annotation
 from relrank.operators.ordering import head_of_group, run_order, running_totals
 from relrank.schemas import require_columns
+from relrank.session import checkpoint
 
 
 def positives(qrels: DataFrame, label: int = 1) -> DataFrame:
@@ -126,6 +127,7 @@ def map_run(
     """
     if only is not None:
         run = run.join(only.select("qid"), "qid", "left_semi")
+    run = checkpoint(run.select("qid", "docid", "rank", "score"))  # read twice: for the documents, and for the rows
     # Only documents of the run are cleaned and prepared.
     docs = prune_docs(docs, run.select("docid").distinct() if k is None else required_docs(run, k))
     return (
@@ -217,15 +219,22 @@ def positions(run: DataFrame, k: int | None = None) -> DataFrame:
     return numbered.withColumn("pos", (F.col("pos") - 1).cast("int"))
 
 
-def pair_candidates(run: DataFrame, k: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+PAIR_BLOCK = 64  # candidates of a query that meet those of another block in one task
+
+
+def pair_candidates(run: DataFrame, k: int | None = None, carry: Sequence[str] = (), block: int = PAIR_BLOCK) -> DataFrame:
     """Every pair (a before b) among the candidates of a query, or among its first k: n(n-1)/2 rows for n of them.
 
-    Comparing all pairs is what the method asks for; cap the run first (``head_per_query``) where lists are long.
+    Comparing all pairs is what the method asks for; cap the run first (``head_per_query``) where lists are long. The
+    candidates of a query stand in blocks; each two blocks are a key of the join, so that a long list is dealt out over the
+    tasks, and a document is sent once for each block instead of once for each pair.
 
     ``carry`` names document columns to bring along; they get the suffixes _a and _b.
     """
-    top = positions(run, k)
     columns = ["pos", "docid", *carry]
-    a = top.select("qid", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = top.select("qid", *[F.col(c).alias(f"{c}_b") for c in columns])
-    return a.join(b, "qid").where(F.col("pos_a") < F.col("pos_b"))
+    top = checkpoint(positions(run, k).select("qid", *columns)).withColumn("_own", F.floor(F.col("pos") / block))
+    last = top.groupBy("qid").agg(F.max("_own").alias("_last"))
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in columns]
+    a = top.join(last, "qid").select("qid", F.col("_own").alias("_one"), F.explode(F.sequence("_own", "_last")).alias("_two"), *side("a"))
+    b = top.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), "_own")).alias("_one"), F.col("_own").alias("_two"), *side("b"))
+    return a.join(b, ["qid", "_one", "_two"]).where(F.col("pos_a") < F.col("pos_b")).drop("_one", "_two")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relrank.operators.candidates import join_qrels, judgments
 from relrank.operators.ordering import PIECE_ROWS, evaluation_order, head_of_group, running_totals
+from relrank.session import checkpoint
 
 CUTOFFS = (1, 5, 10, 100)
 
@@ -85,6 +86,7 @@ def average_precision(
 ) -> DataFrame:
     """Average precision per query. ``depth`` looks at the first documents only; the divisor stays the
     number of relevant documents in the judgments."""
+    qrels = checkpoint(judgments(qrels))
     ranked = _ranked(run, qrels, depth, min_rel, piece_rows)
     sums = ranked.groupBy("qid").agg(_precision_sum(min_rel).alias("_sum"))
     return _with_ideal(sums, _relevant_counts(qrels, min_rel)).select(
@@ -116,7 +118,7 @@ def evaluate_by_query(
     run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, piece_rows: int | None = PIECE_ROWS
 ) -> DataFrame:
     """precision@10, map and nDCG at 1, 5, 10 and 100 per query, from one ranking of the run."""
-    values = _all_values(run, qrels, piece_rows).drop("AP(rel=2)@100")
+    values = _all_values(run, checkpoint(judgments(qrels)), piece_rows).drop("AP(rel=2)@100")
     if queries is None:
         return values
     with_text = values.join(queries.select("qid", "query"), "qid", "left")
@@ -124,7 +126,7 @@ def evaluate_by_query(
 
 
 def _all_values(run: DataFrame, qrels: DataFrame, piece_rows: int | None) -> DataFrame:
-    """Every reported metric per query, from one ranking of the run and one of the judgments."""
+    """Every reported metric per query, from one ranking of the run and one of the judgments, which is read four times."""
     grades = {"hits": 1, "hits_2": 2}
     judged = join_qrels(run.select("qid", "docid", "score"), qrels)
     totals = {"rnk": F.lit(1), **{name: (F.col("label") >= g).cast("int") for name, g in grades.items()}}
@@ -155,6 +157,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, denominator: str = "qrels", piece
     """
     if denominator not in ("qrels", "run"):
         raise ValueError(f"denominator must be 'qrels' or 'run', not {denominator!r}")
+    qrels = checkpoint(judgments(qrels))
     values = _all_values(run, qrels, piece_rows)
     names = values.columns[1:]
     if denominator == "qrels":

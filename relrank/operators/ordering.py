@@ -10,7 +10,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_ROWS = 1 << 20  # mean rows of a piece that one task sums up
+from relrank.session import checkpoint
+
+PIECE_ROWS = 1 << 20  # rows of a piece that one task sums up, about
 GROUP_LIMIT = 1000  # up to here Spark drops rows past k in the map tasks
 
 
@@ -35,19 +37,6 @@ def _names(order: Sequence[str]) -> list[str]:
     return [name.removeprefix("-") for name in order]
 
 
-def _not_after(one: Column, order: Sequence[str]) -> Column:
-    """Does the struct ``one`` stand before the row, or at its place?"""
-    found = F.lit(True)
-    for name in reversed(order):
-        a, b = one[name.removeprefix("-")], F.col(name.removeprefix("-"))
-        if name.startswith("-"):
-            before = (a.isNotNull() & b.isNull()) | F.coalesce(a > b, F.lit(False))
-        else:
-            before = (a.isNull() & b.isNotNull()) | F.coalesce(a < b, F.lit(False))
-        found = before | (a.eqNullSafe(b) & found)
-    return found
-
-
 def _cumulate(df: DataFrame, by: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     upto = Window.partitionBy(*by).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(value).over(upto).alias(name) for name, value in totals.items()])
@@ -62,30 +51,28 @@ def running_totals(
 ) -> DataFrame:
     """Add the running sum of each column of ``totals`` inside every ``by`` group, in ``order``.
 
-    ``F.lit(1)`` as a total gives the row number; ``order`` should end in a unique column. Rows whose hash falls into one
-    part in ``piece_rows`` cut their group into pieces, so a small group is one piece, and a huge one has pieces in
-    proportion; pieces are summed over many tasks and shifted by the sums of the earlier ones. The cuts are a matter of
-    the rows alone, so nothing is counted up front or stored. ``piece_rows=None`` leaves groups whole, where a cap
-    already bounds them. Rows with a null in ``by`` are one piece.
+    ``F.lit(1)`` as a total gives the row number; ``order`` should end in a unique column. A prefix scan in two passes:
+    the rows are stored, in ranges of about ``piece_rows`` of the order by group and place; each piece of a group is summed
+    up by a task of its own, and shifted by the sums of the group's earlier pieces. So ``df`` is read once, and one group of
+    any size costs as much as many small ones. ``piece_rows=None`` leaves groups whole, where a cap already bounds them,
+    and stores nothing.
     """
     by = list(by)
     if piece_rows is None:
         return _cumulate(df, by, order, totals)
 
-    group = by or ["_all"]
-    whole = df if by else df.withColumn("_all", F.lit(0))
-    names = _names(order)
-    place = F.struct(*names)
-    keys = whole.select(*group, place.alias("_at")).where(F.pmod(F.xxhash64(*group, *names), F.lit(piece_rows)) == 0)
-    cuts = keys.distinct().groupBy(*group).agg(F.collect_list("_at").alias("_cuts"))
-    piece = F.size(F.filter("_cuts", lambda cut: _not_after(cut, order)))
-    # Only groups with cuts have anything to shift; mostly there are none.
-    cut = whole.join(cuts, group).select(*group, piece.alias("_piece"), *[v.alias(f"_sum_{n}") for n, v in totals.items()])
-    sums = cut.groupBy(*group, "_piece").agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in totals])
-    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select(*group, "_piece", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_shift_{n}") for n in totals])
-    placed = whole.join(cuts, group, "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece)).drop("_cuts")
-    summed = _cumulate(placed, [*group, "_piece"], order, totals).join(shifts, [*group, "_piece"], "left")
+    rows = checkpoint(df)
+    pieces = -(-rows.count() // piece_rows) or 1
+    place = [F.asc(c) for c in by] + _columns(order)
+    ranged = checkpoint(rows.repartitionByRange(pieces, *place).withColumn("_piece", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_piece").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # pieces, not rows
+    shifts = sums.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_piece").alias("_shift_at"), *[F.sum(f"_sum_{n}").over(earlier).alias(f"_shift_{n}") for n in totals])
+    shifts = shifts.where(F.col(f"_shift_{next(iter(totals))}").isNotNull())  # only groups of several pieces
+    same = F.col("_piece") == F.col("_shift_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    summed = _cumulate(ranged, [*by, "_piece"], order, totals).join(shifts, same, "left")
     return summed.select(*df.columns, *[(F.col(n) + F.coalesce(f"_shift_{n}", F.lit(0))).alias(n) for n in totals])
 
 

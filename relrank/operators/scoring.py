@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from relrank.functions.text import WORD, pair_prompt, point_prompt, words
 from relrank.operators.candidates import map_run
 from relrank.operators.ordering import PIECE_ROWS, rerank_order, running_totals
 from relrank.schemas import require_columns
+from relrank.session import checkpoint
 
 
 class Scorer(Protocol):
@@ -55,12 +56,31 @@ class LexicalScorer:
         return df.withColumn("logits", F.array(self._found("doc_b"), self._found("doc_a")))
 
 
+SLICES = 1 << 16  # parts of the rows whose costs are summed before they are dealt out
+
+
+def deal_evenly(df: DataFrame, cost: Column, tasks: int) -> DataFrame:
+    """``df`` in ``tasks`` partitions of about equal total cost, each in order of cost.
+
+    Rows are stored under a random slice number; the slices' prefix sums of cost say which task a slice goes to. Only the
+    sums are ordered in one task, and broadcast.
+    """
+    rows = checkpoint(df.withColumns({"_cost": cost.cast("double"), "_slice": (F.rand(0) * SLICES).cast("int")}))
+    sums = rows.groupBy("_slice").agg(F.sum("_cost").alias("_sum"))
+    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = (F.sum("_sum").over(upto) - F.col("_sum") / 2) / F.sum("_sum").over(Window.partitionBy())
+    placed = sums.select("_slice", F.least(F.floor(middle * tasks), F.lit(tasks - 1)).cast("int").alias("_task"))
+    dealt = rows.join(F.broadcast(placed), "_slice").repartitionById(tasks, "_task")
+    return dealt.sortWithinPartitions("_cost").select(*df.columns)
+
+
 class PromptScorer:
     """Calls a model on batches of prompts.
 
     ``load`` runs once per task and returns the model: a function from a list of texts to an (n, 2) array.
-    Rows are first spread over ``tasks`` tasks, by default one per core, as a few megabytes of text can be
-    hours of work for a model and Spark sizes its tasks by bytes.
+    A few megabytes of text can be hours of work for a model, and Spark sizes its tasks by bytes: so the prompts are
+    stored, and dealt out to ``tasks`` tasks of equal text length, by default four per core. A batch has prompts of
+    like length.
     """
 
     def __init__(
@@ -81,8 +101,12 @@ class PromptScorer:
                 parts = [model(texts.iloc[i : i + size].tolist()) for i in range(0, len(texts), size)]
                 yield pd.Series([row for part in parts for row in np.asarray(part, dtype="float64")])
 
-        tasks = self.tasks or df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(tasks).withColumn("logits", logits(prompt))
+        tasks = self.tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+        return deal_evenly(df.withColumn("_prompt", prompt), F.length("_prompt") + 1, tasks).withColumn("logits", logits("_prompt")).drop("_prompt")
+
+    def texts(self, df: DataFrame) -> DataFrame:
+        """Score a table of prompts in the column ``text``."""
+        return self._call(df, F.col("text"))
 
     def point(self, df: DataFrame) -> DataFrame:
         return self._call(df, point_prompt("query", "doc"))

@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.functions.logits import predict
 from relrank.functions.text import point_prompt
-from relrank.operators.candidates import head_per_query, project_run
-from relrank.operators.classification import class_metrics, cross_entropy
+from relrank.operators.candidates import build_fair, head_per_query, project_run, to_qrels
+from relrank.operators.classification import class_metrics, confusion, cross_entropy
 from relrank.operators.fairness import fairness_by_query, fairness_report
 from relrank.operators.metrics import evaluate, evaluate_by_query, ndcg_tied
 from relrank.operators.pairwise import rank_by_mean_logit, rank_by_wins, score_doc_pairs, win_probability
 from relrank.operators.sampling import (
     balanced_ids, negative_ids, positive_ids, sample_negative, sample_positive, shuffle, split_train_test, with_text,
 )
-from relrank.operators.scoring import Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs, score_run
-from relrank.schemas import require_columns
+from relrank.operators.scoring import PromptScorer, Scorer, TrainedScorer, classify, fit_pair_scorer, rerank, score_pairs, score_run
+from relrank.schemas import FAIR, require_columns
 from relrank.session import checkpoint
-from relrank.sources.writers import write_run
+from relrank.sources.readers import read_fair_tree, read_prompts, read_tsv
+from relrank.sources.writers import write_qrels, write_run, write_tsv
 
 
 def training_pairs(
@@ -101,6 +102,7 @@ def judge(
     """Ranking metrics, overall and per query, and the annotation mixes if wanted. ``k`` cuts the lists first."""
     if k is not None:
         scored = head_per_query(scored, k)
+    scored, qrels = checkpoint(scored), checkpoint(qrels)
     report = Report(evaluate(scored, qrels), evaluate_by_query(scored, qrels, queries))
     if fairness:
         require_columns(scored, "annotation", "prediction")
@@ -109,6 +111,25 @@ def judge(
     return report
 
 
+def evaluate_classifier(spark: SparkSession, path: str, scorer: TrainedScorer | PromptScorer) -> DataFrame:
+    """Judge a classifier on a labelled prompt file (text, label): one row of accuracy, precision, recall, f1, the cells
+    of the confusion matrix, and the loss. The prompts are scored once and the scores stored."""
+    scored = scorer.texts(read_prompts(spark, path)).select("label", "logits", predict("logits").alias("prediction"))
+    scored = checkpoint(scored)
+    one = lambda df, names: {c: df.select(c).scalar() for c in names}
+    cells = confusion(scored)
+    return class_metrics(scored).withColumns({**one(cells, cells.columns), "loss": cross_entropy(scored).scalar()})
+
+
+def fair_dataset(spark: SparkSession, root: str, path: str, qrels_path: str) -> DataFrame:
+    """From the fairness folders to the data set file and its judgment file; returns the data set as it was written."""
+    docs, annotations = read_fair_tree(spark, root)
+    write_tsv(build_fair(docs, annotations).select(*FAIR.names), path)
+    written = read_tsv(spark, path, FAIR, multi_line=True)
+    write_qrels(to_qrels(written), qrels_path)
+    return written
+
+
 def rank_pairwise(mapped: DataFrame, scorer: Scorer | None = None, k: int | None = None, method: str = "wins") -> DataFrame:
     """Rank the documents of each query, or its first k, by comparing them, by 'wins' or by 'mean_logit'.
 

@@ -133,25 +133,38 @@ def store_bucketed(df: DataFrame, name: str, buckets: int, key: str = "docid") -
 
 
 def _stem() -> Column:
-    return F.lower(F.trim(F.split_part(F.url_decode("_metadata.file_name"), F.lit("."), F.lit(1))))
+    """The topic of a file: its name up to the first dot, or the value of the folder ``stem=…`` that it lies in, as
+    Spark names the folders of a column."""
+    folder = F.regexp_extract("_metadata.file_path", r"/stem=([^/]*)/[^/]*$", 1)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))  # noqa: E731  a plus is no blank here
+    value = plain(plain(folder))  # escaped in the folder's name, and again in its address
+    name = F.split_part(F.url_decode("_metadata.file_name"), F.lit("."), F.lit(1))
+    return F.lower(F.trim(F.when(folder != "", value).otherwise(name)))
+
+
+def _named(pattern: str) -> Column:
+    """Files of this ending, and the text files of ``stem=…`` folders, which have no name of their own."""
+    return F.col("_metadata.file_path").rlike(rf"/stem=[^/]*/[^/]*$|{pattern}$")
 
 
 def read_fair_docs(spark: SparkSession, root: str) -> DataFrame:
-    """stem, query, docid, title, body from root/*/*/name.json, each {query: [{docid, title, body}, …]}.
+    """stem, query, docid, title, body from root/*/*/name.json, or root/*/stem=name/*.txt, each
+    {query: [{docid, title, body}, …]}.
 
     Of files with one stem the last path counts.
     """
     parsed = F.from_json("value", FAIR_JSON, {"mode": "FAILFAST"})
-    files = spark.read.text(f"{root}/*/*/*.json", wholetext=True).select(_stem().alias("stem"), "value", "_metadata.file_path")
+    found = spark.read.option("recursiveFileLookup", True).text(f"{root}/*/*/*.{{json,txt}}", wholetext=True)
+    files = found.where(_named(r"\.json")).select(_stem().alias("stem"), "value", "_metadata.file_path")
     files = files.groupBy("stem").agg(F.max_by("value", "file_path").alias("value")).select("stem", parsed.alias("j"))
     first = files.select("stem", F.get(F.map_keys("j"), F.lit(0)).alias("query"), F.get(F.map_values("j"), F.lit(0)).alias("d"))
     return first.select("stem", "query", F.inline("d"))
 
 
 def read_fair_annotations(spark: SparkSession, root: str) -> DataFrame:
-    """stem, docid, mapped_annotation and pos, the place in the file, from root/*/*/name.csv. Of files with one stem the
-    last path counts."""
-    reader = spark.read.options(quote='"', escape='"', multiLine=True, enforceSchema=False)
+    """stem, docid, mapped_annotation and pos, the place in the file, from root/*/*/name.csv, or root/*/stem=name/*.csv. Of
+    files with one stem the last path counts."""
+    reader = spark.read.options(quote='"', escape='"', multiLine=True, enforceSchema=False, recursiveFileLookup=True)
     rows = reader.csv(f"{root}/*/*/*.csv", header=True)
     require_columns(rows, "docid", "mapped_annotation")
     rows = rows.select(_stem().alias("stem"), "docid", "mapped_annotation", _place().alias("pos"))

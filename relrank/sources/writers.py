@@ -43,3 +43,18 @@ def write_run(df: DataFrame, run_id: str, path: str, mode: str = "append") -> No
 def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Ten columns without a header."""
     write_tsv(flatten_triples(triples), path, header=False, mode=mode)
+
+
+def write_fair_tree(docs: DataFrame, annotations: DataFrame, root: str) -> None:
+    """Folders root/folder=…/stem=… with the documents of one topic as JSON and its annotations as CSV, in the order of
+    ``pos``: what ``read_fair_tree`` reads.
+
+    ``docs`` has folder, stem, query, docid, title, body; ``annotations`` has folder, stem, docid, mapped_annotation, pos.
+    A topic's documents are one JSON value, as the format has it, so topics must fit a task each.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("docid", "title", "body")))
+    topics = docs.groupBy("folder", "stem", "query").agg(listed.alias("docs"))
+    topics = topics.select("folder", "stem", F.to_json(F.create_map("query", "docs"), {"ignoreNullFields": "false"}).alias("value"))
+    topics.write.partitionBy("folder", "stem").text(root)
+    rows = annotations.repartition("folder", "stem").sortWithinPartitions("folder", "stem", "pos")
+    rows.drop("pos").write.mode("append").partitionBy("folder", "stem").options(quote='"', escape='"', **KEEP_BLANKS).csv(root, header=True)

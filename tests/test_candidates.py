@@ -84,19 +84,50 @@ def test_running_totals_with_nulls_and_nan(frame):
         assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in want.collect())
 
 
-def test_building_a_plan_starts_no_job(spark, frame):
+def test_the_input_is_read_once(spark, frame):
+    """A run that is costly to make is made once, however often an operator needs it."""
     from relrank.operators import metrics as m
     from relrank.operators.scoring import rerank
 
-    run = frame([(f"q{i % 3}", f"d{i}", i, float(i % 7)) for i in range(20)], "qid string, docid string, rank int, score double")
-    qrels = frame([("q1", "d1", 1), ("q1", "d1", 2)], "qid string, docid string, label int")
-    spark.sparkContext.setJobGroup("building", "")
-    rerank(run), m.evaluate(run, qrels), m.average_precision(run, qrels), m.evaluate_by_query(run, qrels)
-    c.skip_queries(run, 1), c.assign_qids(run, "docid"), c.head_per_query(run, 2000)
-    c.head_per_query(run.withColumn("line", F.col("rank")), 2, mode="runs")
-    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        made.add(1)
+        return float(i % 7)
 
+    run = frame([(f"q{i % 3}", f"d{i}", i) for i in range(20)], "qid string, docid string, rank int").withColumn("score", score("rank"))
+    qrels = frame([("q1", "d1", 1), ("q1", "d1", 2)], "qid string, docid string, label int")
+    texts = frame([("q1", "ask")], "qid string, query string"), frame([("d1", "t", "b")], "docid string, title string, body string")
+    judge = [lambda f=f: f(run, qrels) for f in (m.average_precision, m.evaluate, m.evaluate_by_query)]
+    for make in (lambda: rerank(run), *judge, lambda: c.map_run(run, *texts)):
+        make().collect()
+        assert made.value == 20
+        made.value = 0
+
+
+@pytest.mark.parametrize("piece_rows", [1, 7, 1000])
+def test_running_totals_in_pieces(frame, piece_rows):
+    from relrank.operators.ordering import running_totals
+
+    rows = [(None if i % 5 == 0 else "big" if i % 3 else "small", i * 37 % 101, None if i % 11 == 0 else float(i % 4), i) for i in range(100)]
+    df = frame(rows, "g string, v int, s double, i int")
+    for by in (["g"], []):
+        got = running_totals(df, by, ["-s", "i"], {"n": F.lit(1), "upto": F.col("v")}, piece_rows)
+        assert got.columns == ["g", "v", "s", "i", "n", "upto"]
+        found, seen = {r["i"]: (r["n"], r["upto"]) for r in got.collect()}, {}
+        for g, v, _, i in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[3])):
+            n, upto = seen.get(g if by else 0, (0, 0))
+            seen[g if by else 0] = n + 1, upto + v
+            assert found[i] == (n + 1, upto + v)
+
+
+def test_pairs_in_blocks(frame):
+    run = frame([("q", f"d{i}", i) for i in range(50)] + [("r", "x", 1), ("s", "y", 1), ("s", "z", 2)], "qid string, docid string, rank int")
+    pairs = c.pair_candidates(run, block=7)
+    got = [(r.qid, r.pos_a, r.docid_a, r.pos_b, r.docid_b) for r in pairs.collect()]
+    want = {("q", i, f"d{i}", j, f"d{j}") for i in range(50) for j in range(i + 1, 50)} | {("s", 0, "y", 1, "z")}
+    assert len(got) == len(want) and set(got) == want
 
 def test_repeated_judgments_count_once(frame):
     from relrank.operators import metrics as m

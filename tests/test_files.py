@@ -139,3 +139,21 @@ def test_fair_tree(spark, tmp_path):
         ("1", "b", "ask one?", "Title: u, Context: c", 0, 2),
         ("2", "a", "ask two?", "Title: v, Context: d", 1, 1),
     ]
+
+
+def test_written_fair_tree(spark, frame, tmp_path):
+    docs = [("x", "One + two.5%", "ask one?", "a", "t", "b\nb"), ("x", "One + two.5%", "ask one?", "b", None, "c"), ("y", "two=2", "ask two?", "a", "v", "d")]
+    notes = [("x", "One + two.5%", "a", "1,0", 2), ("x", "One + two.5%", "b", "0,2", 1), ("x", "One + two.5%", "a", "5,5", 3), ("y", "two=2", "a", "1,1", 1)]
+    root = str(tmp_path / "tree")
+    writers.write_fair_tree(
+        frame(docs, "folder string, stem string, query string, docid string, title string, body string"),
+        frame(notes, "folder string, stem string, docid string, mapped_annotation string, pos int"),
+        root,
+    )
+    found = readers.read_fair_tree(spark, root)
+    assert {r["stem"] for r in found[0].collect()} == {"one + two.5%", "two=2"}
+    assert sorted(tuple(r) for r in build_fair(*found).collect()) == [
+        ("1", "a", "ask one?", "Title: t, Context: b\nb", 1, 0),
+        ("1", "b", "ask one?", "Title: , Context: c", 0, 2),
+        ("2", "a", "ask two?", "Title: v, Context: d", 1, 1),
+    ]

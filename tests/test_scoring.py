@@ -44,6 +44,17 @@ def test_rerank(frame, piece_rows):
     assert dict(ranked.dtypes)["rank"] == "int"
 
 
+def test_tasks_cost_the_same(frame):
+    """Text is dealt out by its length, also where a few rows have most of it or a third of the rows are equal."""
+    rows = [(i, "x" * (20 if i % 3 else 1 + i * 7919 % 300)) for i in range(6000)]
+    dealt = sc.deal_evenly(frame(rows, "i int, text string"), F.length("text"), 10)
+    assert dealt.columns == ["i", "text"] and sorted(r["i"] for r in dealt.collect()) == list(range(6000))
+    costs = [r["cost"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("cost")).collect()]
+    assert len(costs) == 10 and max(costs) <= 1.2 * min(costs)
+    parts = dealt.withColumn("n", F.length("text")).select("n").rdd.glom().collect()
+    assert all([r["n"] for r in part] == sorted(r["n"] for r in part) for part in parts)
+
+
 def test_columns_are_checked(mapped):
     with pytest.raises(ValueError, match="score"):
         sc.rerank(mapped)
