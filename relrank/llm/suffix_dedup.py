@@ -26,18 +26,16 @@ LENGTH = 100
 GRAM = 24  # bytes under a trigger's rolling hash
 ROWS_AT_ONCE = 200_000
 NULL_ID = -(1 << 63)
-MARK_BITS = 24  # of a text's hash; tells rows apart that share an id
 SPAN_BITS = 7  # a phrase has at most 2 ** SPAN_BITS windows
-PLACED = "a long, b long, doc long, at long, seen boolean"
+PLACED = "a long, b long, doc long, mark long, at long, seen boolean"
+# A text is its id and a mark, which is 0 unless rows repeat the id. A place in it is one number: first byte, then the
+# windows after the first one.
 
-# A place is one number: first byte, then windows after the first one, then the text's mark.
-SHIFT = MARK_BITS + SPAN_BITS
 
-
-def _batch(a, b, doc, at, seen) -> pa.RecordBatch:
+def _batch(a, b, doc, mark, at, seen) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(at), pa.array(seen)],
-        ["a", "b", "doc", "at", "seen"],
+        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(mark), pa.array(at), pa.array(seen)],
+        ["a", "b", "doc", "mark", "at", "seen"],
     )
 
 
@@ -67,30 +65,28 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return lo, hi, grams[trigger[lo]], Rolling(data, 2).of(lo, hi + length)
 
 
-def _fold(a, b, doc, at) -> pa.RecordBatch:
+def _fold(a, b, doc, mark, at) -> pa.RecordBatch:
     """Map-side: of equal (a, b) only the first place goes on as such; the others are known to be repeats.
 
     Of ``b`` 32 bits go on, so that rows are small; 96 bits of hash still tell strings apart.
     """
     b = b & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((at, doc, b, a))
-    a, b, doc, at = a[order], b[order], doc[order], at[order]
+    order = np.lexsort((at, mark, doc, b, a) if mark.any() else (at, doc, b, a))
+    a, b, doc, mark, at = a[order], b[order], doc[order], mark[order], at[order]
     same = np.zeros(len(a), bool)
     same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
-    fresh = ~(same & (doc == doc[heads]) & (at == at[heads]))  # a repeated row is no repeat of itself
-    spread = (doc * 0x9E3779B1 + (at >> SHIFT)).view(np.uint64)  # what is known goes anywhere
-    return _batch(np.where(same, spread, a)[fresh], np.where(same, np.uint64(0), b)[fresh], doc[fresh], at[fresh], same[fresh])
+    fresh = ~(same & (doc == doc[heads]) & (mark == mark[heads]) & (at == at[heads]))  # a repeated row is no repeat of itself
+    spread = (doc * 0x9E3779B1 + mark + (at >> SPAN_BITS)).view(np.uint64)  # what is known goes anywhere
+    return _batch(np.where(same, spread, a)[fresh], np.where(same, np.uint64(0), b)[fresh], doc[fresh], mark[fresh], at[fresh], same[fresh])
 
 
-def _place(batch: pa.RecordBatch, index: np.ndarray, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    doc = batch.column("doc_id").to_numpy()[index]
-    mark = batch.column("mark").to_numpy()[index]
-    return doc, (start << SHIFT) | (more << MARK_BITS) | mark
+def _place(batch: pa.RecordBatch, index: np.ndarray, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    return batch.column("doc_id").to_numpy()[index], batch.column("mark").to_numpy()[index], (start << SPAN_BITS) | more
 
 
 def _folded(parts):
-    """Batches of (a, b, doc, at) tuples, folded ROWS_AT_ONCE at a time."""
+    """Batches of (a, b, doc, mark, at) tuples, folded ROWS_AT_ONCE at a time."""
     held, size = [], 0
     for part in parts:
         held.append(part)
@@ -127,8 +123,8 @@ def _contexts(length: int):
             if not len(index):
                 continue
             at = lists.flatten().to_numpy()
-            lo = (at >> SHIFT) + offsets[index]
-            end = lo + ((at >> MARK_BITS) & ((1 << SPAN_BITS) - 1)) + length
+            lo = (at >> SPAN_BITS) + offsets[index]
+            end = lo + (at & ((1 << SPAN_BITS) - 1)) + length
             grams = Rolling(data, 1)
             place = np.arange(len(data) - GRAM + 1, dtype=np.int64)
             order = (grams.of(place, place + GRAM) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
@@ -167,7 +163,7 @@ def _suffixes(length: int):
                 start = np.arange(len(index)) - np.repeat(np.cumsum(count) - count - first, count)
                 where = start + offsets[index]
                 one, two = Rolling(data, 3).of(where, where + length), Rolling(data, 4).of(where, where + length)
-                lo = batch.column("at").to_numpy()[index] >> SHIFT
+                lo = batch.column("at").to_numpy()[index] >> SPAN_BITS
                 yield one, two, *_place(batch, index, lo + start, np.zeros(len(start), np.int64))
 
         yield from _folded(parts())
@@ -176,18 +172,19 @@ def _suffixes(length: int):
 
 
 def _repeats(batches):
-    """Rows sorted by (a, b, doc, at) become places: repeats (edge = false), and the first place of every (a, b) whose
-    ``a`` has several ``b`` (edge = true). Holds one row, however many share a key."""
+    """Rows sorted by (a, b, doc, mark, at) become places: repeats (edge = false), and the first place of every (a, b)
+    whose ``a`` has several ``b`` (edge = true). Holds one row, however many share a key."""
     group, first, classes, waiting = None, None, 0, None  # of the key seen last
 
-    def out(doc, at, edge):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(edge, pa.bool_())], ["doc", "at", "edge"])
+    def out(doc, mark, at, edge):
+        columns = [pa.array(c, pa.int64()) for c in (doc, mark, at)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), edge))], ["doc", "mark", "at", "edge"])
 
     for batch in batches:
-        a, b, doc, at, seen = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        a, b, *place, seen = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         if seen.any():
-            yield out(doc[seen], at[seen], np.zeros(int(seen.sum()), bool))
-            a, b, doc, at = a[~seen], b[~seen], doc[~seen], at[~seen]
+            yield out(*(c[seen] for c in place), False)
+            a, b, *place = (c[~seen] for c in (a, b, *place))
         if not len(a):
             continue
         new = np.ones(len(a), bool)
@@ -195,11 +192,12 @@ def _repeats(batches):
         goes_on = first is not None and (a[0], b[0]) == first[:2]
         new[0] = not goes_on
         heads = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-        head_doc, head_at = doc[heads], at[heads]
-        if goes_on:
-            head_doc, head_at = np.where(heads < 0, first[2], head_doc), np.where(heads < 0, first[3], head_at)
-        repeat = ~new & ~((doc == head_doc) & (at == head_at))
-        yield out(doc[repeat], at[repeat], np.zeros(int(repeat.sum()), bool))
+        same = np.ones(len(a), bool)  # the first place itself, in a repeated row
+        for i, column in enumerate(place):
+            head = np.where(heads < 0, first[2 + i], column[heads]) if goes_on else column[heads]
+            same &= column == head
+        repeat = ~new & ~same
+        yield out(*(c[repeat] for c in place), False)
 
         own = np.flatnonzero(new)  # one row per (a, b) that starts here
         if len(own):
@@ -207,29 +205,27 @@ def _repeats(batches):
             sizes = np.diff(np.append(starts, len(own)))
             if a[own[0]] == group:
                 if classes == 1:
-                    yield out([waiting[0]], [waiting[1]], [True])
+                    yield out(*([v] for v in waiting), True)
                 classes += int(sizes[0])
                 several = np.concatenate([[True], sizes[1:] > 1])
                 last_classes = classes if len(sizes) == 1 else int(sizes[-1])
             else:
                 several, last_classes = sizes > 1, int(sizes[-1])
             edge = own[np.repeat(several, sizes)]
-            yield out(doc[edge], at[edge], np.ones(len(edge), bool))
-            group, classes, waiting = a[own[-1]], last_classes, (doc[own[-1]], at[own[-1]])
-            first = (a[own[-1]], b[own[-1]], doc[own[-1]], at[own[-1]])
+            yield out(*(c[edge] for c in place), True)
+            group, classes, waiting = a[own[-1]], last_classes, tuple(c[own[-1]] for c in place)
+            first = (a[own[-1]], b[own[-1]], *waiting)
 
 
 def _in_order(placed: DataFrame) -> DataFrame:
-    ordered = placed.repartition("a").sortWithinPartitions("a", "b", "doc", "at")
-    return ordered.mapInArrow(_repeats, "doc long, at long, edge boolean")
+    ordered = placed.repartition("a").sortWithinPartitions("a", "b", "doc", "mark", "at")
+    return ordered.mapInArrow(_repeats, "doc long, mark long, at long, edge boolean")
 
 
 def _with_places(marked: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """Texts with the places that belong to them; a text's own length bounds its list."""
-    mark = F.col("at").bitwiseAND((1 << MARK_BITS) - 1)
-    lists = places.select("doc", "at", mark.alias("at_mark")).groupBy("doc", "at_mark").agg(F.collect_list("at").alias("places"))
-    match = (marked["doc_id"] == lists["doc"]) & (marked["mark"] == lists["at_mark"])
-    return marked.join(lists, match, how).select("doc_id", "mark", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
+    lists = places.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.collect_list("at").alias("places"))
+    return marked.join(lists, ["doc_id", "mark"], how).select("doc_id", "mark", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
 
 
 def _cut(length: int):
@@ -238,8 +234,8 @@ def _cut(length: int):
             lists = batch.column("places")
             index = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             at = lists.flatten().to_numpy()
-            lo = (at >> SHIFT) + offsets[index]
-            hi = lo + ((at >> MARK_BITS) & ((1 << SPAN_BITS) - 1)) + length
+            lo = (at >> SPAN_BITS) + offsets[index]
+            hi = lo + (at & ((1 << SPAN_BITS) - 1)) + length
             cover = np.zeros(len(data) + 1, np.int64)
             np.add.at(cover, lo, 1)
             np.subtract.at(cover, hi, 1)
@@ -275,21 +271,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not GRAM <= length <= GRAM + (1 << SPAN_BITS) - 1:
         raise ValueError(f"length must lie between {GRAM} and {GRAM + (1 << SPAN_BITS) - 1}")
-    marked = texts(docs, id_col, text_col).select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << MARK_BITS)).alias("mark"),
-        "text",
-    )
+    whole = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    repeated = stored(whole.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again")))
+    mark = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    marked = whole.join(repeated, "doc_id", "left").select("doc_id", mark.alias("mark"), "text")
     found = stored(_in_order(marked.mapInArrow(_parse(length), PLACED)))
     settle(docs.sparkSession)
     context = "doc_id long, mark long, at long, lead long, text binary, before long, after long"
     near = stored(_with_places(marked, found.where("edge"), "inner").mapInArrow(_contexts(length), context))
     settle(docs.sparkSession)
-    keys = near.select("doc_id", "at", F.posexplode(F.array("before", "after")).alias("side", "key")).where("key is not null")
+    keys = near.select("doc_id", "mark", "at", F.posexplode(F.array("before", "after")).alias("side", "key")).where("key is not null")
     common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    sides = keys.join(common, "key").groupBy("doc_id", "at")
+    sides = keys.join(common, "key").groupBy("doc_id", "mark", "at")
     alike = sides.agg(F.max(F.col("side") == 0).alias("before"), F.max(F.col("side") == 1).alias("after"))
-    shared = near.drop("before", "after").join(alike, ["doc_id", "at"])
+    shared = near.drop("before", "after").join(alike, ["doc_id", "mark", "at"])
     suffixes = stored(_in_order(shared.mapInArrow(_suffixes(length), PLACED)).where("not edge"))
     places = found.where("not edge").unionByName(suffixes).drop("edge")
     settle(docs.sparkSession)

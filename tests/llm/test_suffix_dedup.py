@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from relrank.llm.queries import QUERIES
 from relrank.llm.suffix_dedup import suffix_dedup
@@ -63,3 +64,16 @@ def test_query_against_every_window(spark):
     for r in rows:
         spans, kept = want[r.doc_id]
         assert (r.n_removed, r.n_spans, r.kept_sha256) == (sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_many_texts_of_one_id(documents):
+    """Texts without an id, many of which repeat parts of others, are judged text by text, in the order of their hashes."""
+    draw = random.Random(6)
+    parts = ["".join(draw.choice("abcdef ") for _ in range(draw.randrange(60, 260))) for _ in range(400)]
+    rows = [(None, t) for t in sorted({draw.choice(parts) + draw.choice(parts) for _ in range(3000)})]
+    docs = documents([*rows, (5, rows[0][1])])
+    ordered = [r.text for r in docs.where("doc_id is null").select("text", F.xxhash64("text").alias("mark")).orderBy("mark").collect()]
+    want = brute([*enumerate(ordered), (10_000, rows[0][1])], 100)
+    got = suffix_dedup(docs).collect()
+    assert sorted(bytes(r.kept) for r in got) == sorted(kept for _, kept in want.values())
+    assert [bytes(r.kept) for r in got if r.doc_id == 5] == [want[10_000][1]]
