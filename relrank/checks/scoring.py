@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.checks.candidates import MAPPED
-from relrank.checks.registry import check, new_path, stored_run, words
+from relrank.checks.registry import check, hash_number, new_path, stored_run, words
 from relrank.checks.text import chunk
 from relrank.functions import logits as lg
 from relrank.functions.text import point_prompt
 from relrank.operators import pairwise as p
 from relrank.operators import scoring as sc
 from relrank.operators.candidates import head_per_query, map_run
+from relrank.operators.sampling import split_train_test
+from relrank.operators.scoring import text_shape
 from relrank.plans.flows import evaluate_pairwise, rerank_run, score_and_rerank, submit_pairwise, train
 from relrank.session import checkpoint
 from relrank.sources import tables
@@ -205,3 +207,43 @@ def fit_pair_scorer(spark: SparkSession, d: str) -> DataFrame:
         point_prompt("query", "doc").alias("text"), F.col("relevance").alias("label")
     )
     return train(prompts).metrics
+
+
+def _newton_sql(steps: int, penalty: float) -> str:
+    """Newton steps of a constant and one weight, as CTEs w0, w1, ...; the solution of two equations is written out."""
+    ctes = ["w0 as (select 0.0::double a, 0.0::double b)"]
+    for k in range(steps):
+        ctes.append(
+            f"""w{k + 1} as (select a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) b from (
+      select any_value(a) a, any_value(b) b, sum(y - p) ga, sum((y - p) * x) - {penalty} * any_value(b) gb, sum(p * (1 - p)) haa,
+        sum(p * (1 - p) * x) hab, sum(p * (1 - p) * x * x) + {penalty} hbb
+      from (select *, 1 / (1 + exp(-(a + b * x))) p from shaped cross join w{k} where part = 'train')))"""
+        )
+    return ",\n".join(ctes)
+
+
+SHAPED = f"""
+shaped as (
+  select cast(relevance as double) y, length(regexp_replace(lower(coalesce(doc, '')), '[^a-z]', '', 'g')) / greatest(length(coalesce(doc, '')), 1) x,
+    case when {hash_number('docid')} < 858993459 then 'test' else 'train' end part from v_fair),
+{_newton_sql(6, 0.1)}
+"""
+
+
+@check(
+    """select round(any_value(a), 5) as bias, round(any_value(b), 5) as weight, avg(cast((a + b * x > 0) = (y = 1) as int)) as accuracy,
+      greatest(avg(y), 1 - avg(y)) as majority
+    from shaped cross join w6 where part = 'test'""",
+    ctes=SHAPED,
+)
+def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
+    """A classifier of the labelled documents by their share of letters: its weights after six steps, and its accuracy on a
+    held-out fifth next to that of a constant answer."""
+    rows = tables.fair(spark, d).select("docid", F.col("doc").alias("text"), F.col("relevance").alias("label"))
+    parts = checkpoint(split_train_test(rows, ["docid"], exact=False))
+    scorer = sc.fit_logistic(parts.where("part = 'train'"), lambda text: text_shape(text)[:1])
+    scored = scorer.texts(parts.where("part = 'test'")).withColumn("right", (lg.predict("logits") == F.col("label")).cast("int"))
+    share = F.avg(F.col("label").cast("double"))
+    return scored.agg(F.avg("right").alias("accuracy"), F.greatest(share, 1 - share).alias("majority")).select(
+        *[F.lit(round(w, 5)).alias(n) for n, w in zip(("bias", "weight"), scorer.weights)], "accuracy", "majority"
+    )

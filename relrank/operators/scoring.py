@@ -10,6 +10,7 @@ with Spark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -160,6 +161,68 @@ def fit_pair_scorer(train: DataFrame, features: int = 4096, iterations: int = 20
     return TrainedScorer(Pipeline(stages=stages).fit(train.select("text", "label")))
 
 
+def text_shape(text: str | Column) -> list[Column]:
+    """Two dense features of a text: the share of letters a-z in its characters, and of distinct words in its words."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
+    letters = F.length(F.regexp_replace(F.lower(text), "[^a-z]", ""))
+    return [letters / F.greatest(F.length(text), F.lit(1)), F.size(F.array_distinct(found)) / F.greatest(F.size(found), F.lit(1))]
+
+
+@dataclass(frozen=True)
+class LogisticScorer:
+    """Weights of ``fit_logistic``: a constant, then one for each of ``features``. Logits are 0 and their sum."""
+
+    weights: tuple[float, ...]
+    features: Callable[[str | Column], list[Column]] = text_shape
+
+    def prepare(self, text: Column) -> Column:
+        return text
+
+    def texts(self, df: DataFrame) -> DataFrame:
+        """Score a table of texts in the column ``text``."""
+        first, *rest = self.weights
+        total = sum((F.lit(w) * x for w, x in zip(rest, self.features("text"))), F.lit(first))
+        return df.withColumn("logits", F.array(F.lit(0.0), total))
+
+    def point(self, df: DataFrame) -> DataFrame:
+        return self.texts(df.withColumn("text", point_prompt("query", "doc"))).drop("text")
+
+    def pair(self, df: DataFrame) -> DataFrame:
+        return self.texts(df.withColumn("text", pair_prompt("query", "doc_a", "doc_b"))).drop("text")
+
+
+def fit_logistic(
+    train: DataFrame, features: Callable[[str | Column], list[Column]] = text_shape, steps: int = 6, penalty: float = 0.1
+) -> LogisticScorer:
+    """Logistic regression of ``label`` on a few dense features of ``text``, by Newton steps.
+
+    The features are computed once and stored. A step is one pass: the map tasks add up the gradient and the products of
+    the features (their Gram matrix, weighted), a row of d (d + 3) / 2 numbers for d weights, and the driver solves for the
+    new weights. ``penalty`` holds back all weights but the constant. Rows without a label count for nothing.
+    """
+    require_columns(train, "text", "label")
+    columns = features("text")
+    names = ["x_0", *(f"x_{i}" for i in range(1, len(columns) + 1))]
+    rows = train.where("label is not null").select(
+        F.col("label").cast("double").alias("y"), F.lit(1.0).alias("x_0"), *[c.cast("double").alias(n) for c, n in zip(columns, names[1:])]
+    )
+    rows = checkpoint(rows)
+    weights, size = np.zeros(len(names)), len(names)
+    held = penalty * np.diag([0.0] + [1.0] * (size - 1))
+    for _ in range(steps):
+        chance = 1 / (1 + F.exp(-sum((F.lit(float(w)) * F.col(n) for w, n in zip(weights[1:], names[1:])), F.lit(float(weights[0])))))
+        placed = rows.withColumns({"_p": chance})
+        gradient = [F.sum((F.col("y") - F.col("_p")) * F.col(n)) for n in names]
+        gram = [F.sum(F.col("_p") * (1 - F.col("_p")) * F.col(names[i]) * F.col(names[j])) for i in range(size) for j in range(i + 1)]
+        sums = np.array([v or 0.0 for v in placed.agg(*[c.alias(f"_{k}") for k, c in enumerate(gradient + gram)]).first()])
+        curve = np.zeros((size, size))
+        curve[np.tril_indices(size)] = sums[size:]
+        curve = curve + np.tril(curve, -1).T + held
+        weights = weights + np.linalg.lstsq(curve, sums[:size] - held @ weights, rcond=None)[0]
+    return LogisticScorer(tuple(float(w) for w in weights), features)
+
+
 def score_pairs(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Add the logits and drop the document text, so that later shuffles do not carry it."""
     scorer = scorer or LexicalScorer()

@@ -115,6 +115,26 @@ def test_training_beats_the_majority(frame):
     assert all(len(r["logits"]) == 2 and r["logits"][0] == -r["logits"][1] for r in again.collect())
 
 
+def test_newton_steps(frame, mapped):
+    """Weights at the optimum: with them, no direction makes the penalised likelihood better."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        letters, signs = rng.integers(1, 40), rng.integers(1, 40)
+        chance = 1 / (1 + np.exp(-8 * (letters / (letters + signs) - 0.5)))
+        rows.append(("x" * int(letters) + "%" * int(signs), int(rng.random() < chance)))
+    df = frame(rows + [("unlabelled", None)], "text string, label int")
+    scorer = sc.fit_logistic(df, steps=8, penalty=0.5)
+    x = np.array([[1.0, t.count("x") / len(t), 1.0] for t, _ in rows])
+    y, w = np.array([v for _, v in rows]), np.array(scorer.weights)
+    p_ = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (y - p_) - 0.5 * np.array([0, 1, 1]) * w).max() < 1e-6
+    right = [(r["logits"][1] > 0) == (r["label"] == 1) for r in scorer.texts(df.where("label is not null")).collect()]
+    assert np.mean(right) > max(y.mean(), 1 - y.mean()) + 0.1
+    assert flows.score_and_rerank(mapped, scorer).count() == 5
+    assert sc.fit_logistic(df.where("false")).weights == (0.0, 0.0, 0.0)
+
+
 def test_trained_scorer_reranks(frame, mapped):
     rows = [(f"Query:words\nDocument:{'words' if i % 2 else 'nothing'} n{i}", i % 2) for i in range(40)]
     scorer = sc.fit_pair_scorer(frame(rows, "text string, label int"))
