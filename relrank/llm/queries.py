@@ -141,15 +141,15 @@ select * from values
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
-    start = json_string(F.substring("text", 1, 40))
+    quoted = json_string(F.col("text"))
     kind = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(10))
     arguments = (
-        F.when(kind == 0, F.concat(F.lit('{"query": '), start))
-        .when(kind == 1, F.concat(F.lit('{"query": '), start, F.lit(', "limit": "ten"}')))
+        F.when(kind == 0, F.concat(F.lit('{"query": '), quoted))
+        .when(kind == 1, F.concat(F.lit('{"query": '), quoted, F.lit(', "limit": "ten"}')))
         .when(kind == 2, F.lit('{"limit": 5}'))
-        .when(kind == 3, F.concat(F.lit('{"query": '), start, F.lit(', "extra": [1, 2], "limit": 3}')))
+        .when(kind == 3, F.concat(F.lit('{"query": '), quoted, F.lit(', "extra": [1, 2], "limit": 3}')))
         .when(kind == 4, F.lit("[1, 2]"))
-        .otherwise(F.concat(F.lit('{ "query" : '), start, F.lit(', "limit": '), F.char_length("text").cast("string"), F.lit(', "exact": true }')))
+        .otherwise(F.concat(F.lit('{ "query" : '), quoted, F.lit(', "limit": '), F.char_length("text").cast("string"), F.lit(', "exact": true }')))
     )
     own = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     calls = turns.where("role = 'assistant' and text is not null").select(
@@ -160,7 +160,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("search", "lookup", "summarise", "paint"))), own.cast("int") + 1).alias("name"),
         arguments.alias("arguments"),
     )
-    results = turns.where("turn > 0 and role <> 'assistant'").select(
+    results = turns.where("turn > 0 and not role <=> 'assistant'").select(
         "conv_id", key(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content")
     )
     return link_tool_calls(calls, results, spark.sql(TOOL_SCHEMAS))
@@ -168,7 +168,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op5_tool_calls"] = """
 with recursive calls as (
-  select conv_id, turn, concat(conv_id, '-', turn) call_id, cast(to_json(substr(text, 1, 40)) as varchar) q, length(text) n,
+  select conv_id, turn, concat(conv_id, '-', turn) call_id, cast(to_json(text) as varchar) q, length(text) n,
     (conv_id * 7 + turn) % 10 kind, ['search', 'lookup', 'summarise', 'paint'][(conv_id + turn) % 4 + 1] name,
     case when (conv_id + turn) % 4 <> 3 then concat(conv_id, '-', turn - 2) end parent_id
   from conversations where role = 'assistant' and text is not null),
@@ -178,7 +178,7 @@ ordered as (
   union all
   select c.conv_id, c.call_id, o.level + 1 from calls c join ordered o on c.conv_id = o.conv_id and c.parent_id = o.call_id),
 results as (
-  select conv_id, concat(conv_id, '-', turn - 1) call_id, turn, text from conversations where turn > 0 and role <> 'assistant'),
+  select conv_id, concat(conv_id, '-', turn - 1) call_id, turn, text from conversations where turn > 0 and role is distinct from 'assistant'),
 linked as (
   select coalesce(c.conv_id, r.conv_id) conv_id, coalesce(c.call_id, r.call_id) call_id, o.level, coalesce(c.turn, r.turn) seq, c.name,
     case when c.call_id is null then null when name = 'paint' then 'no schema' when kind in (0, 4) then 'no object' when kind = 1 then 'wrong limit'

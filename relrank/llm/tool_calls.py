@@ -94,8 +94,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     one = stored(_first_of(asked.where(named), ["seq", "name", "arguments", "parent_id"]).withColumn("asked", F.lit(True)))
     reply = _first_of(came.where(named), ["seq", "content"])
     reply = reply.select("conv_id", "call_id", F.col("seq").alias("reply_seq"), "content", F.lit(True).alias("replied"))
-    ordered = one.join(levels(one), ["conv_id", "call_id"])
-    linked = ordered.join(reply, ["conv_id", "call_id"], "full")
+    # Hash joins: identifiers are single on both sides, so tables of a partition are as even as the rows.
+    ordered = one.join(levels(one).hint("shuffle_hash"), ["conv_id", "call_id"])
+    linked = ordered.join(reply.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     nameless = asked.where(~named).select("*", F.lit(0).cast("long").alias("level"))
     stray = came.where(~named).select("conv_id", "call_id", F.col("seq").alias("reply_seq"), "content", F.lit(True).alias("replied"))
     linked = linked.unionByName(nameless.withColumn("asked", F.lit(True)), True).unionByName(stray, True)
