@@ -38,7 +38,7 @@ SIBLINGS = {  # an element that ends when one of these starts, up to the given c
 }
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
 
-# What parts of a page are called that are not the article.
+# What parts of a page are often called that are not the article: a tuned choice, which density and size overrule.
 OTHER_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe object embed canvas svg select button dialog menu head title textarea".split()
 )
@@ -51,6 +51,8 @@ OTHER_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 HEADER_NAMES = frozenset("header topbar".split())
+# Elements that hold running text; a part without any is no piece of an article that stands apart from the rest.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd blockquote pre td figcaption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -175,7 +177,11 @@ def _says_so(node: Node, names: frozenset[str]) -> bool:
 
 def _drop_other_parts(nodes: list[Node], scope: Node | None = None) -> None:
     """Marks what calls itself something else than the article. A part that holds the article element, and a form or a
-    named part that holds most of the page's text, stays. Inside ``scope`` a word of a name alone is not enough."""
+    named part that holds most of the page's text, stays; so does one named like comments beside which there is no article,
+    neither as an element nor by a fifth of the text. Inside ``scope`` a word of a name alone is not enough."""
+    told = any(n.tag in ("article", "main") and not _names(n) & COMMENT_NAMES for n in nodes)
+    aside = {id(n) for n in nodes if n.tag in OTHER_TAGS and n.tag != "form" and not any(a.tag in OTHER_TAGS for a in _above(n))}
+    text = nodes[0].all_chars - sum(n.all_chars for n in nodes if id(n) in aside)
     holds = {id(a) for n in nodes if n.tag in ("article", "main") and not _names(n) & COMMENT_NAMES for a in (n, *_above(n))}
     inside: set[int] = set()
     within: set[int] = set()
@@ -196,7 +202,8 @@ def _drop_other_parts(nodes: list[Node], scope: Node | None = None) -> None:
         hidden = "hidden" in node.attributes or re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I)
         named = names & OTHER_NAMES and not most and (sure or _says_so(node, OTHER_NAMES))
         tag = node.tag in OTHER_TAGS and not (node.tag == "form" and most)
-        comment = names & COMMENT_NAMES and (sure or _says_so(node, COMMENT_NAMES))
+        only = not told and 5 * node.all_chars > 4 * text
+        comment = names & COMMENT_NAMES and not only and (sure or _says_so(node, COMMENT_NAMES))
         other = tag or role in OTHER_ROLES and not (role == "form" and most) or named or head and id(node) not in inside or hidden
         node.dropped = bool(comment or other) and id(node) not in holds
 
@@ -253,8 +260,9 @@ def _is_list_of_links(node: Node, threshold: float) -> bool:
 
 
 def _beside(scope: Node, threshold: float) -> list[Node]:
-    """What to read besides the chosen node: of each part beside its path that reaches the threshold, the node of the
-    greatest sum. None if there is an article element."""
+    """What to read besides the chosen node: of each part beside its path that reaches the threshold, and half of the
+    chosen node's density, and has elements of running text, the node of the greatest sum. None if there is an article
+    element."""
     path = [scope, *_above(scope)]
     if any(n.tag in ("article", "main") for n in path):
         return []
@@ -263,13 +271,15 @@ def _beside(scope: Node, threshold: float) -> list[Node]:
         for part in parent.nodes():
             if part is own or part.dropped or part.tag not in BLOCKS or not part.chars or part.density < threshold or 2 * part.links > part.chars:
                 continue
-            best, waiting = part, [part]
+            best, waiting, runs = part, [part], False
             while waiting:
                 node = waiting.pop()
+                runs |= node.tag in TEXT_TAGS
                 if node.total > best.total:
                     best = node
                 waiting.extend(n for n in node.nodes() if not n.dropped)
-            found.append(best)
+            if runs and 2 * part.density >= scope.density:
+                found.append(best)
     return found
 
 

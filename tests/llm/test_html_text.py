@@ -112,3 +112,43 @@ def test_hard_cases(spark):
         (0, "v", 499_999, 499_999), (1, "", 0, 0), (2, "u", 0, 0), (3, "w", 4, 4), (3, "w", 4, 4)
     ]
     assert extract_text(pages.where("false")).count() == 0
+
+
+def paragraphs(draw, n):
+    letters = "abcdefghij"
+    return [" ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(draw.randrange(25, 60))) + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ['class="discussion"', 'id="reply-guide"', 'class="comments"', 'id="respond"', 'class="x17"', ""])
+@pytest.mark.parametrize("footer", ["<div>Copyright of the house, all rights reserved.</div>", "<div>Terms of use apply to all readers of these pages.</div>", ""])
+def test_names_that_mislead(name, footer):
+    """No article element, a name like that of comments or none, and a footer without a name."""
+    draw = random.Random(f"{name}{footer}")
+    menu = "<nav><a href='/'>home</a> <a href='/x'>more of this</a></nav>"
+    for n in (3, 8, 20):
+        text = paragraphs(draw, n)
+        body = "".join(f"<p>{t}</p>" for t in text)
+        assert main_text(f"<html><body>{menu}<div {name}>{body}</div>{footer}</body></html>") == "\n\n".join(text)
+
+
+def test_comments_beside_the_article_go():
+    """However long they are, with an article element; without one while the article has a fifth of the text."""
+    draw = random.Random(12)
+    text, said = paragraphs(draw, 6), paragraphs(draw, 14)
+    comments = '<div class="comments">' + "".join(f'<div class="comment"><p>{t}</p></div>' for t in said) + "</div>"
+    body = "".join(f"<p>{t}</p>" for t in text)
+    assert main_text(f"<body><article>{body}</article>{comments * 3}</body>") == "\n\n".join(text)
+    assert main_text(f"<body><div>{body}</div>{comments}</body>") == "\n\n".join(text)
+
+
+def test_generated_pages_without_known_names():
+    """The article is the one dense subtree; menus, teasers and footers have names of no meaning."""
+    draw = random.Random(21)
+    for _ in range(60):
+        text = paragraphs(draw, draw.randrange(2, 15))
+        links = "".join(f'<li><a href="/{i}">link number {i}</a></li>' for i in range(draw.randrange(3, 30)))
+        teasers = "".join(f'<div class="q{i}"><a href="/t{i}">teaser {i}</a></div>' for i in range(draw.randrange(0, 12)))
+        blocks = "".join(draw.choice(["<p>{}</p>", '<p class="k">{}</p>', "<p><b></b>{}</p>"]).format(t) for t in text)
+        shell = draw.choice(["<div>{}</div>", '<div id="a9"><div>{}</div></div>', "<section>{}</section>"])
+        page = f'<body><div class="z1"><ul>{links}</ul></div>{shell.format(blocks)}<div class="z2">{teasers}</div><div class="z3">All rights reserved 2020</div></body>'
+        assert main_text(page) == "\n\n".join(text)
