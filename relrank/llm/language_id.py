@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from relrank.llm.common import LOWER, mix, slices
+from relrank.llm.common import LOWER, mix, slices, stored
 
 GRAM = 4  # bytes
 HASHES = 3
-LANGUAGES = 64  # bits of a slot
+LANGUAGES = 64  # bits of a mask; a slot has as many masks as all languages need
 SAMPLE_ROWS = 1_000  # labelled rows per language that are learned from, in the order of the md5 of their ids
 PROFILE = 20_000  # n-grams per language, those in most rows
 LEAST_SHARE = 0.005  # of a language's rows that an n-gram must be in
-SLOTS = 1 << 19  # 4 MB, for any input
+SLOTS = 1 << 19  # 4 MB for every 64 languages, for any input
 UNKNOWN = "und"
 
 _FOLD = LOWER.copy()
@@ -55,7 +55,8 @@ def _slots(codes: np.ndarray, slots: int) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """At most LANGUAGES names, SLOTS masks, and how often each language's bits are all set by chance."""
+    """Names, masks (one row for every LANGUAGES names, SLOTS long), and how often each language's bits are all set by
+    chance."""
 
     names: tuple[str, ...]
     masks: np.ndarray
@@ -64,28 +65,27 @@ class LanguageModel:
     @classmethod
     def of(cls, profiles: dict[str, np.ndarray], slots: int = SLOTS) -> LanguageModel:
         """``profiles``: n-grams by language, the most likely language first (it wins ties)."""
-        if len(profiles) > LANGUAGES:
-            raise ValueError(f"a mask has bits for {LANGUAGES} languages, not for {len(profiles)}")
-        masks = np.zeros(slots, np.uint64)
-        for bit, codes in enumerate(profiles.values()):
+        masks = np.zeros((-(-len(profiles) // LANGUAGES), slots), np.uint64)
+        for number, codes in enumerate(profiles.values()):
+            row, bit = divmod(number, LANGUAGES)
             for at in _slots(np.asarray(codes, np.uint32), slots):
-                masks[at] |= np.uint64(1 << bit)
-        bits = [((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(profiles))]
+                masks[row, at] |= np.uint64(1 << bit)
+        bits = [((masks[i // LANGUAGES] >> np.uint64(i % LANGUAGES)) & np.uint64(1)).mean() for i in range(len(profiles))]
         return cls(tuple(profiles), masks, np.array(bits) ** HASHES)
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages): the part of a text's n-grams that the language holds."""
         codes, first, last = grams(data, offsets)
-        one, *more = _slots(codes, len(self.masks))
-        found = self.masks[one]
-        for at in more:
-            found &= self.masks[at]
+        slots = _slots(codes, self.masks.shape[1])
         size = np.maximum(last - first, 1)
         shares = np.zeros((len(first), len(self.names)))
-        for bit, chance in enumerate(self.chance):
+        for number, chance in enumerate(self.chance):
+            row, bit = divmod(number, LANGUAGES)
+            if bit == 0:
+                found = np.bitwise_and.reduce([self.masks[row][at] for at in slots])
             sums = np.concatenate([[0], np.cumsum((found >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
             counted = (sums[last] - sums[first]) / size
-            shares[:, bit] = np.clip((counted - chance) / (1 - chance), 0, 1)
+            shares[:, number] = np.clip((counted - chance) / (1 - chance), 0, 1)
         return shares
 
 
@@ -110,7 +110,8 @@ def learn(
 ) -> LanguageModel:
     """Profiles of the n-grams of each ``lang_col`` value, from ``sample`` rows of it that are not held out.
 
-    The sample bounds what is counted and what reaches the driver (PROFILE n-grams a language). Rows that repeat an id
+    The sample bounds what is counted and what reaches the driver (PROFILE n-grams a language, however many rows it has).
+    Any number of languages can be learned; each 64 make every look-up a mask wider. Rows that repeat an id
     are drawn together. Rows without id, text or language teach nothing; a table without any gives a model that knows
     no language.
     """
@@ -122,12 +123,12 @@ def learn(
     at = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     few = keys.withColumn("at", part).where(F.col("at") <= sample).drop("at")
     cuts = few.withColumn("at", at).where(F.col("at") <= sample).groupBy("lang").agg(F.max("order").alias("cut"))
-    cuts = cuts.limit(LANGUAGES + 1)
+    cuts = stored(cuts)  # its size is known then: a row per language is broadcast while it is small
     rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
-    drawn = rows.join(F.broadcast(cuts), "lang").where("order <= cut").select("lang", "text")
+    drawn = stored(rows.join(cuts, "lang").where("order <= cut").select("lang", "text"))
     counts = drawn.repartition(F.xxhash64("text")).mapInArrow(_profile, "lang string, gram long, rows long")
     sizes = drawn.groupBy("lang").agg(F.count("*").alias("size"))
-    common = counts.groupBy("lang", "gram").agg(F.sum("rows").alias("rows")).join(F.broadcast(sizes), "lang")
+    common = counts.groupBy("lang", "gram").agg(F.sum("rows").alias("rows")).join(sizes, "lang")
     common = common.where(F.col("rows") >= LEAST_SHARE * F.col("size"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rows"), "gram"))
     table = common.withColumn("at", best).where(F.col("at") <= PROFILE).select("lang", "gram", "size").toArrow()

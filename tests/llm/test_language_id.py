@@ -36,6 +36,50 @@ def test_filter_against_plain_sets():
     assert np.allclose(shares, exact, atol=1e-6)
 
 
+def test_more_languages_than_bits(spark, documents):
+    """70 labels, each with an alphabet of its own, and a few mistyped ones."""
+    rows = []
+    for lang in range(70):
+        letters = [chr(0x4E00 + 40 * lang + k) for k in range(40)]
+        for i in range(12):
+            words = ["".join(letters[(i * 7 + j * 3 + k) % 40] for k in range(5)) for j in range(20)]
+            rows.append((lang * 100 + i, " ".join(words), f"l{lang:02}"))
+    docs = documents([(i, t) for i, t, _ in rows]).drop("lang").join(spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, lang string"), "doc_id")
+    model = language_id.learn(docs)
+    assert len(model.names) == 70 and model.masks.shape[0] == 2
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert found == {i: x for i, _, x in rows}
+
+
+def plain_predictions(model, profiles, rows):
+    """{id: (language, score)} from sets of n-grams instead of the filter."""
+    found = {}
+    for key, text in rows:
+        if not any(map(str.isalpha, text or "")):
+            found[key] = ("und", 0.0)
+            continue
+        data = np.frombuffer(text.encode(), np.uint8)
+        codes, first, last = language_id.grams(data, np.array([0, len(data)]))
+        own = codes[first[0] : last[0]].tolist()
+        shares = [sum(c in profiles[name] for c in own) / max(len(own), 1) for name in model.names]
+        best = max(range(len(shares)), key=lambda i: (shares[i], -i))
+        found[key] = (model.names[best], shares[best])
+    return found
+
+
+def test_query_against_plain_sets(spark, monkeypatch):
+    """The query's predictions are those of sets of the same n-grams; what chance adds to the filter is taken off."""
+    kept = {}
+    build = language_id.LanguageModel.of.__func__
+    monkeypatch.setattr(language_id.LanguageModel, "of", classmethod(lambda cls, profiles: kept.update(profiles) or build(cls, profiles)))
+    rows = QUERIES["op6_language_id"](spark, SMALL).collect()
+    model = language_id.LanguageModel.of(dict(kept))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = plain_predictions(model, {n: set(np.asarray(c).tolist()) for n, c in kept.items()}, docs)
+    assert all(abs(r.score - want[r.doc_id][1]) < 0.02 for r in rows)
+    assert sum(r.lang_pred == want[r.doc_id][0] for r in rows) >= 0.998 * len(rows)
+
+
 def test_hard_cases(spark, hard):
     model = language_id.learn(spark.read.parquet(f"{SMALL}/documents.parquet"))
     rows = language_id.predict(hard, model).collect()
