@@ -11,6 +11,7 @@ from relrank.operators import fairness as fa
 from relrank.operators import metrics as m
 from relrank.operators.candidates import join_qrels
 from relrank.operators.scoring import rerank
+from relrank.session import checkpoint
 from relrank.sources import tables
 
 RANKED = """
@@ -79,6 +80,30 @@ def recall_at_1000(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.recall_at(*judged(spark, d), k=1000))
 
 
+DEEP = """
+deep as (
+  select qid, docid, row_number() over (partition by qid order by score desc, docid desc) rnk from (
+    select q.qid, d.docid, count(*) score from v_qtok q join v_dtok d on q.w = d.w group by q.qid, d.docid)),
+relevant as (select qid, count(*) n from (select qid, docid, max(label) label from v_qrels group by qid, docid) where label >= 1 group by qid),
+found as (
+  select d.qid, count(j.docid) filter (rnk <= 20) at_20, count(j.docid) filter (rnk <= 1000) at_1000
+  from deep d left join (select distinct qid, docid from v_qrels where label >= 1) j on j.qid = d.qid and j.docid = d.docid
+  where rnk <= 2000 group by d.qid)
+"""
+
+
+@check(
+    """select f.qid, round(coalesce(at_20 / nullif(n, 0), 0), 6) as recall_20, round(coalesce(at_1000 / nullif(n, 0), 0), 6) as recall_1000
+    from found f left join relevant r on r.qid = f.qid""",
+    ctes=DEEP,
+)
+def recall_of_a_deep_run(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 20 and at 1,000 of a run that goes down to 2,000 documents a query."""
+    run, qrels = checkpoint(tables.run(spark, d, 2000)), checkpoint(tables.qrels(spark, d))
+    at = {k: rounded(m.recall_at(run, qrels, k=k)).withColumnRenamed("value", f"recall_{k}") for k in (20, 1000)}
+    return at[20].join(at[1000], "qid")
+
+
 @per_query("ap")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.average_precision(stored_run(spark, d), tables.qrels(spark, d)))

@@ -83,15 +83,15 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top 100 documents of each query by the number of its words they share."""
+def run(spark: SparkSession, sf_dir: str, depth: int = RUN_DEPTH) -> DataFrame:
+    """The top documents of each query, 100 unless said otherwise, by the number of its words they share."""
     query_words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words("text")).alias("word"))
     doc_words = documents(spark, sf_dir).select("doc_id", F.explode(words("text")).alias("word"))
     shared = doc_words.join(query_words, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     scored = shared.select(
         F.col("item_id").cast("string").alias("qid"), _docid("doc_id").alias("docid"), F.col("n").cast("double").alias("score")
     )
-    return head_of_group(scored, ["qid"], evaluation_order(), RUN_DEPTH, "rank").select(
+    return head_of_group(scored, ["qid"], evaluation_order(), depth, "rank").select(
         "qid", F.lit("Q0").alias("iter"), "docid", "rank", "score", F.lit("lex").alias("tag")
     )
 
