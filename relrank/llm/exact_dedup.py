@@ -2,6 +2,9 @@
 
 The first pass counts, up to two, how many rows set each bit; the second asks the bits that were set twice. A row
 with a bit that no other row has set is alone and passes straight through; only the rest are shuffled and grouped.
+
+Fingerprints are stored once, in ranges of about as many rows as one filter serves; each range is read twice, for its filter
+and to ask it.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from relrank.llm.common import keep_ids, stored, texts
+from relrank.llm.common import keep_ids, stage_path, stored, texts
 
 BLANKS = " \t\n\x0b\x0c\r"  # the characters that do not count; fixed values
 HASHES = 3
@@ -48,8 +51,9 @@ def _emit(places: np.ndarray) -> list[pa.RecordBatch]:
     ] if found else []
 
 
-def _repeated_bits(prints: DataFrame, bits: int) -> bytes:
-    """The filter of bits that two rows have set, at most ``bits`` / 8 bytes: its pieces are merged by the executors."""
+def _bits(prints: DataFrame, bits: int, twice_only: bool) -> bytes:
+    """The filter of bits that a row has set, or two rows have, at most ``bits`` / 8 bytes: its pieces are merged by the
+    executors."""
 
     def gather(batches):
         held, size = [], 0
@@ -70,7 +74,7 @@ def _repeated_bits(prints: DataFrame, bits: int) -> bytes:
         now, once, twice = None, None, None
 
         def done():
-            packed = np.packbits(twice).tobytes()
+            packed = np.packbits(twice if twice_only else once).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bits"])
 
         for batch in batches:
@@ -110,33 +114,32 @@ def _test(shared, bits: int):
     return repeated
 
 
-class RepeatFilter:
-    """Tells rows that may have an equal from those that have none.
-
-    Fingerprints are cut into ranges of about ``max_bits / bits_per_row`` rows, each with a filter of at most
-    ``max_bits`` bits (32 MB); only one range's filter is broadcast at a time, so no broadcast grows with the data.
-    """
+BITS_PER_ROW, MOST_BITS = 16, 1 << 28  # of a filter: 32 MB
 
-    def __init__(self, prints: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 28):
-        rows = prints.count()
-        self.ranges = max(1, -(-rows * bits_per_row // max_bits))
-        self.bits = max(1 << PIECE, 1 << min(max_bits.bit_length() - 1, (rows * bits_per_row // self.ranges).bit_length()))
-        self.prints = prints
 
-    def range_of(self, printed: Column) -> Column:
-        if self.ranges == 1:
-            return F.lit(0)
-        return F.pmod(F.conv(F.hex(F.substring(printed, 1, 4)), 16, 10).cast("long"), F.lit(self.ranges)).cast("int")
+def _flagged(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> DataFrame:
+    """(doc_id, n_chars, print, again) of every row, stored: ``again`` if another row may have its fingerprint.
 
-    def tests(self):
-        """For each range, a condition on fingerprints: may another row have the same?"""
-        bits, spark = self.bits, self.prints.sparkSession
-        for number in range(self.ranges):
-            own = self.prints if self.ranges == 1 else self.prints.where(self.range_of(F.col("print")) == number)
-            yield number, _test(spark.sparkContext.broadcast(_repeated_bits(own, bits)), bits)
+    One range after the other has its filter built and asked, so that one is broadcast at a time and none is larger than
+    ``most_bits``."""
+    spark = docs.sparkSession
+    ranges = max(1, -(-docs.count() * BITS_PER_ROW // most_bits))
+    narrow = texts(docs, id_col, text_col).select("doc_id", F.char_length("text").alias("n_chars"), fingerprint("text").alias("print"))
+    number = F.pmod(F.conv(F.hex(F.substring("print", 1, 4)), 16, 10).cast("long"), F.lit(ranges)).cast("int")
+    ranged = narrow.withColumn("range", number)
+    prints = stored(ranged.hint("rebalance", "range") if ranges > 1 else ranged, ["range"])
+    path = stage_path(spark)
+    for at in range(ranges):
+        own = prints.where(F.col("range") == at).drop("range")
+        rows = own.count()
+        bits = max(1 << PIECE, 1 << min(most_bits.bit_length() - 1, (rows * BITS_PER_ROW).bit_length()))
+        shared = spark.sparkContext.broadcast(_bits(own, bits, twice_only=True))
+        own.withColumn("again", _test(shared, bits)("print")).write.mode("append").partitionBy("again").parquet(path)
+        shared.destroy()
+    return spark.read.schema("doc_id long, n_chars int, print binary, again boolean").parquet(path)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """Which row stays of each group of texts that are equal but for white space.
 
     Returns a row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the text without
@@ -144,27 +147,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blank text. Rows that repeat an id belong together: they count singly in group_size and share ``kept``. A null id
     stays only if all ids of its group are null. An empty table gives an empty result.
     """
-    narrow = texts(docs, id_col, text_col)
-    prints = stored(
-        narrow.select("doc_id", F.char_length("text").alias("n_chars"), fingerprint("text").alias("print"))
-    )
-    return _decide(prints, RepeatFilter(prints))
-
-
-def _decide(prints: DataFrame, found: RepeatFilter) -> DataFrame:
-    alone, repeated = [], []
-    for number, test in found.tests():
-        own = prints if found.ranges == 1 else prints.where(found.range_of(F.col("print")) == number)
-        alone.append(own.where(~test("print")))
-        repeated.append(own.where(test("print")))
-    rest = alone[0]
-    again = repeated[0]
-    for a, b in zip(alone[1:], repeated[1:]):
-        rest, again = rest.union(a), again.union(b)
+    return _decide(_flagged(docs, id_col, text_col, most_bits))
+
+
+def _decide(flagged: DataFrame) -> DataFrame:
+    rest, again = flagged.where(~F.col("again")), flagged.where("again")
     # Summed in the map tasks first; stored, so that the join below shuffles both sides and AQE can split a hot group.
     groups = stored(
         again.groupBy("print").agg(
-            F.max_by("doc_id", F.struct("n_chars", (-F.col("doc_id")).alias("order"))).alias("keep_id"),
+            F.max_by("doc_id", F.struct("n_chars", F.bitwise_not("doc_id").alias("order"))).alias("keep_id"),
             F.count("*").alias("group_size"),
         )
     )
@@ -174,26 +165,23 @@ def _decide(prints: DataFrame, found: RepeatFilter) -> DataFrame:
     return again.join(groups, "print").select(*columns).unionByName(single)
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """One row of ``docs`` of each group of ``exact_dedup``, the one that it keeps; of rows that repeat its id the one with
-    the most code points. Rows whose text is alone are not shuffled."""
-    narrow = texts(docs, id_col, text_col)
-    prints = stored(
-        narrow.select("doc_id", F.char_length("text").alias("n_chars"), fingerprint("text").alias("print"))
-    )
-    found = RepeatFilter(prints)
+    the most code points. A filter of the fingerprints that groups have, of ``most_bits`` at most, tells the rows that
+    may be in one; the others are not shuffled."""
     # Id and fingerprint: an id may stand on several texts.
     row = F.xxhash64("doc_id", F.unhex("text_sha256")).alias("row")
-    decided = stored(_decide(prints, found).where("group_size > 1").select(row, "kept").groupBy("row", "kept").count())
+    grouped = _decide(_flagged(docs, id_col, text_col, most_bits)).where("group_size > 1")
+    decided = grouped.select(row, "kept", "text_sha256").groupBy("row", "kept").agg(F.count("*").alias("count"), F.first("text_sha256").alias("text_sha256"))
+    decided = stored(decided)
     dropped, several = decided.where("not kept").select("row"), decided.where("kept and count > 1").select("row")
+    prints = stored(decided.select(F.unhex("text_sha256").alias("print")).distinct())
+    bits = max(1 << PIECE, 1 << min(most_bits.bit_length() - 1, (prints.count() * BITS_PER_ROW).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(prints, bits, twice_only=False))
+    grouped_too = _test(shared, bits)(fingerprint(text_col))
     key = F.xxhash64(F.col(id_col).cast("long"), fingerprint(text_col))
     first = F.row_number().over(Window.partitionBy("_llm_row").orderBy(F.char_length(text_col).desc_nulls_last()))
-    result = None
-    for number, test in found.tests():
-        own = docs if found.ranges == 1 else docs.where(found.range_of(fingerprint(text_col)) == number)
-        asked = keep_ids(own.where(test(fingerprint(text_col))).withColumn("_llm_row", key), dropped, "_llm_row", "left_anti")
-        one = keep_ids(asked, several, "_llm_row", "left_anti")
-        of_several = keep_ids(asked, several, "_llm_row").withColumn("_llm_first", first).where("_llm_first = 1").drop("_llm_first")
-        kept = own.where(~test(fingerprint(text_col))).unionByName(one.unionByName(of_several).drop("_llm_row"))
-        result = kept if result is None else result.unionByName(kept)
-    return result
+    asked = keep_ids(docs.where(grouped_too).withColumn("_llm_row", key), dropped, "_llm_row", "left_anti")
+    one = keep_ids(asked, several, "_llm_row", "left_anti")
+    of_several = keep_ids(asked, several, "_llm_row").withColumn("_llm_first", first).where("_llm_first = 1").drop("_llm_first")
+    return docs.where(~grouped_too).unionByName(one.unionByName(of_several).drop("_llm_row"))

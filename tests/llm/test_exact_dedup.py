@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from relrank.llm.exact_dedup import RepeatFilter, _decide, drop_exact_duplicates, exact_dedup, fingerprint
+from relrank.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 from tests.llm.conftest import HARD
 
 
@@ -36,13 +37,27 @@ def test_against_all_groups(documents):
 
 
 @pytest.mark.parametrize("bits", [1 << 20, 1 << 10])
-def test_ranges_and_a_full_filter_change_nothing(spark, documents, bits):
+def test_ranges_change_nothing(spark, documents, bits):
+    """One range or eight; the texts are read once for the decision, and once on each way for the rows."""
     rows = rows_of(random.Random(2), 300) + [(1000 + i, f"alone {i}") for i in range(200)]
-    docs = documents(rows)
-    prints = docs.selectExpr("doc_id", "char_length(text) n_chars").join(docs.select("doc_id", fingerprint("text").alias("print")), "doc_id")
-    small = RepeatFilter(prints, max_bits=bits)
-    assert small.ranges == (1 if bits == 1 << 20 else 8)
-    assert result(_decide(prints, small)) == brute(rows)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = documents(rows).withColumn("text", counted("text"))
+    assert result(exact_dedup(docs, most_bits=bits)) == brute(rows)
+    assert read.value == len(rows)
+    kept = drop_exact_duplicates(docs, most_bits=bits)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, _, k, _ in brute(rows) if k)
+    assert read.value <= 5 * len(rows)
+
+
+def test_smallest_id(documents):
+    least = -(1 << 63)
+    assert result(exact_dedup(documents([(least, "a"), (5, "a"), (least, "b b"), (6, "bb")]))) == brute([(least, "a"), (5, "a"), (least, "b b"), (6, "bb")])
 
 
 def test_hard_cases(hard):
