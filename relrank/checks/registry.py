@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relrank.functions.text import STRIPPED
-from relrank.session import checkpoint, shared_dir
+from relrank.session import checkpoint, stage_folder
 from relrank.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +74,7 @@ def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
+    return f"{stage_folder(spark)}/files-{uuid.uuid4().hex}/{name}"
 
 
 def check(sql: str | None = None, ctes: str = "", name: str | None = None):

@@ -41,18 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _stages(spark: SparkSession) -> str:
+def stage_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; ``release`` removes it."""
     return f"{shared_dir(spark)}/relrank-{spark.sparkContext.applicationId}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Store ``df`` as Parquet in the shared folder, which cuts its lineage, and read it back. ``release`` removes it."""
-    path = f"{_stages(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Remove the stages that this application has stored; call it when all results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
