@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.session import shared_dir
+from relrank.session import stage_folder
 
 SLICE_BYTES = 1 << 19  # text handled at once by vectorised code; one longer text is a slice of its own
 
@@ -28,7 +28,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _stage_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/relrank-llm-{spark.sparkContext.applicationId}"
+    return f"{stage_folder(spark)}/llm"
 
 
 def stage_path(spark: SparkSession) -> str:
