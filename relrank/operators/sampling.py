@@ -66,6 +66,7 @@ def sample_negative(
     """One hard negative per query. ``exclude='judged'`` also rules out the other positives."""
     if exclude not in ("chosen", "judged"):
         raise ValueError(f"exclude must be 'chosen' or 'judged', not {exclude!r}")
+    run = checkpoint(run.select("qid", "docid", "rank"))  # read twice
     chosen = positive_ids(run, queries, qrels, docs, seed)
     others = positives(qrels) if exclude == "judged" else None
     return with_text(negative_ids(run, chosen, docs, k, seed, others), queries, docs)
@@ -75,7 +76,8 @@ def pair_stats(
     run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, k: int = 5, seed: int = 0
 ) -> DataFrame:
     """Queries of the run by status: kept, missing_data (no query or positive), missing_docs (no text)."""
-    drawn = _drawn_positives(run, queries, qrels, seed)
+    run = checkpoint(run.select("qid", "docid", "rank"))  # read three times
+    drawn = checkpoint(_drawn_positives(run, queries, qrels, seed))
     chosen = drawn.join(docs.select("docid"), "docid", "left_semi")
     negative = negative_ids(run, chosen, docs, k, seed)
     status = F.when(F.col("_drawn").isNull(), "missing_data").when(F.col("_negative").isNull(), "missing_docs")
@@ -206,6 +208,7 @@ def triple_stats(
     run: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, seed: int = 0, ranks: int = 100
 ) -> DataFrame:
     """Run rows by status: skipped, missing_data, docid_collision, kept."""
+    run = checkpoint(run.select("qid", "docid", "rank"))  # read twice
     drawn = _triple_rows(run, queries, qrels, docs, seed, ranks).select("status")
     skipped = run.where(~_wanted_rank(seed, ranks)).select(F.lit("skipped").alias("status"))
     return drawn.union(skipped).groupBy("status").agg(F.count("*").alias("rows"))

@@ -42,6 +42,7 @@ def training_prompts(
 
     Ids are drawn once and stored; text joins only those that are sampled.
     """
+    run = checkpoint(run.select("qid", "docid", "rank"))
     relevant = checkpoint(positive_ids(run, queries, qrels, docs, seed))
     non_relevant = checkpoint(negative_ids(run, relevant, docs, k, seed))
     drawn = balanced_ids(relevant, non_relevant, n, seed)
