@@ -1,3 +1,4 @@
+import math
 import random
 
 import public_tokenizers
@@ -63,6 +64,28 @@ def test_against_the_library(model):
         assert counter.whole(text)[0] == len(public.encode(text).ids if text else []), text
 
 
+def test_log_scores_against_the_library(model):
+    """A unigram model as they are: scores are logarithms of shares, and so are their sums."""
+    draw = random.Random(8)
+    own = Unigram(tuple((text, math.log(draw.paretovariate(0.6) / 1e6)) for text, _ in model.pieces))
+    counter, public = Counter(own), library(own)
+    docs = [words(draw, 120) for _ in range(800)] + ["the " * 500 + "end of a long text, " * 300]
+    for text in docs:
+        assert counter.whole(text)[0] == len(public.encode(text).ids if text else []), text
+    assert not counter  # nothing is remembered
+
+
+def test_fractional_scores_against_all_segmentations():
+    draw = random.Random(9)
+    for _ in range(30):
+        pieces = {"".join(draw.choice("ab▁") for _ in range(draw.randrange(1, 5))) for _ in range(15)}
+        pieces = tuple((p, -draw.random()) for p in sorted(pieces))
+        counter = Counter(Unigram(pieces))
+        for _ in range(40):
+            text = "".join(draw.choice("aabb \nx") for _ in range(draw.randrange(1, 25)))
+            assert counter.whole(text) == brute(pieces, text), (pieces, text)
+
+
 def test_query_against_the_library(spark, model):
     public = library(model)
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -76,5 +99,3 @@ def test_hard_cases(hard, model):
     assert sorted((str(r.doc_id), r.n_tokens, r.score) for r in rows) == sorted((str(i), *counter.whole(t or "")) for i, t in HARD)
     assert {(r.n_tokens, r.score) for r in rows if r.doc_id in (1, 2)} == {(0, 0.0)}
     assert count_tokens(hard.where("false"), model).count() == 0
-    with pytest.raises(ValueError):
-        Counter(Unigram((("a", -0.5),)))
