@@ -32,26 +32,80 @@ class Template:
     base: bool = False
 
 
-# Plain phrases and the public wording of notices and licenses.
+def _numbered(number: str, text: str) -> str:
+    return f"<<beginOptional>>{number}.<<endOptional>> {text}"
+
+
+# Plain phrases, notices, and the public wording of whole licenses.
+HOLDER = "<<var;name=holder;match=.{1,12}>>"
+BSD_HEAD = (
+    "Redistribution and use <<beginOptional>>of <<var;name=software;match=.{1,8}>><<endOptional>> in source and binary forms, with or "
+    "without modification, are permitted provided that the following conditions are met: "
+    + _numbered("1", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. ")
+    + _numbered(
+        "2",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. ",
+    )
+)
+BSD_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product "
+    "includes software developed by <<var;name=organisation;match=.{1,16}>>. "
+)
+BSD_NAMES = (
+    f"Neither the name of {HOLDER} nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+BSD_DISCLAIMER = (
+    f"THIS SOFTWARE IS PROVIDED BY {HOLDER} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    f"{HOLDER} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+    "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = (
     Template("mit", "under the mit license", True),
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
+    # Whole licenses.
     Template(
         "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=software;match=.{1,8}>> "
-        'and associated documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in <<var;name=software;match=.{1,4}>> without restriction',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=software;match=.{1,8}>> and associated "
+        'documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in <<var;name=software;match=.{1,4}>> without '
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be "
+        "included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        f"MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {HOLDER} BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     Template(
         "isc",
         "Permission to use, copy, modify, <<beginOptional>>and<<endOptional>> <<beginOptional>>/or<<endOptional>> distribute "
-        "this software for any purpose with or without fee is hereby granted",
+        "this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        f'permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND {HOLDER} DISCLAIMS ALL WARRANTIES WITH REGARD TO '
+        f"THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {HOLDER} BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE.",
     ),
+    Template("bsd-2", BSD_HEAD + BSD_DISCLAIMER),
+    Template("bsd-3", BSD_HEAD + _numbered("3", BSD_NAMES) + BSD_DISCLAIMER),
+    Template("bsd-4", BSD_HEAD + _numbered("3", BSD_ADVERTISING) + _numbered("4", BSD_NAMES) + BSD_DISCLAIMER),
     Template(
-        "bsd",
-        "Redistribution and use <<beginOptional>>of <<var;name=software;match=.{1,8}>><<endOptional>> in source and binary forms, "
-        "with or without modification, are permitted provided that the following conditions are met",
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        + _numbered("1", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. ")
+        + "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        + _numbered("2", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. ")
+        + _numbered("3", "This notice may not be removed or altered from any source distribution."),
     ),
+    # Notices, which name a license without its text.
     Template(
         "apache-2",
         "Licensed under the Apache License <<beginOptional>>, Version<<endOptional>> 2 <<beginOptional>>.0<<endOptional>>",
@@ -219,7 +273,12 @@ def summary(scanned: DataFrame) -> DataFrame:
     matches = F.col("matches")
     base = F.filter(matches, lambda m: m["base"])
     starts = F.transform(base, lambda m: m["first"])
-    covered = F.array_distinct(F.flatten(F.transform(matches, lambda m: F.sequence(m["first"], m["last"]))))
+    # Words in the union of the spans, from their first to their last.
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["first"].alias("first"), m["last"].alias("last"))))
+    none = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("words"))
+    fresh = lambda s, m: F.greatest(F.lit(0), m["last"] - F.greatest(s["end"], m["first"] - 1))
+    merge = lambda s, m: F.struct(F.greatest(s["end"], m["last"]).alias("end"), (s["words"] + fresh(s, m)).alias("words"))
+    covered = F.aggregate(spans, none, merge, lambda s: s["words"])
     return scanned.select(
         "doc_id",
         "n_words",
@@ -228,5 +287,5 @@ def summary(scanned: DataFrame) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         _labels(base).alias("base_labels"),
         _labels(matches).alias("labels"),
-        F.when(F.col("n_words") > 0, F.size(covered) / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"),
     )

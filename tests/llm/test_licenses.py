@@ -83,6 +83,26 @@ def test_against_a_regex(documents):
         assert found[i] == ",".join(sorted({label for label, p in patterns if p.search(line)})), text
 
 
+def plain(template):
+    """A text of the template: optional regions left in, replaceable ones filled."""
+    return re.sub("<<var.*?>>", "the people of Example", re.sub("<<(begin|end)Optional>>", " ", template.markup))
+
+
+def test_a_changed_late_clause_is_no_license(documents):
+    by_label = {t.label: t for t in licenses.TEMPLATES if len(words(t.markup)) > 60}
+    assert set(by_label) == {"mit", "isc", "bsd-2", "bsd-3", "bsd-4", "zlib"}
+    rows, want = [], {}
+    for label, template in by_label.items():
+        text = plain(template)
+        own = text.split()
+        for variant in (text, text.replace("this software", "this program"), " ".join(own[: len(own) // 2]), " ".join(own[:-3] + ["never", *own[-3:]])):
+            want[len(rows)] = label if variant == text else ""
+            rows.append((len(rows), f"Copyright 2020 some holder.\n\n{variant}\n\nMore words."))
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.summary(scan_licenses(documents(rows))).collect()}
+    assert {i: labels for i, (labels, _) in found.items()} == want  # the first text has no such words to change
+    assert all(found[i][1] > 0.8 for i, w in want.items() if w)
+
+
 def test_bad_markup_and_empty_table(hard):
     for markup in ("<<endOptional>> a", "<<beginOptional>> a", "<<beginOptional>>a<<endOptional>>", ""):
         with pytest.raises(ValueError):
