@@ -18,7 +18,7 @@ def con():
 
 
 SOME = """
-average_precision balanced_prompts batched_loss build_fair evaluate_by_query fairness_by_query file_stem first_chunk
+average_precision balanced_prompts batched_loss build_fair evaluate_by_query evaluate_classifier fair_dataset fairness_by_query file_stem first_chunk fit_logistic
 head_per_query_runs map_run map_stats ndcg_tied pair_prompts_of_triples pair_stats qrels_negatives qrels_positives
 rank_by_wins read_docs read_queries read_tsv rerank rerank_fair sample_n score_prompts set_ap_at_12 skip_queries
 split_train_test triple_stats write_run
