@@ -157,3 +157,36 @@ def test_written_fair_tree(spark, frame, tmp_path):
         ("1", "b", "ask one?", "Title: , Context: c", 0, 2),
         ("2", "a", "ask two?", "Title: v, Context: d", 1, 1),
     ]
+
+
+def test_many_small_topics(spark, frame, tmp_path):
+    """The files of a tree are written by many tasks, however few bytes they have, and read once, listed by few tasks."""
+    docs = [("x", f"t{i:03}", f"ask {i}?", "a", "t", "b") for i in range(200)]
+    notes = [("x", f"t{i:03}", "a", "1,0", 1) for i in range(200)]
+    root = str(tmp_path / "tree")
+    tracker = spark.sparkContext.statusTracker()
+
+    def tasks(group, work):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            result = work()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return result, [s.numTasks for s in stages if s is not None and s.numCompletedTasks]
+
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    _, ran = tasks("write", lambda: writers.write_fair_tree(
+        frame(docs, "folder string, stem string, query string, docid string, title string, body string"),
+        frame(notes, "folder string, stem string, docid string, mapped_annotation string, pos int"),
+        root,
+    ))
+    assert ran.count(int(spark.conf.get("spark.sql.shuffle.partitions"))) == 2  # one job a kind of file, none in one task
+    found, ran = tasks("read", lambda: readers.read_fair_tree(spark, root))
+    assert max(ran) < 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    _, ran = tasks("build", lambda: build_fair(*found).collect())
+    assert sum(ran) < 100  # from what is stored, not from 400 files
+    assert not [f for f in found[0].inputFiles() + found[1].inputFiles() if "/tree/" in f]
+    with pytest.raises(FileExistsError):
+        writers.write_fair_tree(frame(docs, "folder string, stem string, query string, docid string, title string, body string"), None, root)
