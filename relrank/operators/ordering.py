@@ -9,10 +9,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relrank.session import checkpoint
 
 PIECE_ROWS = 1 << 20  # rows of a piece that one task sums up, about
+PIECE_BYTES = 1 << 27  # of wide rows fewer
 GROUP_LIMIT = 1000  # up to here Spark drops rows past k in the map tasks
 
 
@@ -42,27 +44,36 @@ def _cumulate(df: DataFrame, by: Sequence[str], order: Sequence[str], totals: Ma
     return df.select("*", *[F.sum(value).over(upto).alias(name) for name, value in totals.items()])
 
 
+def _width(df: DataFrame) -> Column:
+    """The bytes of a row, about."""
+    wide = [c.name for c in df.schema if not isinstance(c.dataType, T.NumericType | T.BooleanType | T.DatetimeType)]
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide]
+    return sum(sizes, F.lit(8 * len(df.columns)).cast("long"))
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
     piece_rows: int | None = PIECE_ROWS,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add the running sum of each column of ``totals`` inside every ``by`` group, in ``order``.
 
     ``F.lit(1)`` as a total gives the row number; ``order`` should end in a unique column. A prefix scan in two passes:
-    the rows are stored, in ranges of about ``piece_rows`` of the order by group and place; each piece of a group is summed
-    up by a task of its own, and shifted by the sums of the group's earlier pieces. So ``df`` is read once, and one group of
-    any size costs as much as many small ones. ``piece_rows=None`` leaves groups whole, where a cap already bounds them,
-    and stores nothing.
+    the rows are stored, in ranges of about ``piece_rows``, fewer where these have more than ``piece_bytes``, of the order by
+    group and place; each piece of a group is summed up by a task of its own, and shifted by the sums of the group's earlier
+    pieces. So ``df`` is read once, and one group of any size costs as much as many small ones. ``piece_rows=None`` leaves
+    groups whole, where a cap already bounds them, and stores nothing.
     """
     by = list(by)
     if piece_rows is None:
         return _cumulate(df, by, order, totals)
 
     rows = checkpoint(df)
-    pieces = -(-rows.count() // piece_rows) or 1
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(_width(rows)), F.lit(0))).first()
+    pieces = max(-(-count // piece_rows), -(-size // piece_bytes), 1)
     place = [F.asc(c) for c in by] + _columns(order)
     ranged = checkpoint(rows.repartitionByRange(pieces, *place).withColumn("_piece", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_piece").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])

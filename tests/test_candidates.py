@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relrank.operators import candidates as c
+from relrank.operators import ordering
 from relrank.operators.ordering import head_of_group, running_totals
+from relrank.session import checkpoint
 
 RUN = "qid string, docid string, rank int"
 
@@ -69,6 +71,19 @@ def test_running_totals_with_a_hot_group(frame, piece_rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pieces_of_wide_rows(frame, monkeypatch):
+    """Few rows of long texts are cut by their bytes, those of arrays and maps too."""
+    stored = []
+    monkeypatch.setattr(ordering, "checkpoint", lambda df: stored.append(checkpoint(df)) or stored[-1])
+    for kind, value in (("string", "x" * 10_000), ("array<string>", ["x" * 10_000]), ("map<string,string>", {"k": "x" * 10_000}), ("binary", b"x" * 10_000)):
+        stored.clear()
+        df = frame([("q", f"d{i:03}", value if i else None) for i in range(100)], f"qid string, docid string, wide {kind}")
+        got = running_totals(df, ["qid"], ["docid"], {"n": F.lit(1)}, piece_bytes=100_000)
+        assert [r["n"] for r in got.orderBy("docid").collect()] == list(range(1, 101))
+        rows = [r["count"] for r in stored[1].groupBy("_piece").count().collect()]
+        assert len(rows) >= 8 and max(rows) <= 25
+
+
 @pytest.mark.parametrize("piece_rows", [None, 10])
 def test_running_totals_over_everything(spark, piece_rows):
     got = running_totals(spark.range(100), [], ["-id"], {"n": F.lit(1)}, piece_rows)
