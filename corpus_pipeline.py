@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from relrank.llm import byte_bpe
-from relrank.llm.common import stored, table
+from relrank.llm.common import stored, stored_by_small_batches, table
 from relrank.llm.decontamination import drop_leaks
 from relrank.llm.exact_dedup import drop_exact_duplicates
 from relrank.llm.language_id import keep_identified, learn
@@ -35,7 +35,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, and digests of the ids and of what they decode to."""
-    return byte_bpe.round_trip(docs, byte_vocabulary(spark))
+    return stored_by_small_batches(byte_bpe.round_trip(docs, byte_vocabulary(spark)))
 
 
 STAGES = [

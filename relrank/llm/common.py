@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from relrank.session import stage_folder
 
+BATCH_ROWS = 256  # rows of an Arrow batch where whole texts go to Python
 SLICE_BYTES = 1 << 19  # text handled at once by vectorised code; one longer text is a slice of its own
 
 
@@ -46,6 +47,18 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by_small_batches(df: DataFrame) -> DataFrame:
+    """``stored``, with at most BATCH_ROWS rows in an Arrow batch. Spark's 10,000 rows of whole texts are some 30 MB, more
+    with longer texts, and stand several times in an executor: in the JVM's vectors and streams and in its workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return stored(df)
+    finally:
+        conf.set(key, before)
+
+
 def settle(spark: SparkSession) -> None:
     """Free the shuffle files of finished stages, before one that needs much disk. Spark removes them once the driver has
     found that nothing refers to them; left alone, that can take half an hour, and the disks hold every stage till then.

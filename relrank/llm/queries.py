@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.llm import byte_bpe, decontamination, language_id, licenses, warc
-from relrank.llm.common import table
+from relrank.llm.common import stored_by_small_batches, table
 from relrank.llm.exact_dedup import exact_dedup
 from relrank.llm.html_text import extract_text
 from relrank.llm.near_dedup import near_duplicates
@@ -52,7 +52,7 @@ def byte_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
 
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary(spark))
+    return stored_by_small_batches(byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary(spark)))
 
 
 @query

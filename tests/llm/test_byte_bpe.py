@@ -2,12 +2,16 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 
-from relrank.llm import byte_bpe
+import corpus_pipeline
+from relrank.llm import byte_bpe, queries
+from relrank.llm.common import BATCH_ROWS
 from relrank.llm.queries import byte_vocabulary
+from tests.conftest import SMALL
 from tests.llm.conftest import HARD
 
 
@@ -63,3 +67,20 @@ def test_query_against_the_library(spark, vocabulary):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(docs[row.doc_id].encode()).hexdigest()
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch is bounded however many rows a task has, in the query and in the pipeline's stage."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict({"doc_id": [n], "n_tokens": [n], "ids_sha256": [""], "decoded_sha256": [""]})
+
+    monkeypatch.setattr(byte_bpe, "round_trip", lambda *_: spark.range(5000, numPartitions=1).mapInArrow(sizes, byte_bpe.DIGESTS))
+    for found in (corpus_pipeline.encoded(spark, None, SMALL), queries.op9_byte_bpe(spark, SMALL)):
+        rows = [r["n_tokens"] for r in found.collect()]
+        assert sum(rows) == 5000 and max(rows) <= BATCH_ROWS
+    assert spark.conf.get(key) == before
