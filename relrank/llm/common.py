@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from relrank.session import stage_folder
 
-BATCH_ROWS = 256  # rows of an Arrow batch where whole texts go to Python
+BATCH_ROWS = 256  # rows of an Arrow batch, and of one of the Parquet reader, where whole texts go to Python
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 SLICE_BYTES = 1 << 19  # text handled at once by vectorised code; one longer text is a slice of its own
 
 
@@ -48,15 +49,18 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 
 
 def stored_by_small_batches(df: DataFrame) -> DataFrame:
-    """``stored``, with at most BATCH_ROWS rows in an Arrow batch. Spark's 10,000 rows of whole texts are some 30 MB, more
-    with longer texts, and stand several times in an executor: in the JVM's vectors and streams and in its workers."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    """``stored``, with at most BATCH_ROWS rows in an Arrow batch and in one of the Parquet reader. Spark's 10,000 rows of
+    whole texts are some 30 MB, more with longer texts, and stand several times in an executor: in the JVM's vectors and
+    streams and in its workers. The reader's 4,096 rows are one array of the heap, which grows by copies of twice the size."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key) for key in BATCH_SETTINGS}
     try:
+        for key, rows in before.items():
+            conf.set(key, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
         return stored(df)
     finally:
-        conf.set(key, before)
+        for key, rows in before.items():
+            conf.set(key, rows)
 
 
 def settle(spark: SparkSession) -> None:

@@ -3,9 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from relrank.llm import spelling
+from relrank.llm import common, spelling
+from relrank.llm.common import BATCH_ROWS
 from relrank.llm.queries import QUERIES
 from tests.llm.conftest import HARD
 
@@ -123,3 +126,24 @@ def test_query_against_brute_force(spark):
     found = QUERIES["op11_spelling_variants"](spark, "/root/testdata/sf0.01")
     assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert result(found) == brute(rows)
+
+
+def test_texts_are_read_and_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch is bounded however many rows a task has, in the Parquet reader too; the session's settings are put back."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, during, store = [spark.conf.get(k) for k in keys], [], common.stored
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"word": ["bounded" if batch.num_rows <= BATCH_ROWS else "unbounded"], "n": [batch.num_rows]})
+
+    def stored(df):
+        during.append([int(spark.conf.get(k)) for k in keys])
+        return store(df)
+
+    monkeypatch.setattr(spelling, "_count", sizes)
+    monkeypatch.setattr(common, "stored", stored)
+    docs = spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    assert result(spelling.spelling_variants(docs)) == {"bounded": (None, "bounded", 5000, 0, None)}
+    assert during and all(n <= BATCH_ROWS for rows in during for n in rows)
+    assert [spark.conf.get(k) for k in keys] == before
