@@ -12,10 +12,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relrank.llm.common import BLANKS, LOWER, Rolling, mix, slices, stored, texts, words
+from relrank.llm.common import BLANKS, LOWER, Rolling, mix, slices, stored, stored_by_small_batches, texts, words
 from relrank.llm.graph import components
 
 WORDS = 5
@@ -134,15 +134,15 @@ def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     heads = sizes.select("a", part, F.lit(LEADER).alias("kind"), F.col("a").alias("b"))
     dealt = heads.unionByName(members).join(held.withColumnRenamed("node", "b"), "b").select("a", "part", "kind", "b", "text")
     ordered = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "kind", "b")
-    return stored(ordered.mapInArrow(_confirm(percent), "a long, b long"))
+    return stored_by_small_batches(ordered.mapInArrow(_confirm(percent), "a long, b long"))
 
 
 def _stars(rows: DataFrame) -> DataFrame:
     """(a, b): the node that shares most tables of each table (key, node), and each of the table's others."""
     several = rows.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
     live = stored(rows.join(several, "key"))
-    popular = live.groupBy("node").agg(F.sum("nodes").alias("popular"))
-    heads = live.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popular", "node")).alias("a"))
+    popular = F.sum("nodes").over(Window.partitionBy("node"))  # over a node's tables, of which there are bands ** 2 at most
+    heads = live.withColumn("popular", popular).groupBy("key").agg(F.max_by("node", F.struct("popular", "node")).alias("a"))
     return live.join(stored(heads), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -154,7 +154,7 @@ def _tables(classes: DataFrame) -> DataFrame:
     mine = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("bands"))  # two collections at most
     halves = classes.join(mine, "node").select("node", F.array_intersect("left", "bands").alias("left"), F.array_intersect("right", "bands").alias("right"))
     one = halves.select("node", "right", F.explode("left").alias("l"))
-    return one.select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node").distinct()
+    return one.select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node")
 
 
 # Pairs by rare shingles. All sets have their shingles in one order, by the number of sets that hold them: two sets that
@@ -214,12 +214,12 @@ def _rare_pairs(texts_: DataFrame, joined: DataFrame, percent: int) -> DataFrame
 
     Under each key the nodes outside its largest component are strangers; a pair has one of them at least.
     """
-    listed = stored(texts_.mapInArrow(_listed, "node long, n long, shingle long"))
+    listed = stored_by_small_batches(texts_.mapInArrow(_listed, "node long, n long, shingle long"))
     common = listed.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
     # The list is one text's own, in the order of all.
     shared = listed.join(common, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "shingle"))).alias("shingles"))
     rows = shared.mapInArrow(_keys(percent), ASKED).join(joined, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-    rows = stored(rows)
+    rows = stored_by_small_batches(rows)  # a row is all of a text's shingles
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     keys = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     live = stored(rows.join(keys.select("key", F.col("main.component").alias("main")), "key").withColumn("stranger", F.col("component") != F.col("main")))
@@ -237,14 +237,16 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     """(doc_id, mark, n_shingles, first): of each row its id, a hash of its text (``mark``), its size, and the least (doc_id, mark)
     of its group; null ids are NULL_ID."""
     narrow = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    sketches = stored(narrow.mapInArrow(_sketch(_bands(percent)), SKETCH))
+    sketches = stored_by_small_batches(narrow.mapInArrow(_sketch(_bands(percent)), SKETCH))
     # Sums of the map tasks: a huge group of equal texts is one row of each.
     sets = sketches.where("n > 0").groupBy("set1", "set2")
     sets = sets.agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("left").alias("left"), F.first("right").alias("right"))
     classes = stored(sets.withColumn("node", F.monotonically_increasing_id()))  # stored, so the numbers stay
     rows = stored(_tables(classes))
     wanted = classes.join(rows.select("node").distinct(), "node").select("node", "first.doc_id", "first.mark")
-    held = stored(narrow.join(wanted, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+    # A hash join: a task holds the narrow rows of its texts and sorts no texts for it.
+    of_nodes = narrow.join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text")
+    held = stored_by_small_batches(of_nodes.dropDuplicates(["node"]))
     pairs = stored(_stars(rows))
     links = _links(pairs, held, percent)
     joined = components(links)

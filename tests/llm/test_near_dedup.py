@@ -1,6 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from relrank.llm import near_dedup
+from relrank.llm.common import BATCH_ROWS, BATCH_SETTINGS
 from relrank.llm.graph import components
 from relrank.llm.near_dedup import drop_near_duplicates, near_duplicates
 from relrank.llm.queries import QUERIES
@@ -106,3 +110,33 @@ def test_components(spark):
 def test_query_against_all_pairs(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert result(QUERIES["op2_minhash_near_dedup"](spark, "/root/testdata/sf0.01")) == brute(docs)
+
+
+def test_texts_are_read_and_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch is bounded however many rows a task has, in every round; the session's settings are put back."""
+
+    def bounded(work):
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    if batch.num_rows > BATCH_ROWS:
+                        raise ValueError(f"a batch of {batch.num_rows} rows")
+                    yield batch
+
+            return work(each())
+
+        return checked
+
+    rounds, during, store = [], [], near_dedup.stored_by_small_batches
+    for name in ("_sketch", "_confirm", "_keys"):
+        make = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda x, name=name, make=make: rounds.append(name) or bounded(make(x)))
+    monkeypatch.setattr(near_dedup, "_listed", bounded(near_dedup._listed))
+    monkeypatch.setattr(near_dedup, "stored_by_small_batches", lambda df: during.append(df.columns) or store(df))
+    before = [spark.conf.get(k) for k in BATCH_SETTINGS]
+    # A chain: each text is linked with the next ones only.
+    text = F.concat_ws(" ", F.transform(F.sequence("doc_id", F.col("doc_id") + 60), lambda n: F.concat(F.lit("w"), n.cast("string"))))
+    docs = spark.range(600, numPartitions=1).toDF("doc_id").withColumn("text", text)
+    assert result(near_duplicates(docs)) == {i: (57, 0) for i in range(600)}
+    assert set(rounds) == {"_sketch", "_confirm", "_keys"} and ["node", "text"] in during
+    assert [spark.conf.get(k) for k in BATCH_SETTINGS] == before
